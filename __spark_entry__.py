@@ -418,14 +418,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_demand_forecast": lambda s, d: forecast.daily_demand_forecast(
             forecasts(s, d), CUTOVER
         ),
-        "restock_recommendations": lambda s, d: _rounded(
-            forecast.restock_recommendations(forecasts(s, d, V1), _past(s, d), CUTOVER),
-            "historical_avg_7d",
-            "demand_ratio",
-        ),
-        "high_demand_restock": lambda s, d: _rounded(
-            forecast.high_demand_restock(forecasts(s, d, V1), _past(s, d), CUTOVER),
-            "historical_avg_7d",
+        "restock_recommendations": lambda s, d: forecast.restock_recommendations(
+            forecasts(s, d, V1), _past(s, d), CUTOVER
+        ),
+        "high_demand_restock": lambda s, d: forecast.high_demand_restock(
+            forecasts(s, d, V1), _past(s, d), CUTOVER
         ),
         "restock_7d": lambda s, d: forecast.restock_7d(forecasts(s, d, V1), _past(s, d), CUTOVER),
         "predictions_count": lambda s, d: forecast.predictions_count(forecasts(s, d)),

@@ -1,5 +1,8 @@
 """The registered queries once more as plain SQL over the supplied tables.
 
+The history joined to a forecast is the same on every row of a group, so ``max`` reads it back
+without the rounding that an average of equal doubles may add.
+
 Written for DuckDB and from the definitions of the reports, not from the Spark code.
 """
 
@@ -151,7 +154,7 @@ scored AS (
 ),
 alerts AS (
   SELECT *, CASE WHEN z_score > 0 THEN 'High' ELSE 'Low' END AS anomaly_type
-  FROM scored WHERE abs(z_score) > {sensitivity}
+  FROM scored WHERE round(abs(z_score), 9) > {sensitivity}
   ORDER BY hour DESC, abs(z_score) DESC, category {limit}
 )"""
 
@@ -186,8 +189,8 @@ h AS (SELECT product_id, store_id, avg(quantity) AS historical_avg FROM ev
       GROUP BY product_id, store_id),
 rec AS (
   SELECT p.product_id, p.store_id, p.forecast_date, SUM(p.predicted_demand) AS predicted_demand_7d,
-         avg(h.historical_avg) AS historical_avg_7d,
-         SUM(p.predicted_demand) / nullif(avg(h.historical_avg), 0) AS demand_ratio
+         max(h.historical_avg) AS historical_avg_7d,
+         SUM(p.predicted_demand) / nullif(max(h.historical_avg), 0) AS demand_ratio
   FROM p1 p LEFT JOIN h ON p.product_id = h.product_id AND p.store_id = h.store_id
   WHERE {NEXT_DAYS} GROUP BY p.product_id, p.store_id, p.forecast_date
   HAVING SUM(p.predicted_demand) > 0
@@ -509,8 +512,8 @@ SELECT category, hour, hourly_revenue, round(moving_avg_24h, 6) AS moving_avg_24
     for key, top in (("anomaly_counts", 50), ("anomaly_counts_all", None)):
         q[key] = f"""WITH {alerts(1.0, top)}
 SELECT CAST(COUNT(*) AS BIGINT) AS total_anomalies,
-       CAST(COUNT(*) FILTER (WHERE z_score > 1.0) AS BIGINT) AS high_anomalies,
-       CAST(COUNT(*) FILTER (WHERE z_score < -1.0) AS BIGINT) AS low_anomalies FROM alerts"""
+       CAST(COUNT(*) FILTER (WHERE round(z_score, 9) > 1.0) AS BIGINT) AS high_anomalies,
+       CAST(COUNT(*) FILTER (WHERE round(z_score, 9) < -1.0) AS BIGINT) AS low_anomalies FROM alerts"""
     for key, top in (("anomaly_summary", 50), ("anomaly_summary_all", None)):
         q[key] = f"""WITH {alerts(1.0, top)}
 SELECT category, CAST(COUNT(*) AS BIGINT) AS anomaly_count, round(avg(z_score), 6) AS avg_z_score,
@@ -561,19 +564,17 @@ SELECT forecast_date, product_id, store_id, model_version, SUM(predicted_demand)
        max(prediction_time) AS latest_prediction_time
 FROM pr WHERE forecast_date >= DATE '2024-01-24' GROUP BY ALL"""
     q["restock_recommendations"] = f"""WITH {RESTOCK}
-SELECT product_id, store_id, forecast_date, predicted_demand_7d,
-       round(historical_avg_7d, 6) AS historical_avg_7d, round(demand_ratio, 6) AS demand_ratio,
+SELECT product_id, store_id, forecast_date, predicted_demand_7d, historical_avg_7d, demand_ratio,
        recommendation FROM labelled"""
     q["high_demand_restock"] = f"""WITH {RESTOCK}
-SELECT product_id, store_id, predicted_demand_7d, round(historical_avg_7d, 6) AS historical_avg_7d,
-       recommendation FROM (SELECT * FROM labelled WHERE recommendation = 'HIGH_DEMAND'
+SELECT product_id, store_id, predicted_demand_7d, historical_avg_7d, recommendation FROM (SELECT * FROM labelled WHERE recommendation = 'HIGH_DEMAND'
   ORDER BY predicted_demand_7d DESC, product_id, store_id, forecast_date LIMIT 20)"""
     q["restock_7d"] = f"""WITH {RESTOCK}
 SELECT product_id, store_id, predicted_7d, CASE WHEN ratio > 1.5 THEN 'HIGH_DEMAND'
          WHEN ratio > 1.2 THEN 'MODERATE_INCREASE' WHEN ratio < 0.8 THEN 'LOW_DEMAND'
          ELSE 'NORMAL' END AS recommendation
 FROM (SELECT p.product_id, p.store_id, SUM(predicted_demand) AS predicted_7d,
-             SUM(predicted_demand) / nullif(avg(historical_avg), 0) AS ratio
+             SUM(predicted_demand) / nullif(max(historical_avg), 0) AS ratio
       FROM p1 p LEFT JOIN h ON p.product_id = h.product_id AND p.store_id = h.store_id
       WHERE {NEXT_DAYS} GROUP BY p.product_id, p.store_id HAVING SUM(predicted_demand) > 0)
 ORDER BY predicted_7d DESC, product_id, store_id LIMIT 30"""

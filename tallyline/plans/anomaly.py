@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
@@ -13,6 +13,15 @@ from tallyline.functions.ratios import ratio
 from tallyline.operators.moving import hourly_revenue, moving_stats
 
 
+# Two rows alone lie exactly one deviation from their mean, so at a sensitivity of 1 the last bit of
+# the quotient would decide.  The comparison ignores digits beyond this one.
+COMPARED_DIGITS = 9
+
+
+def beyond(score: Column, sensitivity: float) -> Column:
+    return F.round(score, COMPARED_DIGITS) > sensitivity
+
+
 def _stats(
     realtime: DataFrame, as_of: dt.datetime, days: int, fill_gaps: bool = False
 ) -> DataFrame:
@@ -41,7 +50,7 @@ def anomaly_alerts(
         _stats(realtime, as_of, days)
         .where(F.col("std_dev_24h") > 0)
         .withColumn("z_score", z_score)
-        .where(F.abs("z_score") > sensitivity)
+        .where(beyond(F.abs("z_score"), sensitivity))
         .withColumn("anomaly_type", F.when(F.col("z_score") > 0, "High").otherwise("Low"))
         .orderBy(F.desc("hour"), F.desc(F.abs("z_score")), "category")
     )
@@ -59,8 +68,8 @@ def anomaly_counts(
     alerts = anomaly_alerts(realtime, as_of, days, sensitivity, top)
     return alerts.agg(
         F.count("*").alias("total_anomalies"),
-        F.count_if(F.col("z_score") > sensitivity).alias("high_anomalies"),
-        F.count_if(F.col("z_score") < -sensitivity).alias("low_anomalies"),
+        F.count_if(beyond(F.col("z_score"), sensitivity)).alias("high_anomalies"),
+        F.count_if(beyond(-F.col("z_score"), sensitivity)).alias("low_anomalies"),
     )
 
 

@@ -55,10 +55,13 @@ def store_events(
 
 
 def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table read as a stream of JSON messages."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return encode(as_store_events(spark.readStream.schema(schema).parquet(path)))
+    """The ``events`` table read as a stream of JSON messages.
+
+    A stream's path must be a directory or a pattern, and the table may be a single file.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    return encode(as_store_events(raw))
 
 
 def as_store_events(raw: DataFrame) -> DataFrame:
