@@ -71,7 +71,8 @@ def validate_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def rejected_events(spark: SparkSession, sf: str) -> DataFrame:
     """The event messages together with the ``props`` texts, which are JSON of another kind."""
-    other = spark.read.parquet(f"{sf}/events.parquet").select(F.col("props").alias("value"))
+    stored = spark.read.schema(sample.EVENTS_TABLE).parquet(f"{sf}/events.parquet")
+    other = stored.select(F.col("props").alias("value"))
     enriched = ingest.enrich(ingest.parse_events(_messages(spark, sf).unionByName(other)))
     return ingest.rejected_events(enriched).groupBy("reason").agg(F.count("*").alias("rejected"))
 

@@ -15,11 +15,11 @@ DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 def instant(at: dt.datetime) -> Column:
     """A timestamp literal read in the session time zone, not in that of the Python process."""
-    return F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    return F.expr(f"TIMESTAMP '{at:%Y-%m-%d %H:%M:%S}'")
 
 
 def day(at: dt.datetime) -> Column:
-    return F.lit(at.strftime("%Y-%m-%d")).cast("date")
+    return F.expr(f"DATE '{at:%Y-%m-%d}'")
 
 
 def midnight(at: dt.datetime) -> dt.datetime:

@@ -46,10 +46,13 @@ def lenient_time(text: Column) -> Column:
 
 
 def decode(messages: DataFrame) -> DataFrame:
-    """JSON ``value`` → the seven fields as text or numbers; a malformed message is all null."""
-    return messages.withColumn(
-        "data", F.from_json(F.col("value").cast("string"), MESSAGE)
-    ).select("value", "data.*")
+    """JSON ``value`` → the seven fields as text or numbers; a malformed message is all null.
+
+    A generator, unlike a projection, is not merged into the filters and columns above it, so each
+    message is parsed once and not once per use of a field.
+    """
+    text = F.col("value").cast("string")
+    return messages.select("value", F.inline(F.array(F.from_json(text, MESSAGE))))
 
 
 def parse_events(messages: DataFrame, lenient: bool = False) -> DataFrame:

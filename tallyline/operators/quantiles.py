@@ -1,115 +1,77 @@
 """Exact interpolated quantiles of groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one task.  Here a sketch of
-bounded size proposes a narrow value range around each wanted rank, the rows below and inside that
-range are counted exactly, and only the range is ranked.  A range that misses its rank is widened
-to the end of the group, so the sketch decides how much is ranked and never the answer.
+bounded size, taken along with the other aggregates, marks a narrow value range around each wanted
+rank; then one pass counts the rows below the range and the distinct values inside it, and only
+those are ranked.  The sketch's error bound is narrower than the range, and a rank outside it fails
+the query instead of giving a wrong value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-# The sketch promises a rank error of n / accuracy; the range is wider than that on each side.
-SLACK = 3.0 / SKETCH_ACCURACY
+# The sketch is off by at most n / accuracy ranks; the range reaches five times as far.
+SLACK = 5.0 / SKETCH_ACCURACY
+# Up to this size the whole group is ranked: there the slack would be a handful of ranks.
+SMALL_GROUP = 100_000
 
 
-def exact_quantiles(
-    values: DataFrame, group: str, value: str, quantiles: dict[str, float]
+def aggregate_with_quantiles(
+    rows: DataFrame, group: str, aggregates: list[Column], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
-    """One row per group with one column per entry of ``quantiles`` (name → fraction)."""
-    values = values.select(group, F.col(value).alias("v")).where(F.col("v").isNotNull())
-    proposed = _proposed_ranges(values, group, list(quantiles.values()))
-    ranges = _checked_ranges(values, proposed, group)
-    return _interpolate(_inside(values, ranges, group), group, list(quantiles))
-
-
-def _proposed_ranges(values: DataFrame, group: str, fractions: Sequence[float]) -> DataFrame:
-    """Per group an array with the position and the proposed value range of each fraction."""
+    """``rows.groupBy(group).agg(*aggregates)`` with one exact quantile column per entry."""
+    fractions = list(quantiles.values())
     marks = [max(f - SLACK, 0.0) for f in fractions] + [min(f + SLACK, 1.0) for f in fractions]
-    sketch = values.groupBy(group).agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("marks"),
+    summary = rows.groupBy(group).agg(
+        *aggregates,
+        F.expr(f"count({value}) AS _n"),
+        F.expr(f"min({value}) AS _least"),
+        F.expr(f"max({value}) AS _most"),
+        F.percentile_approx(value, marks, SKETCH_ACCURACY).alias("_marks"),
     )
-    wanted = [
-        F.struct(
-            F.lit(i).alias("q"),
-            (F.lit(fraction) * (F.col("n") - 1)).alias("position"),
-            F.col("least"),
-            F.col("most"),
-            F.col("marks")[i].alias("low"),
-            F.col("marks")[len(fractions) + i].alias("high"),
-        )
-        for i, fraction in enumerate(fractions)
+    whole = f"_n <= {SMALL_GROUP}"
+    ranges = ", ".join(
+        f"struct({i} AS q, {f!r}D * (_n - 1) AS position, "
+        f"if({whole} OR {marks[i]} <= 0, _least, _marks[{i}]) AS low, "
+        f"if({whole} OR {marks[len(fractions) + i]} >= 1, _most, _marks[{len(fractions) + i}]) AS high)"
+        for i, f in enumerate(fractions)
+    )
+    wanted = summary.selectExpr(group, f"array({ranges}) AS wanted")
+    found = _at_positions(rows.selectExpr(group, f"{value} AS v"), wanted, group)
+    names = [
+        F.expr(f"max(if(q = {i}, exact, NULL)) AS {name}") for i, name in enumerate(quantiles)
     ]
-    return sketch.select(group, F.array(*wanted).alias("wanted"))
-
-
-def _per_range(values: DataFrame, ranges: DataFrame, group: str) -> DataFrame:
-    # One row per group on the right: AQE broadcasts it when its measured size allows, else the
-    # join is an ordinary shuffle join with skew handling.
-    return (
-        values.join(ranges, group)
-        .select(group, "v", F.explode("wanted").alias("w"))
-        .select(group, "v", "w.*")
+    result = summary.drop("_n", "_least", "_most", "_marks")
+    return result.join(found.groupBy(group).agg(*names), group, "left")
+
+
+def _at_positions(values: DataFrame, wanted: DataFrame, group: str) -> DataFrame:
+    """Interpolated value at each wanted position: ``group, q, exact``."""
+    # The right side has one row per group: AQE broadcasts it when its measured size allows, else
+    # this is an ordinary shuffle join with skew handling.
+    placed = (
+        values.where("v IS NOT NULL")
+        .join(wanted, group)
+        .selectExpr(group, "v", "inline(wanted)")
+        .where("v <= high")
+        .selectExpr(group, "q", "position", "v >= low AS inside", "if(v >= low, v, NULL) AS v")
     )
-
-
-def _checked_ranges(values: DataFrame, proposed: DataFrame, group: str) -> DataFrame:
-    """Replace a bound that leaves the wanted rank outside by the end of the group."""
-    v, low, high = F.col("v"), F.col("low"), F.col("high")
-    counts = (
-        _per_range(values, proposed, group)
-        .groupBy(group, "q")
-        .agg(
-            F.count_if(v < low).alias("below"),
-            F.count_if((v >= low) & (v <= high)).alias("inside"),
-            *[F.first(c).alias(c) for c in ("position", "least", "most", "low", "high")],
+    # Map-side aggregation leaves one row for all values below the range and one per value in it.
+    counted = placed.groupBy(group, "q", "position", "inside", "v").agg(F.count("*").alias("c"))
+    order = Window.partitionBy(group, "q").orderBy("inside", "v")
+    ranked = counted.withColumn("last", F.sum("c").over(order) - 1)
+
+    def at(rank: str) -> str:
+        hit = f"inside AND last - c < {rank} AND {rank} <= last"
+        return (
+            f"coalesce(max(if({hit}, v, NULL)), "
+            "CAST(raise_error('quantile rank outside its range') AS DOUBLE))"
         )
-    )
-    low_fits = F.col("below") <= F.floor("position")
-    high_fits = F.ceil("position") < F.col("below") + F.col("inside")
-    checked = F.struct(
-        "q",
-        "position",
-        F.when(low_fits, low).otherwise(F.col("least")).alias("low"),
-        F.when(high_fits, high).otherwise(F.col("most")).alias("high"),
-        F.when(low_fits, F.col("below")).otherwise(F.lit(0)).alias("below"),
-    )
-    # One entry per wanted fraction, so the list is as short as the request.
-    return counts.groupBy(group).agg(F.collect_list(checked).alias("wanted"))
-
-
-def _inside(values: DataFrame, ranges: DataFrame, group: str) -> DataFrame:
-    """The distinct values of each range with how often they occur."""
-    v = F.col("v")
-    return (
-        _per_range(values, ranges, group)
-        .where((v >= F.col("low")) & (v <= F.col("high")))
-        .groupBy(group, "q", "position", "below", "v")
-        .agg(F.count("*").alias("c"))
-    )
 
-
-def _interpolate(inside: DataFrame, group: str, names: Sequence[str]) -> DataFrame:
-    order = Window.partitionBy(group, "q").orderBy("v")
-    ranked = inside.withColumn("last", F.col("below") + F.sum("c").over(order) - 1)
-    first = F.col("last") - F.col("c") + 1
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (F.col("last") >= rank), F.col("v")))
-
-    found = ranked.groupBy(group, "q", "position").agg(
-        at(F.floor("position")).alias("a"), at(F.ceil("position")).alias("b")
-    )
-    part = F.col("position") - F.floor("position")
-    exact = F.col("a") + (F.col("b") - F.col("a")) * part
-    return found.groupBy(group).agg(
-        *[F.max(F.when(F.col("q") == i, exact)).alias(name) for i, name in enumerate(names)]
+    ends = ranked.groupBy(group, "q", "position").agg(
+        F.expr(f"{at('floor(position)')} AS a"), F.expr(f"{at('ceil(position)')} AS b")
     )
+    return ends.selectExpr(group, "q", "a + (b - a) * (position - floor(position)) AS exact")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
 from tallyline.functions.ratios import percent, ratio
-from tallyline.operators.quantiles import exact_quantiles
+from tallyline.operators.quantiles import aggregate_with_quantiles
 from tallyline.plans.serving import sales, units
 
 # Restock labels in the order they are tested, with the bound on the demand ratio.
@@ -63,19 +63,18 @@ def prediction_accuracy(predictions: DataFrame, realtime: DataFrame) -> DataFram
 
 def model_performance_summary(accuracy: DataFrame) -> DataFrame:
     """Per model version: counts, mean errors, exact median and 90th percentile."""
-    means = accuracy.groupBy("model_version").agg(
-        F.count("*").alias("predictions_made"),
-        F.count("actual_demand").alias("predictions_with_actual"),
-        F.avg("absolute_error").alias("avg_absolute_error"),
-        F.avg("percentage_error").alias("avg_percentage_error"),
-    )
-    tails = exact_quantiles(
+    return aggregate_with_quantiles(
         accuracy,
         "model_version",
+        [
+            F.count("*").alias("predictions_made"),
+            F.count("actual_demand").alias("predictions_with_actual"),
+            F.avg("absolute_error").alias("avg_absolute_error"),
+            F.avg("percentage_error").alias("avg_percentage_error"),
+        ],
         "percentage_error",
         {"median_percentage_error": 0.5, "p90_percentage_error": 0.9},
-    )
-    return means.join(tails, "model_version", "left").orderBy(F.desc("model_version"))
+    ).orderBy(F.desc("model_version"))
 
 
 def model_history(accuracy: DataFrame, versions: int = 5) -> DataFrame:

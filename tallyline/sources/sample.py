@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
@@ -23,16 +23,23 @@ LINEITEM_AS_OF = dt.datetime(2001, 11, 5)
 VERSIONS = {"fixture_v1": 1.0, "fixture_v2": 0.5}
 
 
-def _product(number: Column) -> Column:
-    return F.concat(F.lit("P"), F.lpad((number % 25).cast("string"), 2, "0"))
+# The stored columns.  A given schema saves a job that would read it from the files.
+EVENTS_TABLE = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+)
+LINEITEM_TABLE = (
+    "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+    "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+)
 
 
-def _category(number: Column) -> Column:
-    return F.concat(F.lit("C"), F.floor((number % 25) / 5).cast("string"))
+def _product(number: str) -> str:
+    return f"concat('P', lpad(CAST({number} % 25 AS STRING), 2, '0')) AS product_id"
 
 
-def _raw_literal(at: dt.datetime) -> Column:
-    return F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+def _category(number: str) -> str:
+    return f"concat('C', CAST({number} % 25 DIV 5 AS STRING)) AS category"
 
 
 def store_events(
@@ -46,11 +53,11 @@ def store_events(
     ``start`` and ``end`` bound the stored ``ts`` itself, because the second-precision
     ``event_time`` computed from it cannot be pushed to the scan.
     """
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = spark.read.schema(EVENTS_TABLE).parquet(f"{sf_dir}/events.parquet")
     if start is not None:
-        raw = raw.where(F.col("ts") >= _raw_literal(start))
+        raw = raw.where(f"ts >= TIMESTAMP_NTZ '{start:%Y-%m-%d %H:%M:%S}'")
     if end is not None:
-        raw = raw.where(F.col("ts") < _raw_literal(end))
+        raw = raw.where(f"ts < TIMESTAMP_NTZ '{end:%Y-%m-%d %H:%M:%S}'")
     return as_store_events(raw)
 
 
@@ -59,33 +66,25 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stream's path must be a directory or a pattern, and the table may be a single file.
     """
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    raw = spark.readStream.schema(EVENTS_TABLE).parquet(f"{sf_dir}/events*.parquet")
     return encode(as_store_events(raw))
 
 
 def as_store_events(raw: DataFrame) -> DataFrame:
-    number = F.get_json_object("props", "$.k").cast("int")
-    kind = (
-        F.when(F.col("event_type") == "error", RETURN)
-        .when(F.col("event_type") == "signup", RESTOCK)
-        .otherwise(SALE)
-    )
-    quantity = (
-        F.when(F.col("event_type") == "error", 1 + F.col("event_id") % 5)
-        .when(F.col("event_type") == "signup", 10 + F.col("event_id") % 91)
-        .otherwise(1 + F.col("event_id") % 10)
-    )
-    return raw.select(
+    number = "CAST(get_json_object(props, '$.k') AS INT)"
+    return raw.selectExpr(
         "event_id",
-        F.date_trunc("second", "ts").alias("event_time"),
-        (F.col("user_id") % 10 + 1).cast("int").alias("store_id"),
-        _product(number).alias("product_id"),
-        _category(number).alias("category"),
-        kind.alias("transaction_type"),
-        quantity.cast("int").alias("quantity"),
-        F.col("value").alias("unit_price"),
-        F.date_trunc("second", F.col("ts") + F.expr("INTERVAL 5 SECONDS")).alias("inserted_at"),
+        "date_trunc('second', ts) AS event_time",
+        "CAST(user_id % 10 + 1 AS INT) AS store_id",
+        _product(number),
+        _category(number),
+        f"""CASE event_type WHEN 'error' THEN '{RETURN}' WHEN 'signup' THEN '{RESTOCK}'
+            ELSE '{SALE}' END AS transaction_type""",
+        """CAST(CASE event_type WHEN 'error' THEN 1 + event_id % 5
+            WHEN 'signup' THEN 10 + event_id % 91
+            ELSE 1 + event_id % 10 END AS INT) AS quantity""",
+        "value AS unit_price",
+        "date_trunc('second', ts + INTERVAL 5 SECONDS) AS inserted_at",
     )
 
 
@@ -100,22 +99,17 @@ def unified(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFr
 
 def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store events from ``lineitem``, six times as many rows; no unique key."""
-    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    hours = F.make_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
-    returned = F.col("l_returnflag") == "R"
-    kind = (
-        F.when(returned & (F.col("l_linestatus") == "F"), RETURN)
-        .when(returned, RESTOCK)
-        .otherwise(SALE)
-    )
-    return raw.select(
-        (F.col("l_shipdate").cast("timestamp") + hours).alias("event_time"),
-        (F.col("l_suppkey") % 10 + 1).cast("int").alias("store_id"),
-        _product(F.col("l_partkey")).alias("product_id"),
-        _category(F.col("l_partkey")).alias("category"),
-        kind.alias("transaction_type"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("l_extendedprice").alias("unit_price"),
+    raw = spark.read.schema(LINEITEM_TABLE).parquet(f"{sf_dir}/lineitem.parquet")
+    return raw.selectExpr(
+        "CAST(l_shipdate AS TIMESTAMP) + make_interval(0, 0, 0, 0, CAST(l_orderkey % 24 AS INT))"
+        " AS event_time",
+        "CAST(l_suppkey % 10 + 1 AS INT) AS store_id",
+        _product("l_partkey"),
+        _category("l_partkey"),
+        f"""CASE WHEN l_returnflag <> 'R' THEN '{SALE}' WHEN l_linestatus = 'F' THEN '{RETURN}'
+            ELSE '{RESTOCK}' END AS transaction_type""",
+        "CAST(l_quantity AS INT) AS quantity",
+        "l_extendedprice AS unit_price",
     )
 
 
@@ -132,52 +126,46 @@ def predictions(spark: SparkSession, sf_dir: str, *versions: str) -> DataFrame:
         .groupBy("product_id", "store_id", calendar.iso_weekday(F.col("event_time")).alias("day_of_week"))
         .agg(F.sum("quantity").alias("q"))
     )
-    first = calendar.instant(CUTOVER)
-    last = calendar.instant(CUTOVER + dt.timedelta(days=7, hours=-1))
+    last = CUTOVER + dt.timedelta(days=7, hours=-1)
     slots = (
         history.select("product_id", "store_id")
         .distinct()
-        .withColumn("slot", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))))
-        .withColumn("day_of_week", calendar.iso_weekday(F.col("slot")))
+        .selectExpr(
+            "*",
+            f"""explode(sequence(TIMESTAMP '{CUTOVER}', TIMESTAMP '{last}', INTERVAL 1 HOUR))
+                AS slot""",
+        )
+        .selectExpr("*", "weekday(slot) + 1 AS day_of_week")
     )
-    number = F.substring("product_id", 2, 2).cast("int")
-    level = F.when(number % 3 == 0, 8).when(number % 3 == 1, 3).otherwise(2) / 8
-    hour = F.hour("slot")
-    demand = (1 + F.coalesce("q", F.lit(0)) % 16) / 32 * (1 + hour % 2) * level
-    versions = versions or tuple(VERSIONS)
-    factor = F.explode(
-        F.array(*[F.struct(F.lit(v).alias("v"), F.lit(VERSIONS[v]).alias("f")) for v in versions])
+    factors = ", ".join(
+        f"struct('{v}' AS model_version, {VERSIONS[v]}D AS factor)" for v in versions or VERSIONS
     )
     rows = (
         slots.join(sold, ["product_id", "store_id", "day_of_week"], "left")
-        .select("*", demand.alias("demand"), factor.alias("version"))
-        .withColumn("predicted", F.col("demand") * F.col("version.f"))
+        .selectExpr(
+            "*",
+            "hour(slot) AS forecast_hour",
+            "to_date(slot) AS forecast_date",
+            "month(slot) AS month",
+            """(1 + coalesce(q, 0) % 16) / 32 * (1 + hour(slot) % 2) *
+               CASE CAST(substring(product_id, 2, 2) AS INT) % 3
+               WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 2 END / 8 AS demand""",
+            f"inline(array({factors}))",
+        )
+        .withColumn("predicted_demand", F.expr("demand * factor"))
     )
-    date = F.to_date("slot")
-    month = F.month("slot")
-
-    def band(times: float) -> Column:
-        return F.round((F.col("predicted") * times).cast("decimal(18,6)"), 2).cast("double")
-
-    return rows.select(
-        F.sha2(
-            F.concat_ws("|", "version.v", "product_id", "store_id", date.cast("string"), hour), 256
-        ).alias("prediction_id"),
-        first.alias("prediction_time"),
-        F.col("version.v").alias("model_version"),
-        "product_id",
-        "store_id",
-        date.alias("forecast_date"),
-        hour.alias("forecast_hour"),
-        F.col("predicted").alias("predicted_demand"),
-        band(0.8).alias("confidence_lower"),
-        band(1.2).alias("confidence_upper"),
+    key = "model_version, product_id, store_id, forecast_date, forecast_hour"
+    return rows.selectExpr(
+        f"sha2(concat_ws('|', {key}), 256) AS prediction_id",
+        f"TIMESTAMP '{CUTOVER}' AS prediction_time",
+        *key.split(", "),
+        "predicted_demand",
+        "CAST(round(CAST(predicted_demand * 0.8D AS DECIMAL(18,6)), 2) AS DOUBLE) AS confidence_lower",
+        "CAST(round(CAST(predicted_demand * 1.2D AS DECIMAL(18,6)), 2) AS DOUBLE) AS confidence_upper",
         "day_of_week",
-        month.alias("month"),
-        calendar.flag(F.col("day_of_week") >= 6).alias("is_weekend"),
-        F.when(calendar.holiday_season(month) == 1, 1.5)
-        .when(calendar.summer(month) == 1, 1.1)
-        .otherwise(1.0)
-        .alias("seasonal_factor"),
-        first.alias("created_at"),
+        "month",
+        "CASE WHEN day_of_week >= 6 THEN 1 ELSE 0 END AS is_weekend",
+        "CASE WHEN month IN (11, 12) THEN 1.5D WHEN month IN (6, 7, 8) THEN 1.1D ELSE 1.0D END"
+        " AS seasonal_factor",
+        f"TIMESTAMP '{CUTOVER}' AS created_at",
     )
