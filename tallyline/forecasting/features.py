@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
 from tallyline.plans.serving import sales, units
+from tallyline.schemas import SALE
 
 PAIR = ["product_id", "store_id"]
 CALENDAR_KEYS = [
@@ -68,32 +69,62 @@ def training_features(events: DataFrame, history: str = "slot") -> DataFrame:
     return _flags(slots).select(*PAIR, *CALENDAR_KEYS, "total_demand", *HISTORY)
 
 
-def forecast_grid(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """Every product and store seen, at every hour of the next days.
+def _slots(pairs: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
+    """Each row of ``pairs`` at every hour of the next days.
 
-    Each pair expands into its own slots, so the grid is made where the pairs are and no join of
-    two relations is involved.
+    A row expands into its own slots where it is: no join, and nothing is shuffled afterwards.
     """
     first = calendar.midnight(as_of)
     last = first + dt.timedelta(days=days, hours=-1)
     hours = F.sequence(calendar.instant(first), calendar.instant(last), F.expr("INTERVAL 1 HOUR"))
-    slots = events.select(*PAIR).distinct().withColumn("slot", F.explode(hours))
-    return _flags(
-        slots.select(
-            *PAIR,
-            F.to_date("slot").alias("forecast_date"),
-            F.hour("slot").alias("hour_of_day"),
-            calendar.iso_weekday(F.col("slot")).alias("day_of_week"),
-            F.month("slot").alias("month"),
-        )
+    slots = pairs.withColumn("slot", F.explode(hours)).withColumns(
+        {
+            "forecast_date": F.to_date("slot"),
+            "hour_of_day": F.hour("slot"),
+            "day_of_week": calendar.iso_weekday(F.col("slot")),
+            "month": F.month("slot"),
+        }
     )
+    return _flags(slots).drop("slot")
+
+
+def forecast_grid(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
+    """Every product and store seen, at every hour of the next days."""
+    grid = _slots(events.select(*PAIR).distinct(), as_of, days)
+    return grid.select(*PAIR, "forecast_date", *CALENDAR_KEYS)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its bytes, which AQE would pack into few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def score_features(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """The grid with the sales history of its weekday; without history both values are 1."""
-    return (
-        forecast_grid(events, as_of, days)
-        .join(weekday_history(events), [*PAIR, "day_of_week"], "left")
-        .fillna({"avg_demand": 1.0, "transaction_count": 1})
-        .select(*PAIR, "forecast_date", *CALENDAR_KEYS, *HISTORY)
+    """The grid with the sales history of its weekday; without history both values are 1.
+
+    One pass over the events gives the pairs and their history.  The at most seven weekdays of a
+    pair travel with it as a map and are looked up after the expansion, so the grid, 168 rows per
+    pair, is never joined.  The given partition count keeps scoring spread over all cores.
+    """
+    sold = F.col("transaction_type") == SALE
+    weekdays = events.groupBy(
+        *PAIR, calendar.iso_weekday(F.col("event_time")).alias("weekday")
+    ).agg(
+        F.avg(F.when(sold, F.col("quantity"))).alias("avg_demand"),
+        F.count_if(sold).alias("transaction_count"),
+    )
+    entry = F.struct("weekday", F.struct("avg_demand", "transaction_count"))
+    known = F.col("weekday").isNotNull() & (F.col("transaction_count") > 0)
+    pairs = (
+        weekdays.repartition(compute_partitions(events.sparkSession), *PAIR)
+        .groupBy(*PAIR)
+        .agg(F.map_from_entries(F.collect_list(F.when(known, entry))).alias("history"))
+    )
+    past = F.try_element_at("history", F.col("day_of_week"))
+    return _slots(pairs, as_of, days).select(
+        *PAIR,
+        "forecast_date",
+        *CALENDAR_KEYS,
+        F.coalesce(past["avg_demand"], F.lit(1.0)).alias("avg_demand"),
+        F.coalesce(past["transaction_count"], F.lit(1)).alias("transaction_count"),
     )

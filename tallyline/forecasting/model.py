@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.forecasting.features import CALENDAR_KEYS, HISTORY, PAIR
+from tallyline.forecasting.features import CALENDAR_KEYS, HISTORY, PAIR, compute_partitions
 from tallyline.functions import calendar
 from tallyline.schemas import MODEL_METRICS, PREDICTION_FILE
 
@@ -79,11 +79,17 @@ def train(
     columns: Sequence[str] = tuple(FEATURES),
     num_trees: int = NUM_TREES,
 ) -> Trained:
-    """Fit on the training part and measure on the rest."""
-    features = features.persist()
+    """Fit on the training part and measure on the rest.
+
+    The rows are few for the work they cause, so they are spread over a given number of partitions
+    by key; sorting them there makes the sampled trees the same on every run.
+    """
+    keys = [*PAIR, *CALENDAR_KEYS]
+    spread = features.repartition(compute_partitions(features.sparkSession), *keys)
+    features = spread.sortWithinPartitions(*keys).persist()
     try:
-        training = features.where(in_training_part(*PAIR, *CALENDAR_KEYS))
-        held_out = features.where(~in_training_part(*PAIR, *CALENDAR_KEYS))
+        training = features.where(in_training_part(*keys))
+        held_out = features.where(~in_training_part(*keys))
         size = training.agg(
             F.count("*").alias("n"), F.countDistinct("product_id").alias("products")
         ).first()
@@ -149,8 +155,10 @@ def predict(
     """Positive predictions with their band and seasonal factor, in the prediction file schema.
 
     The id is a hash of the prediction's key, so a repeated run yields the same ids and imports once.
+    The prediction passes through a generator, which the filter on it cannot cross: otherwise the
+    model would be evaluated once for the filter and again for the columns.
     """
-    raw = F.col("prediction")
+    raw = F.col("raw")
     key = [
         F.lit(version),
         F.col("product_id"),
@@ -165,6 +173,7 @@ def predict(
     )
     return (
         model.transform(features)
+        .select("*", F.explode(F.array("prediction")).alias("raw"))
         .withColumns(
             {
                 "prediction_id": F.sha2(F.concat_ws("|", *key), 256),
