@@ -11,8 +11,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions import calendar
-from tallyline.functions.ratios import is_type
 from tallyline.operators.ingest import encode
 from tallyline.plans.serving import combine_layers
 from tallyline.schemas import RESTOCK, RETURN, SALE
@@ -71,7 +69,11 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_store_events(raw: DataFrame) -> DataFrame:
-    number = "CAST(get_json_object(props, '$.k') AS INT)"
+    # ``k`` is nearly always the only key; cutting it out costs a tenth of parsing the JSON.
+    cut = "try_cast(substring(props, 6, length(props) - 6) AS INT)"
+    number = f"""coalesce(
+        if(startswith(props, '{{"k":') AND endswith(props, '}}') AND NOT contains(props, ','), {cut}, NULL),
+        CAST(get_json_object(props, '$.k') AS INT))"""
     return raw.selectExpr(
         "event_id",
         "date_trunc('second', ts) AS event_time",
@@ -118,18 +120,15 @@ def predictions(spark: SparkSession, sf_dir: str, *versions: str) -> DataFrame:
 
     The demand is a fixed function of past sales whose values are exact in binary.
     """
-    history = store_events(spark, sf_dir, end=CUTOVER).select(
-        "product_id", "store_id", "transaction_type", "quantity", "event_time"
-    )
-    sold = (
-        history.where(is_type(SALE))
-        .groupBy("product_id", "store_id", calendar.iso_weekday(F.col("event_time")).alias("day_of_week"))
-        .agg(F.sum("quantity").alias("q"))
+    weekdays = (
+        store_events(spark, sf_dir, end=CUTOVER)
+        .groupBy("product_id", "store_id", F.expr("weekday(event_time) + 1 AS weekday"))
+        .agg(F.expr(f"sum(if(transaction_type = '{SALE}', quantity, 0)) AS q"))
     )
     last = CUTOVER + dt.timedelta(days=7, hours=-1)
     slots = (
-        history.select("product_id", "store_id")
-        .distinct()
+        weekdays.groupBy("product_id", "store_id")
+        .agg(F.expr("map_from_entries(collect_list(struct(weekday, q))) AS sold"))
         .selectExpr(
             "*",
             f"""explode(sequence(TIMESTAMP '{CUTOVER}', TIMESTAMP '{last}', INTERVAL 1 HOUR))
@@ -141,13 +140,12 @@ def predictions(spark: SparkSession, sf_dir: str, *versions: str) -> DataFrame:
         f"struct('{v}' AS model_version, {VERSIONS[v]}D AS factor)" for v in versions or VERSIONS
     )
     rows = (
-        slots.join(sold, ["product_id", "store_id", "day_of_week"], "left")
-        .selectExpr(
+        slots.selectExpr(
             "*",
             "hour(slot) AS forecast_hour",
             "to_date(slot) AS forecast_date",
             "month(slot) AS month",
-            """(1 + coalesce(q, 0) % 16) / 32 * (1 + hour(slot) % 2) *
+            """(1 + coalesce(try_element_at(sold, day_of_week), 0) % 16) / 32 * (1 + hour(slot) % 2) *
                CASE CAST(substring(product_id, 2, 2) AS INT) % 3
                WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 2 END / 8 AS demand""",
             f"inline(array({factors}))",
