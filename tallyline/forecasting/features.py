@@ -94,9 +94,13 @@ def forecast_grid(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataF
     return grid.select(*PAIR, "forecast_date", *CALENDAR_KEYS)
 
 
-def compute_partitions(spark: SparkSession) -> int:
-    """Partitions for work that is heavy for its bytes, which AQE would pack into few tasks."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def compute_partitions(spark: SparkSession, rows: int | None = None) -> int:
+    """Partitions for work that is heavy for its bytes, which AQE would pack into few tasks.
+
+    With the number of rows known, no more than one partition per thousand of them.
+    """
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return most if rows is None else max(1, min(most, rows // 1000))
 
 
 def score_features(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:

@@ -81,14 +81,15 @@ def train(
 ) -> Trained:
     """Fit on the training part and measure on the rest.
 
-    The rows are few for the work they cause, so they are spread over a given number of partitions
-    by key; sorting them there makes the sampled trees the same on every run.
+    The rows are few for the work they cause, so they are spread by key over more partitions than
+    their size asks for; sorting them there makes the sampled trees the same on every run.
     """
     keys = [*PAIR, *CALENDAR_KEYS]
-    spread = features.repartition(compute_partitions(features.sparkSession), *keys)
-    features = spread.sortWithinPartitions(*keys).persist()
+    features = features.persist()
     try:
-        training = features.where(in_training_part(*keys))
+        partitions = compute_partitions(features.sparkSession, features.count())
+        spread = features.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        training = spread.where(in_training_part(*keys))
         held_out = features.where(~in_training_part(*keys))
         size = training.agg(
             F.count("*").alias("n"), F.countDistinct("product_id").alias("products")

@@ -1,19 +1,23 @@
-"""The scheduled work as three calls: ingest, train, and predict with import.
+"""The scheduled work as calls: ingest, train, predict with import, and the upkeep of the tables.
 
 Every job takes its clock, so a re-run for the same time does the same work.
 """
 
 from __future__ import annotations
 
+import argparse
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.forecasting import features, model
 from tallyline.functions.calendar import version_stamp
+from tallyline.operators.rollup import ROLLUPS
+from tallyline.session import build_session
 from tallyline.sources import predictions as store
 from tallyline.sources import tables
-from tallyline.streaming.rollups import start_rollups
+from tallyline.sources.messages import file_stream, topic_stream
+from tallyline.streaming.rollups import compact_rollup, start_rollups, vacuum_rollup
 from tallyline.streaming.sinks import start_lake_sink, start_realtime_sink
 
 
@@ -63,3 +67,45 @@ def predict_and_import(
 def expire(spark: SparkSession, root: str, as_of: dt.datetime) -> list[str]:
     """Drop the dates of the realtime table that are past retention."""
     return tables.drop_expired(spark, f"{root}/realtime", as_of)
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Merge the partials of each rollup and remove what the merge has replaced."""
+    for rollup in ROLLUPS:
+        compact_rollup(spark, f"{root}/rollups", rollup)
+        vacuum_rollup(spark, f"{root}/rollups", rollup)
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """``spark-submit … jobs.py ingest --root s3a://bucket/retail --servers host:9092 --topic t``."""
+    parser = argparse.ArgumentParser(description="Scheduled work on store events")
+    parser.add_argument("job", choices=["ingest", "train", "predict", "expire", "compact"])
+    parser.add_argument("--root", required=True, help="folder of all tables")
+    parser.add_argument("--as-of", type=dt.datetime.fromisoformat, default=None)
+    parser.add_argument("--landing", help="ingest JSON lines of this directory")
+    parser.add_argument("--servers", help="ingest a topic of these servers")
+    parser.add_argument("--topic", default="retail_events")
+    chosen = parser.parse_args(arguments)
+    as_of = chosen.as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    spark = build_session(f"tallyline-{chosen.job}")
+    if chosen.job == "ingest":
+        if not (chosen.landing or chosen.servers):
+            parser.error("ingest needs --landing or --servers")
+        stream = (
+            topic_stream(spark, chosen.servers, chosen.topic)
+            if chosen.servers
+            else file_stream(spark, chosen.landing)
+        )
+        ingest(stream, chosen.root)
+    elif chosen.job == "train":
+        train(spark, chosen.root, as_of)
+    elif chosen.job == "predict":
+        predict_and_import(spark, chosen.root, as_of)
+    elif chosen.job == "expire":
+        expire(spark, chosen.root, as_of)
+    else:
+        compact(spark, chosen.root)
+
+
+if __name__ == "__main__":
+    main()

@@ -11,8 +11,10 @@ from conftest import SF_TINY
 from tallyline import jobs
 from tallyline.forecasting import features, model
 from tallyline.operators import demand_shape, ingest
+from tallyline.operators.rollup import DAILY
 from tallyline.plans.forecast import active_model
 from tallyline.sources import messages, predictions, sample, storage
+from tallyline.streaming import rollups
 
 AS_OF = sample.AS_OF
 SLOT = [*features.PAIR, *features.CALENDAR_KEYS]
@@ -166,6 +168,21 @@ def test_jobs_from_messages_to_imported_predictions(spark, tmp_path, events):
     assert jobs.expire(spark, root, AS_OF + dt.timedelta(days=75)) != []
 
 
+def test_jobs_by_name(spark, tmp_path, events):
+    root, landing = str(tmp_path / "tables"), str(tmp_path / "landing")
+    for store in (1, 2):
+        messages.write_messages(ingest.encode(events.where(F.col("store_id") == store)), landing)
+        jobs.main(["ingest", "--root", root, "--landing", landing])
+    before = rollups.read_rollup(spark, f"{root}/rollups", DAILY).collect()
+    jobs.main(["compact", "--root", root])
+    after = rollups.read_rollup(spark, f"{root}/rollups", DAILY).collect()
+    assert sorted(before) == sorted(after)
+    jobs.main(["expire", "--root", root, "--as-of", "2024-06-30"])
+    assert not [d for d in storage.child_directories(spark, f"{root}/realtime") if "event_date" in d]
+    with pytest.raises(SystemExit):
+        jobs.main(["ingest", "--root", root])
+
+
 # Demand shape
 
 
