@@ -38,12 +38,15 @@ def start_rollups(
     """Keep the rollups up to date; rows of any age count, whenever they arrive."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        events = ingest.parse_events(batch, lenient=True).drop("value").persist()
+        events = ingest.parse_events(batch, lenient=True).drop("value")
+        if len(rollups) > 1:
+            events.persist()
         try:
             for rollup in rollups:
                 store_partials(events, batch_id, rollup, root)
         finally:
-            events.unpersist()
+            if len(rollups) > 1:
+                events.unpersist()
 
     return (
         messages.writeStream.foreachBatch(store)
