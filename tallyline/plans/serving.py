@@ -36,6 +36,11 @@ def average_price() -> Column:
     return money.money_avg(F.col(PRICE))
 
 
+def _not_after(bound: Column, column: str) -> Column:
+    # An event whose time could not be read is only in the archive, so the archive answers for it.
+    return bound | F.col(column).isNull()
+
+
 def combine_layers(
     recent: DataFrame, archived: DataFrame, cutover: dt.datetime | None = None
 ) -> DataFrame:
@@ -51,9 +56,12 @@ def combine_layers(
         columns.append("event_date")
     if cutover is not None:
         recent = calendar.since(recent, cutover)
-        archived = archived.where(F.col("event_time") < calendar.instant(cutover))
+        before = F.col("event_time") < calendar.instant(cutover)
+        archived = archived.where(_not_after(before, "event_time"))
         if "event_date" in columns:
-            archived = archived.where(F.col("event_date") <= calendar.day(cutover))
+            archived = archived.where(
+                _not_after(F.col("event_date") <= calendar.day(cutover), "event_date")
+            )
     return (
         recent.select(*columns)
         .withColumn("source", F.lit("realtime"))

@@ -51,8 +51,26 @@ def write_realtime(rows: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def read_realtime(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REALTIME).parquet(path)
+def read_realtime(
+    spark: SparkSession, path: str, start: dt.datetime | None = None
+) -> DataFrame:
+    """The realtime table; with ``start`` only the directories of its date and later are listed.
+
+    A stream leaves one directory per date and batch, so for a report on the last hours most of the
+    time would go into listing the ones it does not read.
+    """
+    reader = spark.read.schema(REALTIME).option("basePath", path)
+    if start is None:
+        return reader.parquet(path)
+    first = f"event_date={start.date().isoformat()}"
+    names = [
+        name
+        for name in storage.child_directories(spark, path)
+        if name.startswith("event_date=") and name >= first
+    ]
+    if not names:
+        return spark.createDataFrame([], REALTIME)
+    return reader.parquet(*[f"{path}/{name}" for name in names])
 
 
 def retained(events: DataFrame, as_of: dt.datetime, days: int = RETENTION_DAYS) -> DataFrame:

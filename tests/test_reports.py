@@ -27,6 +27,12 @@ def test_event_in_both_layers_counts_twice_raw_and_once_with_cutover(events, at)
     ]
 
 
+def test_event_without_a_time_is_answered_by_the_archive(events, at):
+    timeless = events((None, 1, "A", "C", "SALE", 2, 5.0))
+    cut = serving.combine_layers(timeless, timeless, at("2024-01-20 10:00:00"))
+    assert [(r.quantity, r.source) for r in cut.collect()] == [(2, "historical")]
+
+
 def test_return_rate_leaves_out_products_never_sold(events):
     rows = serving.return_rate(
         events(

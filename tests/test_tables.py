@@ -50,6 +50,17 @@ def test_recent_report_reads_recent_directories_only(spark, stored):
     assert report.count() > 0
 
 
+def test_only_recent_directories_are_listed(spark, stored):
+    path = f"{stored}/realtime"
+    whole, recent = tables.read_realtime(spark, path), tables.read_realtime(spark, path, sample.CUTOVER)
+    assert len(whole.inputFiles()) == 30 and len(recent.inputFiles()) == 7
+    expected = calendar.since(whole, sample.CUTOVER)
+    assert recent.columns == whole.columns
+    assert recent.exceptAll(expected).count() == 0 and expected.exceptAll(recent).count() == 0
+    nothing = tables.read_realtime(spark, path, dt.datetime(2030, 1, 1))
+    assert nothing.schema == whole.schema and nothing.count() == 0
+
+
 def test_report_reads_only_its_columns(spark, stored):
     report = serving.sales_by_store(tables.read_lake(spark, f"{stored}/lake"))
     (scan,) = scan_lines(report)
@@ -59,6 +70,19 @@ def test_report_reads_only_its_columns(spark, stored):
     )
 
 
+def test_files_are_sorted_by_time_within_their_partition(stored):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    for table in ("lake", "realtime"):
+        files = list(Path(f"{stored}/{table}").rglob("*.parquet"))
+        assert len(files) == 30
+        for file in files:
+            times = pq.ParquetFile(file).read(["event_time"])["event_time"].to_pylist()
+            assert times == sorted(times)
+
+
 def test_union_of_stored_layers_equals_the_events(spark, stored):
     unified = serving.combine_layers(
         tables.read_realtime(spark, f"{stored}/realtime"),
