@@ -4,6 +4,8 @@ A sum of doubles changes in its last digits with every shuffle.  Here each amoun
 whole cents, summed as BIGINT inside the generated code, and what is left below a cent, summed as
 DOUBLE.  For prices in whole cents the second part is exactly zero, so totals are exact; finer
 prices still count in full.
+
+Columns and conditions are given as SQL text, so that each sum is one expression to parse.
 """
 
 from __future__ import annotations
@@ -17,34 +19,24 @@ PRICE_LIMIT = 1e7
 AMOUNT_LIMIT = 1e13
 
 
-def whole_cents(value: Column, limit: float) -> Column:
-    return F.when(F.abs(value) <= limit, F.floor(value * 100 + 0.5)).otherwise(
-        F.lit(0).cast("bigint")
-    )
-
-
-def below_cent(value: Column, limit: float) -> Column:
-    return value - whole_cents(value, limit) / 100
-
+def _parts(value: str, quantity: str | None, where: str | None) -> tuple[str, str]:
+    """SQL of the cents and of the rest of one row; rows outside ``where`` are 0."""
+    limit = AMOUNT_LIMIT if quantity is None else PRICE_LIMIT
+    cents = f"if(abs({value}) <= {limit!r}D, floor({value} * 100 + 0.5D), 0L)"
+    rest = f"({value} - {cents} / 100)"
+    if quantity is not None:
+        cents, rest = f"{quantity} * {cents}", f"{quantity} * {rest}"
+    if where is not None:
+        cents, rest = f"if({where}, {cents}, 0L)", f"if({where}, {rest}, 0D)"
+    return cents, rest
 
-def _counted(value: Column, where: Column | None) -> Column:
-    return value if where is None else F.when(where, value).otherwise(F.lit(0))
 
+def cent_sum(value: str, quantity: str | None = None) -> Column:
+    return F.expr(f"sum({_parts(value, quantity, None)[0]})")
 
-def cent_sum(price: Column, quantity: Column | None = None, where: Column | None = None) -> Column:
-    if quantity is None:
-        value = whole_cents(price, AMOUNT_LIMIT)
-    else:
-        value = quantity * whole_cents(price, PRICE_LIMIT)
-    return F.sum(_counted(value, where))
 
-
-def rest_sum(price: Column, quantity: Column | None = None, where: Column | None = None) -> Column:
-    if quantity is None:
-        value = below_cent(price, AMOUNT_LIMIT)
-    else:
-        value = quantity * below_cent(price, PRICE_LIMIT)
-    return F.sum(_counted(value, where))
+def rest_sum(value: str, quantity: str | None = None) -> Column:
+    return F.expr(f"sum({_parts(value, quantity, None)[1]})")
 
 
 def amount(cents: Column, rest: Column) -> Column:
@@ -52,17 +44,19 @@ def amount(cents: Column, rest: Column) -> Column:
     return cents / 100 + rest
 
 
-def money_sum(
-    price: Column, quantity: Column | None = None, where: Column | None = None
-) -> Column:
-    """``sum(quantity * price)``; rows outside ``where`` count as 0."""
-    return amount(cent_sum(price, quantity, where), rest_sum(price, quantity, where))
+def _sum(value: str, quantity: str | None, where: str | None) -> str:
+    cents, rest = _parts(value, quantity, where)
+    return f"(sum({cents}) / 100 + sum({rest}))"
+
+
+def money_sum(value: str, quantity: str | None = None, where: str | None = None) -> Column:
+    """``sum(quantity * value)``; rows outside ``where`` count as 0."""
+    return F.expr(_sum(value, quantity, where))
 
 
-def money_avg(
-    price: Column, quantity: Column | None = None, where: Column | None = None
-) -> Column:
-    """``avg(quantity * price)``; rows outside ``where`` count as 0 and stay in the divisor."""
-    value = price if quantity is None else quantity * price
-    rows = F.count(_counted(value, where))
-    return F.try_divide(money_sum(price, quantity, where), rows)
+def money_avg(value: str, quantity: str | None = None, where: str | None = None) -> Column:
+    """``avg(quantity * value)``; rows outside ``where`` count as 0 and stay in the divisor."""
+    counted = value if quantity is None else f"{quantity} * {value}"
+    if where is not None:
+        counted = f"if({where}, {counted}, 0D)"
+    return F.expr(f"try_divide({_sum(value, quantity, where)}, count({counted}))")

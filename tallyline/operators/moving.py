@@ -20,7 +20,7 @@ def hourly_revenue(events: DataFrame) -> DataFrame:
     return (
         events.where(is_type(SALE))
         .groupBy("category", calendar.hour_bucket(F.col("event_time")).alias("hour"))
-        .agg(money.money_sum(F.col("unit_price"), F.col("quantity")).alias("hourly_revenue"))
+        .agg(money.money_sum("unit_price", "quantity").alias("hourly_revenue"))
     )
 
 

@@ -73,7 +73,7 @@ def partials(events: DataFrame, rollup: Rollup) -> DataFrame:
     """One partial row per key of this set of events."""
     if rollup.sales_only:
         events = events.where(is_type(SALE))
-    price, quantity = F.col("unit_price"), F.col("quantity")
+    price, quantity = "unit_price", "quantity"
     return events.groupBy(*[key().alias(name) for name, key in rollup.keys.items()]).agg(
         F.count("*").alias("transaction_count"),
         F.sum(quantity).alias("total_quantity"),

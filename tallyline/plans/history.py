@@ -28,8 +28,8 @@ def daily_sales_trend(unified: DataFrame, as_of: dt.datetime, days: int = 30) ->
 
 def daily_sales_summary_stats(unified: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
     return daily_sales_trend(unified, as_of, days).agg(
-        money.money_sum(F.col("revenue")).alias("total_revenue"),
-        money.money_avg(F.col("revenue")).alias("avg_daily_revenue"),
+        money.money_sum("revenue").alias("total_revenue"),
+        money.money_avg("revenue").alias("avg_daily_revenue"),
         F.sum("transactions").alias("total_transactions"),
         F.sum("items_sold").alias("total_items"),
     )
@@ -81,7 +81,7 @@ def store_performance(
         calendar.last_days(unified, as_of, days)
         .groupBy("store_id")
         .agg(
-            revenue(is_type(SALE)).alias("total_revenue"),
+            revenue(SALE).alias("total_revenue"),
             F.count_if(is_type(SALE)).alias("sales_count"),
             F.count_if(is_type(RETURN)).alias("return_count"),
         )
@@ -149,8 +149,8 @@ def revenue_metrics(rows: DataFrame, revenue_column: str = "total_revenue") -> D
     """Total, mean, largest and smallest of a revenue column; zeros when there is no row."""
     value = F.col(revenue_column)
     measures = {
-        "total_revenue": money.money_sum(value),
-        "avg_revenue": money.money_avg(value),
+        "total_revenue": money.money_sum(revenue_column),
+        "avg_revenue": money.money_avg(revenue_column),
         "max_revenue": F.max(value),
         "min_revenue": F.min(value),
     }

@@ -23,8 +23,8 @@ def home_kpis(unified: DataFrame) -> DataFrame:
         .groupBy("product_id", "store_id")
         .agg(
             F.count("*").alias("n"),
-            money.cent_sum(F.col("unit_price"), F.col("quantity")).alias("cents"),
-            money.rest_sum(F.col("unit_price"), F.col("quantity")).alias("rest"),
+            money.cent_sum("unit_price", "quantity").alias("cents"),
+            money.rest_sum("unit_price", "quantity").alias("rest"),
         )
     )
     return per_pair.agg(

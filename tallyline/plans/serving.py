@@ -20,12 +20,18 @@ def sales(events: DataFrame) -> DataFrame:
     return events.where(is_type(SALE))
 
 
-def revenue(where: Column | None = None) -> Column:
-    return money.money_sum(F.col(PRICE), F.col(QUANTITY), where)
+def _only(kind: str | None) -> str | None:
+    return None if kind is None else f"transaction_type = '{kind}'"
 
 
-def basket_value(where: Column | None = None) -> Column:
-    return money.money_avg(F.col(PRICE), F.col(QUANTITY), where)
+def revenue(kind: str | None = None) -> Column:
+    """Revenue of all rows, or of those of one type with the others counted as 0."""
+    return money.money_sum(PRICE, QUANTITY, _only(kind))
+
+
+def basket_value(kind: str | None = None) -> Column:
+    """Average value of all rows; rows of another type than ``kind`` count as 0."""
+    return money.money_avg(PRICE, QUANTITY, _only(kind))
 
 
 def units() -> Column:
@@ -33,7 +39,7 @@ def units() -> Column:
 
 
 def average_price() -> Column:
-    return money.money_avg(F.col(PRICE))
+    return money.money_avg(PRICE)
 
 
 def _not_after(bound: Column, column: str) -> Column:
@@ -127,14 +133,13 @@ def product_performance(unified: DataFrame) -> DataFrame:
 
 def return_counts(events: DataFrame, *keys: str) -> DataFrame:
     """Per key the sale and return counts, the return rate and both values."""
-    sold, returned = is_type(SALE), is_type(RETURN)
     return (
         events.groupBy(*keys)
         .agg(
-            F.count_if(sold).alias("sales_count"),
-            F.count_if(returned).alias("return_count"),
-            revenue(sold).alias("total_sales_revenue"),
-            revenue(returned).alias("total_return_value"),
+            F.count_if(is_type(SALE)).alias("sales_count"),
+            F.count_if(is_type(RETURN)).alias("return_count"),
+            revenue(SALE).alias("total_sales_revenue"),
+            revenue(RETURN).alias("total_return_value"),
         )
         .withColumn("return_rate_pct", percent(F.col("return_count"), F.col("sales_count")))
     )
@@ -152,15 +157,14 @@ def store_daily_performance(
     unified: DataFrame, as_of: dt.datetime, days: int = REPORT_DAYS
 ) -> DataFrame:
     """Per store and date; the average value divides by all movements, not by the sales."""
-    sold = is_type(SALE)
     return (
         calendar.last_days(unified, as_of, days)
         .groupBy("store_id", F.to_date("event_time").alias("date"))
         .agg(
-            F.count_if(sold).alias("sales_transactions"),
+            F.count_if(is_type(SALE)).alias("sales_transactions"),
             F.count_if(is_type(RETURN)).alias("return_transactions"),
-            revenue(sold).alias("daily_revenue"),
-            basket_value(sold).alias("avg_transaction_value"),
+            revenue(SALE).alias("daily_revenue"),
+            basket_value(SALE).alias("avg_transaction_value"),
             units().alias("total_items_moved"),
         )
         .orderBy(F.desc("date"), F.desc("daily_revenue"), "store_id")

@@ -137,14 +137,13 @@ def windowed_hourly(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     In append mode an hour is emitted once it can no longer change.
     """
     events = ingest.parse_events(messages, lenient=True).where(is_type(SALE))
-    price, quantity = F.col("unit_price"), F.col("quantity")
     return (
         events.withWatermark("event_time", delay)
         .groupBy(F.window("event_time", "1 hour"), "store_id", "category")
         .agg(
             F.count("*").alias("transaction_count"),
-            F.sum(quantity).alias("total_quantity"),
-            money.money_sum(price, quantity).alias("total_revenue"),
+            F.sum("quantity").alias("total_quantity"),
+            money.money_sum("unit_price", "quantity").alias("total_revenue"),
         )
         .select(
             calendar.hour_bucket(F.col("window.start")).alias("hour"),
