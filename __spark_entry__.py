@@ -347,6 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "performance_metrics": lambda s, d: history.performance_metrics(unified(s, d)),
         "product_cards": product_cards,
+        "category_cards": lambda s, d: history.category_cards(unified(s, d, days=30), AS_OF),
         # inventory
         "stock_movement": lambda s, d: inventory.stock_movement(unified(s, d, days=30), AS_OF),
         "net_stock_movement": lambda s, d: inventory.net_stock_movement(

@@ -271,6 +271,14 @@ def _money_text(x: str) -> str:
     )
 
 
+def _count_text(x: str) -> str:
+    return (
+        f"CASE WHEN abs({x}) >= 1e9 THEN format('{{:.1f}}B', {x} / 1e9) "
+        f"WHEN abs({x}) >= 1e6 THEN format('{{:.1f}}M', {x} / 1e6) "
+        f"WHEN abs({x}) >= 1e3 THEN format('{{:.1f}}K', {x} / 1e3) ELSE format('{{:.1f}}', {x}) END"
+    )
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     ev, ln, pr, acc = (f"WITH {cte}\n" for cte in (EVENTS, LINES, PREDICTIONS, ACCURACY))
@@ -427,6 +435,13 @@ SELECT *, total_revenue / SUM(total_revenue) OVER () * 100 AS revenue_share FROM
   SELECT category, CAST(COUNT(*) AS BIGINT) AS total_transactions, {REVENUE} AS total_revenue,
          {REVENUE} / COUNT(*) AS avg_transaction_value, {UNITS} AS total_items
   FROM ev WHERE {SALE} AND {days(30)} GROUP BY ALL)"""
+    q["category_cards"] = f"""
+SELECT category, {_money_text('total_revenue')} AS revenue_text,
+       {_money_text('avg_transaction_value')} AS avg_value_text,
+       {_count_text('CAST(total_items AS DOUBLE)')} AS items_text,
+       format('{{:.1f}}%', CASE WHEN abs(revenue_share) <= 1 THEN revenue_share * 100
+                              ELSE revenue_share END) AS share_text
+FROM ({q["category_performance"]})"""
     q["category_performance"] = (
         "SELECT category, total_transactions, total_revenue, avg_transaction_value, total_items, "
         f"round(revenue_share, 6) AS revenue_share FROM ({q['category_performance']})"
@@ -452,9 +467,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total_transactions,
        CAST(COUNT(DISTINCT store_id) AS BIGINT) AS unique_stores FROM ev"""
     q["product_cards"] = ev + f"""
 SELECT product_id, {_money_text('r')} AS revenue_text, {_money_text('a')} AS avg_value_text,
-       CASE WHEN abs(u) >= 1e9 THEN format('{{:.1f}}B', u / 1e9) WHEN abs(u) >= 1e6
-            THEN format('{{:.1f}}M', u / 1e6) WHEN abs(u) >= 1e3 THEN format('{{:.1f}}K', u / 1e3)
-            ELSE format('{{:.1f}}', u) END AS items_text,
+       {_count_text('u')} AS items_text,
        format('{{:.1f}}%', CASE WHEN abs(s) <= 1 THEN s * 100 ELSE s END) AS return_text
 FROM (SELECT product_id, {REVENUE} AS r, {REVENUE} / COUNT(*) AS a,
              CAST(SUM(quantity) AS DOUBLE) AS u,
