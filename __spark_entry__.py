@@ -24,6 +24,15 @@ from tallyline.schemas import EVENT_COLUMNS, LAKE, REALTIME
 from tallyline.sources import messages, predictions, sample, tables
 from tallyline.streaming import rollups, sinks
 
+# The subpackage llm and the corpus pipeline can be removed; everything else then works without them.
+try:
+    import corpus_pipeline
+    from tallyline.llm import registry as llm
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "tallyline.llm")):
+        raise
+    corpus_pipeline = llm = None
+
 AS_OF, CUTOVER = sample.AS_OF, sample.CUTOVER
 V1 = "fixture_v1"
 
@@ -481,9 +490,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "weighted_sample": lambda s, d: demand_shape.weighted_sample(store(s, d), "event_id").select(
             "event_id", *EVENT_COLUMNS
         ),
+        **_llm_queries(),
     }
 
 
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if llm is None:
+        return {}
+    return {**llm.QUERIES, "pipeline": lambda s, d: corpus_pipeline.run(s, d)}
+
+
+def _llm_sql() -> dict[str, str]:
+    if llm is None:
+        return {}
+    pipeline = corpus_pipeline.ORACLE_SQL
+    return {**llm.SQL, **({"pipeline": pipeline} if pipeline else {})}
+
+
 def oracle_sql() -> dict[str, str]:
     """No entry for model training and scoring: their results are not expressible in SQL."""
-    return oracle.sql()
+    return {**oracle.sql(), **_llm_sql()}

@@ -11,6 +11,10 @@ EAGER |= {"realtime_table", "lake_pruned_scan", "retention_90d", "save_predictio
 EAGER |= {"predictions_csv_roundtrip", "import_predictions"}
 
 
+# The optional subpackage has tests of its own.
+EAGER |= entry._llm_queries().keys()
+
+
 @pytest.mark.parametrize("key", sorted(entry.queries().keys() - EAGER))
 def test_plan(spark, key):
     plan = entry.queries()[key](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
