@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import common
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 5_000
 THRESHOLD = 0.3
 PENALTY = 5.0
 RIDGE = 0.02
