@@ -234,7 +234,7 @@ def ml_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 def ml_compare_models(spark: SparkSession, sf: str) -> DataFrame:
     rows = features.training_features(_events(spark, sf))
-    return model.compare_models(rows, calendar.version_stamp(AS_OF), AS_OF, num_trees=20)
+    return model.compare_models(rows, calendar.version_stamp(AS_OF), AS_OF)
 
 
 def active_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -369,14 +369,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             unified(s, d, days=30), AS_OF
         ),
         "high_demand_products": lambda s, d: inventory.high_demand_products(
-            _past(s, d), forecasts(s, d, V1), CUTOVER
+            store(s, d), forecasts(s, d, V1), CUTOVER
         ),
         "restock_priority": lambda s, d: inventory.restock_priority(
-            _past(s, d), forecasts(s, d, V1), CUTOVER
+            store(s, d), forecasts(s, d, V1), CUTOVER
         ),
         "restock_priority_counts": lambda s, d: inventory.restock_priority_counts(
-            _past(s, d), forecasts(s, d, V1), CUTOVER
+            store(s, d), forecasts(s, d, V1), CUTOVER
         ),
+        "restock_priority_counts_all": lambda s, d: inventory.restock_priority_counts(
+            store(s, d), forecasts(s, d, V1), CUTOVER, top=None
+        ),
+        "realtime_kpis_past": lambda s, d: realtime.realtime_kpis(store(s, d), CUTOVER),
         # anomalies
         "sales_anomaly_stats": lambda s, d: _rounded(
             anomaly.sales_anomaly_stats(_events(s, d, week), AS_OF), *stats
@@ -430,12 +434,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             forecasts(s, d), CUTOVER
         ),
         "restock_recommendations": lambda s, d: forecast.restock_recommendations(
-            forecasts(s, d, V1), _past(s, d), CUTOVER
+            forecasts(s, d, V1), store(s, d), CUTOVER
         ),
         "high_demand_restock": lambda s, d: forecast.high_demand_restock(
-            forecasts(s, d, V1), _past(s, d), CUTOVER
+            forecasts(s, d, V1), store(s, d), CUTOVER
         ),
-        "restock_7d": lambda s, d: forecast.restock_7d(forecasts(s, d, V1), _past(s, d), CUTOVER),
+        "restock_7d": lambda s, d: forecast.restock_7d(forecasts(s, d, V1), store(s, d), CUTOVER),
         "predictions_count": lambda s, d: forecast.predictions_count(forecasts(s, d)),
         "forecast_dimensions": lambda s, d: forecast.forecast_dimensions(forecasts(s, d)),
         "forecast_by_day": lambda s, d: _rounded(

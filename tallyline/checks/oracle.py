@@ -374,6 +374,10 @@ FROM ev ORDER BY inserted_at DESC, event_time DESC, store_id, product_id, catego
 SELECT CAST(COUNT(*) AS BIGINT) AS total_transactions, {REVENUE} AS total_revenue,
        {REVENUE} / COUNT(*) AS avg_basket_value, {UNITS} AS total_quantity
 FROM ev WHERE {SALE} AND {hours(24)}"""
+    q["realtime_kpis_past"] = ev + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total_transactions, {REVENUE} AS total_revenue,
+       {REVENUE} / COUNT(*) AS avg_basket_value, {UNITS} AS total_quantity
+FROM ev WHERE {SALE} AND event_time < {CUTOVER} AND event_time >= {CUTOVER} - INTERVAL 24 HOUR"""
     q["realtime_hourly"] = ev + f"""
 SELECT date_trunc('hour', event_time) AS hour, {REVENUE} AS revenue,
        CAST(COUNT(*) AS BIGINT) AS transactions FROM ev WHERE {SALE} AND {hours(24)} GROUP BY ALL"""
@@ -514,6 +518,8 @@ SELECT CAST(COUNT(*) FILTER (WHERE priority = 'High Priority') AS BIGINT) AS hig
        CAST(COUNT(*) FILTER (WHERE priority = 'Normal') AS BIGINT) AS normal_priority,
        CAST(COUNT(*) FILTER (WHERE priority = 'Low Priority') AS BIGINT) AS low_priority FROM prio"""
 
+    q["restock_priority_counts_all"] = q["restock_priority_counts"].replace("LIMIT 50", "")
+
     # Anomalies
     q["sales_anomaly_stats"] = f"""WITH {MOVING}
 SELECT category, hour, hourly_revenue, round(moving_avg_24h, 6) AS moving_avg_24h,

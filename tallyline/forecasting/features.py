@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
@@ -89,46 +89,34 @@ def _slots(pairs: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
 
 
 def forecast_grid(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """Every product and store seen, at every hour of the next days."""
-    grid = _slots(events.select(*PAIR).distinct(), as_of, days)
+    """Every product and store seen before ``as_of``, at every hour of the next days."""
+    grid = _slots(calendar.before(events, as_of).select(*PAIR).distinct(), as_of, days)
     return grid.select(*PAIR, "forecast_date", *CALENDAR_KEYS)
 
 
-def compute_partitions(spark: SparkSession, rows: int | None = None) -> int:
-    """Partitions for work that is heavy for its bytes, which AQE would pack into few tasks.
-
-    With the number of rows known, no more than one partition per thousand of them.
-    """
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return most if rows is None else max(1, min(most, rows // 1000))
-
-
 def score_features(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """The grid with the sales history of its weekday; without history both values are 1.
+    """The grid with the sales history of its weekday before ``as_of``; without history both are 1.
 
-    One pass over the events gives the pairs and their history.  The at most seven weekdays of a
-    pair travel with it as a map and are looked up after the expansion, so the grid, 168 rows per
-    pair, is never joined.  The given partition count keeps scoring spread over all cores.
+    One grouping by pair takes the seven weekdays as conditional aggregates; they travel with the
+    pair and are looked up after the expansion, so the grid, 168 rows per pair, is never joined.
     """
     sold = F.col("transaction_type") == SALE
-    weekdays = events.groupBy(
-        *PAIR, calendar.iso_weekday(F.col("event_time")).alias("weekday")
-    ).agg(
-        F.avg(F.when(sold, F.col("quantity"))).alias("avg_demand"),
-        F.count_if(sold).alias("transaction_count"),
-    )
-    entry = F.struct("weekday", F.struct("avg_demand", "transaction_count"))
-    known = F.col("weekday").isNotNull() & (F.col("transaction_count") > 0)
-    pairs = (
-        weekdays.repartition(compute_partitions(events.sparkSession), *PAIR)
-        .groupBy(*PAIR)
-        .agg(F.map_from_entries(F.collect_list(F.when(known, entry))).alias("history"))
+    weekday = calendar.iso_weekday(F.col("event_time"))
+    history = F.array(
+        *[
+            F.struct(
+                F.avg(F.when(sold & (weekday == d), F.col("quantity"))).alias("avg_demand"),
+                F.count_if(sold & (weekday == d)).alias("transaction_count"),
+            )
+            for d in range(1, 8)
+        ]
     )
-    past = F.try_element_at("history", F.col("day_of_week"))
+    pairs = calendar.before(events, as_of).groupBy(*PAIR).agg(history.alias("history"))
+    past = F.get("history", F.col("day_of_week") - 1)
     return _slots(pairs, as_of, days).select(
         *PAIR,
         "forecast_date",
         *CALENDAR_KEYS,
         F.coalesce(past["avg_demand"], F.lit(1.0)).alias("avg_demand"),
-        F.coalesce(past["transaction_count"], F.lit(1)).alias("transaction_count"),
+        F.greatest(past["transaction_count"], F.lit(1)).alias("transaction_count"),
     )

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.forecasting.features import CALENDAR_KEYS, HISTORY, PAIR, compute_partitions
+from tallyline.forecasting.features import CALENDAR_KEYS, HISTORY, PAIR
 from tallyline.functions import calendar
 from tallyline.schemas import MODEL_METRICS, PREDICTION_FILE
 
@@ -23,11 +23,12 @@ FEATURES = ["product_idx", "store_id", *CALENDAR_KEYS, *HISTORY]
 CALENDAR_FEATURES = ["product_idx", "store_id", *CALENDAR_KEYS]
 
 MODEL_TYPE = "demand_forecast"
+# Trees, depth, bins, seed and training share of the forest.
 NUM_TREES, MAX_DEPTH, MAX_BINS, SEED = 100, 10, 32, 42
 TRAIN_PERCENT = 80
-# Beyond this many products the index is an ordinary number, not a category: a category needs a
-# bin per product in every node's statistics.
-MAX_PRODUCT_BINS = 1024
+# Sampling of the trees depends on how rows are dealt out, so this is part of the model, not of the
+# cluster's settings.
+TRAIN_PARTITIONS = 32
 
 # Shown seasonal factor and the band around a prediction.
 HOLIDAY_FACTOR, SUMMER_FACTOR = 1.5, 1.1
@@ -49,27 +50,20 @@ def in_training_part(*keys: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *keys), F.lit(100)) < TRAIN_PERCENT
 
 
-def _pipeline(algorithm: str, features: Sequence[str], products: int, num_trees: int) -> Pipeline:
-    categorical = products + 1 <= MAX_PRODUCT_BINS
-    common = {
-        "featuresCol": "features",
-        "labelCol": LABEL,
-        "maxBins": max(MAX_BINS, products + 1) if categorical else MAX_BINS,
-        "seed": SEED,
-    }
+def _pipeline(algorithm: str, features: Sequence[str], num_trees: int) -> Pipeline:
+    """The product index is an ordinary number for any count of products: as a category it would
+    need a bin per product in every node's statistics."""
+    common = {"featuresCol": "features", "labelCol": LABEL, "maxBins": MAX_BINS, "seed": SEED}
     if algorithm == "RandomForest":
         learner = RandomForestRegressor(numTrees=num_trees, maxDepth=MAX_DEPTH, **common)
     else:
         learner = GBTRegressor(maxIter=num_trees, maxDepth=5, **common)
-    indexer = StringIndexer(inputCol="product_id", outputCol="product_idx", handleInvalid="keep")
+    indexer = StringIndexer(inputCol="product_id", outputCol="product_code", handleInvalid="keep")
+    # Adding zero drops the category metadata of the index column.
+    plain = SQLTransformer(statement="SELECT *, product_code + 0.0 AS product_idx FROM __THIS__")
     assembler = VectorAssembler(
         inputCols=list(features), outputCol="features", handleInvalid="skip"
     )
-    if categorical:
-        return Pipeline(stages=[indexer, assembler, learner])
-    # Adding zero drops the category metadata of the index column.
-    indexer.setOutputCol("product_code")
-    plain = SQLTransformer(statement="SELECT *, product_code + 0.0 AS product_idx FROM __THIS__")
     return Pipeline(stages=[indexer, plain, assembler, learner])
 
 
@@ -78,6 +72,7 @@ def train(
     algorithm: str = "RandomForest",
     columns: Sequence[str] = tuple(FEATURES),
     num_trees: int = NUM_TREES,
+    partitions: int = TRAIN_PARTITIONS,
 ) -> Trained:
     """Fit on the training part and measure on the rest.
 
@@ -87,14 +82,11 @@ def train(
     keys = [*PAIR, *CALENDAR_KEYS]
     features = features.persist()
     try:
-        partitions = compute_partitions(features.sparkSession, features.count())
         spread = features.repartition(partitions, *keys).sortWithinPartitions(*keys)
         training = spread.where(in_training_part(*keys))
         held_out = features.where(~in_training_part(*keys))
-        size = training.agg(
-            F.count("*").alias("n"), F.countDistinct("product_id").alias("products")
-        ).first()
-        model = _pipeline(algorithm, columns, size.products, num_trees).fit(training)
+        samples = training.count()
+        model = _pipeline(algorithm, columns, num_trees).fit(training)
         scored = model.transform(held_out).select(LABEL, "prediction").persist()
         try:
             scores = {
@@ -105,10 +97,10 @@ def train(
             scored.unpersist()
     finally:
         features.unpersist()
-    parameters = {"algorithm": algorithm, "num_trees": num_trees}
+    parameters = {"algorithm": algorithm, "num_trees": num_trees, "partitions": partitions}
     parameters["max_depth"] = MAX_DEPTH if algorithm == "RandomForest" else 5
     return Trained(
-        model, scores["rmse"], scores["mae"], scores["r2"], size.n, parameters
+        model, scores["rmse"], scores["mae"], scores["r2"], samples, parameters
     )
 
 

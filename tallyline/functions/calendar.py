@@ -77,13 +77,22 @@ def since(events: DataFrame, start: dt.datetime) -> DataFrame:
     return kept
 
 
+def before(events: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Events earlier than ``as_of``, which stands for now: later ones are not known yet."""
+    kept = events.where(F.col("event_time") < instant(as_of))
+    if "event_date" in events.columns:
+        kept = kept.where(F.col("event_date") <= day(as_of))
+    return kept
+
+
 def last_hours(events: DataFrame, as_of: dt.datetime, hours: int) -> DataFrame:
-    return since(events, as_of - dt.timedelta(hours=hours))
+    """Events of the ``hours`` before ``as_of``."""
+    return before(since(events, as_of - dt.timedelta(hours=hours)), as_of)
 
 
 def last_days(events: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
-    """Events whose date is at most ``days`` before the date of ``as_of``."""
-    return since(events, midnight(as_of) - dt.timedelta(days=days))
+    """Events before ``as_of`` whose date is at most ``days`` before its date."""
+    return before(since(events, midnight(as_of) - dt.timedelta(days=days)), as_of)
 
 
 def forecast_window(predictions: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:

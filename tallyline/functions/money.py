@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # and cents of an amount that is not multiplied must be exact in a DOUBLE.
 PRICE_LIMIT = 1e7
 AMOUNT_LIMIT = 1e13
+BILLION = 1_000_000_000
 
 
 def _parts(value: str, quantity: str | None, where: str | None) -> tuple[str, str]:
@@ -45,8 +46,12 @@ def amount(cents: Column, rest: Column) -> Column:
 
 
 def _sum(value: str, quantity: str | None, where: str | None) -> str:
+    """Cents are summed in two BIGINTs, of billions and of what is left, which billions of rows with
+    the largest prices and quantities do not fill."""
     cents, rest = _parts(value, quantity, where)
-    return f"(sum({cents}) / 100 + sum({rest}))"
+    high, low = f"sum(({cents}) div {BILLION}L)", f"sum(({cents}) % {BILLION}L)"
+    whole = f"CAST(CAST({high} AS DECIMAL(20, 0)) * {BILLION}L + {low} AS DOUBLE)"
+    return f"({whole} / 100 + sum({rest}))"
 
 
 def money_sum(value: str, quantity: str | None = None, where: str | None = None) -> Column:

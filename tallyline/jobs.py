@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.forecasting import features, model
-from tallyline.functions.calendar import version_stamp
+from tallyline.functions.calendar import before, version_stamp
 from tallyline.operators.rollup import ROLLUPS
 from tallyline.session import build_session
 from tallyline.sources import predictions as store
@@ -35,7 +35,7 @@ def ingest(messages: DataFrame, root: str) -> None:
 def train(spark: SparkSession, root: str, as_of: dt.datetime, **options) -> str:
     """Train on the lake, store the model and its metrics; returns the version."""
     version = version_stamp(as_of)
-    events = tables.read_lake(spark, f"{root}/lake")
+    events = before(tables.read_lake(spark, f"{root}/lake"), as_of)
     trained = model.train(features.training_features(events), **options)
     model.save_model(trained.model, f"{root}/models", version)
     store.record_metrics(
@@ -48,7 +48,7 @@ def predict_and_import(
     spark: SparkSession, root: str, as_of: dt.datetime, days: int = 7
 ) -> str:
     """Score the coming days with the latest model and import the result; returns its files."""
-    events = tables.read_lake(spark, f"{root}/lake")
+    events = before(tables.read_lake(spark, f"{root}/lake"), as_of)
     scored = model.predict(
         model.load_latest(f"{root}/models"),
         features.score_features(events, as_of, days),

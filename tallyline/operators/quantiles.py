@@ -1,10 +1,10 @@
-"""Exact interpolated quantiles of groups of any size.
+"""Exact interpolated quantiles of groups of any size, by one path.
 
 The built-in exact percentile keeps every distinct value of a group in one task.  Here a sketch of
-bounded size, taken along with the other aggregates, marks a narrow value range around each wanted
-rank; then one pass counts the rows below the range and the distinct values inside it, and only
-those are ranked.  The sketch's error bound is narrower than the range, and a rank outside it fails
-the query instead of giving a wrong value.
+bounded size, taken along with the other aggregates, cuts each group into value ranges of about equal
+weight.  Equal values are counted first; the exact counts of the ranges tell in which range a rank
+lies, and only the values of that range are ranked.  The sketch decides how evenly the work is dealt
+out, never the result.
 """
 
 from __future__ import annotations
@@ -13,65 +13,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-# The sketch is off by at most n / accuracy ranks; the range reaches five times as far.
-SLACK = 5.0 / SKETCH_ACCURACY
-# Up to this size the whole group is ranked: there the slack would be a handful of ranks.
-SMALL_GROUP = 100_000
+RANGES = 64
 
 
 def aggregate_with_quantiles(
     rows: DataFrame, group: str, aggregates: list[Column], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """``rows.groupBy(group).agg(*aggregates)`` with one exact quantile column per entry."""
-    fractions = list(quantiles.values())
-    marks = [max(f - SLACK, 0.0) for f in fractions] + [min(f + SLACK, 1.0) for f in fractions]
+    marks = [i / RANGES for i in range(1, RANGES)]
     summary = rows.groupBy(group).agg(
         *aggregates,
         F.expr(f"count({value}) AS _n"),
-        F.expr(f"min({value}) AS _least"),
-        F.expr(f"max({value}) AS _most"),
         F.percentile_approx(value, marks, SKETCH_ACCURACY).alias("_marks"),
     )
-    whole = f"_n <= {SMALL_GROUP}"
-    ranges = ", ".join(
-        f"struct({i} AS q, {f!r}D * (_n - 1) AS position, "
-        f"if({whole} OR {marks[i]} <= 0, _least, _marks[{i}]) AS low, "
-        f"if({whole} OR {marks[len(fractions) + i]} >= 1, _most, _marks[{len(fractions) + i}]) AS high)"
-        for i, f in enumerate(fractions)
+    counted = (
+        rows.selectExpr(group, f"{value} AS v")
+        .where("v IS NOT NULL")
+        .groupBy(group, "v")
+        .agg(F.count("*").alias("c"))
     )
-    wanted = summary.selectExpr(group, f"array({ranges}) AS wanted")
-    found = _at_positions(rows.selectExpr(group, f"{value} AS v"), wanted, group)
-    names = [
-        F.expr(f"max(if(q = {i}, exact, NULL)) AS {name}") for i, name in enumerate(quantiles)
-    ]
-    result = summary.drop("_n", "_least", "_most", "_marks")
-    return result.join(found.groupBy(group).agg(*names), group, "left")
-
-
-def _at_positions(values: DataFrame, wanted: DataFrame, group: str) -> DataFrame:
-    """Interpolated value at each wanted position: ``group, q, exact``."""
-    # The right side has one row per group: AQE broadcasts it when its measured size allows, else
-    # this is an ordinary shuffle join with skew handling.
-    placed = (
-        values.where("v IS NOT NULL")
-        .join(wanted, group)
-        .selectExpr(group, "v", "inline(wanted)")
-        .where("v <= high")
-        .selectExpr(group, "q", "position", "v >= low AS inside", "if(v >= low, v, NULL) AS v")
+    # One row per group on the right: AQE broadcasts it when its measured size allows, else this is an
+    # ordinary shuffle join with skew handling.
+    placed = counted.join(summary.select(group, "_marks"), group).selectExpr(
+        group, "v", "c", "size(filter(_marks, m -> m < v)) AS part"
     )
-    # Map-side aggregation leaves one row for all values below the range and one per value in it.
-    counted = placed.groupBy(group, "q", "position", "inside", "v").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(group, "q").orderBy("inside", "v")
-    ranked = counted.withColumn("last", F.sum("c").over(order) - 1)
-
-    def at(rank: str) -> str:
-        hit = f"inside AND last - c < {rank} AND {rank} <= last"
-        return (
-            f"coalesce(max(if({hit}, v, NULL)), "
-            "CAST(raise_error('quantile rank outside its range') AS DOUBLE))"
-        )
-
-    ends = ranked.groupBy(group, "q", "position").agg(
-        F.expr(f"{at('floor(position)')} AS a"), F.expr(f"{at('ceil(position)')} AS b")
+    # At most RANGES rows per group.
+    parts = placed.groupBy(group, "part").agg(F.sum("c").alias("size"))
+    order = Window.partitionBy(group).orderBy("part")
+    parts = parts.withColumn("past", F.sum("size").over(order) - F.col("size"))
+    ranks = ", ".join(
+        f"struct({i} AS q, {end}({f!r}D * (_n - 1)) AS rank, '{end}' AS end)"
+        for i, f in enumerate(quantiles.values())
+        for end in ("floor", "ceil")
+    )
+    wanted = summary.where("_n > 0").selectExpr(group, f"inline(array({ranks}))")
+    hit = parts.join(wanted, group).where("past <= rank AND rank < past + size")
+    within = Window.partitionBy(group, "part").orderBy("v")
+    ranked = placed.join(hit.select(group, "part").distinct(), [group, "part"], "left_semi").withColumn(
+        "last", F.sum("c").over(within) - 1
+    )
+    found = (
+        ranked.join(hit.select(group, "part", "past", "q", "rank", "end"), [group, "part"])
+        .where("past + last - c < rank AND rank <= past + last")
+        .groupBy(group)
+    )
+    ends = found.agg(
+        *[
+            F.expr(f"max(CASE WHEN q = {i} AND end = '{end}' THEN v END) AS {end}_{i}")
+            for i in range(len(quantiles))
+            for end in ("floor", "ceil")
+        ]
     )
-    return ends.selectExpr(group, "q", "a + (b - a) * (position - floor(position)) AS exact")
+    result = summary.join(ends, group, "left")
+    for i, (name, f) in enumerate(quantiles.items()):
+        position = f"{f!r}D * (_n - 1)"
+        between = f"floor_{i} + (ceil_{i} - floor_{i}) * ({position} - floor({position}))"
+        result = result.withColumn(name, F.expr(between))
+    drop = [f"{end}_{i}" for i in range(len(quantiles)) for end in ("floor", "ceil")]
+    return result.drop("_n", "_marks", *drop)

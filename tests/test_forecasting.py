@@ -128,11 +128,31 @@ def test_product_unknown_to_the_model_is_scored(spark, events, trained):
     assert scored.count() == 168
 
 
-def test_many_products_are_numbers_not_categories(rows, monkeypatch):
-    monkeypatch.setattr(model, "MAX_PRODUCT_BINS", 10)
-    fitted = model.train(rows, num_trees=3)
-    assert fitted.model.stages[-1].getMaxBins() == model.MAX_BINS
-    assert math.isfinite(fitted.rmse)
+def test_products_are_numbers_for_any_count(rows):
+    for part in (rows, rows.where("product_id < 'P03'")):
+        fitted = model.train(part, num_trees=3)
+        assert fitted.model.stages[-1].getMaxBins() == model.MAX_BINS
+        assert math.isfinite(fitted.rmse)
+
+
+def test_model_does_not_depend_on_shuffle_partitions(spark, rows):
+    before, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            fitted = model.train(rows, num_trees=5)
+            scores.append((round(fitted.rmse, 9), round(fitted.r2_score, 9)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1]
+
+
+def test_later_events_change_no_score(spark, events):
+    frame = events.limit(200)
+    late = frame.withColumn("event_time", F.lit(AS_OF + dt.timedelta(hours=1)).cast("timestamp"))
+    for make in (features.score_features, features.forecast_grid):
+        alone, mixed = make(frame, AS_OF), make(frame.unionByName(late), AS_OF)
+        assert alone.exceptAll(mixed).count() == 0 and mixed.exceptAll(alone).count() == 0
 
 
 def test_features_without_the_label_score_worse(rows, trained):

@@ -203,3 +203,11 @@ def test_forecast_window_covers_eight_dates(spark, at):
 
 def test_version_stamp(at):
     assert calendar.version_stamp(at("2024-01-02 03:04:05")) == "20240102_030405"
+
+
+def test_money_of_the_largest_prices_and_quantities_does_not_overflow(spark):
+    rows = [(2**31 - 1, 9_999_999.99)] * 40 + [(1, 0.25)]
+    frame = spark.createDataFrame(rows, "q INT, p DOUBLE")
+    total = frame.agg(money.money_sum("p", "q")).first()[0]
+    exact = (40 * (2**31 - 1) * 999_999_999 + 25) / 100
+    assert total == exact

@@ -1,10 +1,9 @@
-"""Exact quantiles against numpy, with groups past the size where the sketch decides the range."""
+"""Exact quantiles against numpy."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.operators import quantiles
 from tallyline.operators.quantiles import aggregate_with_quantiles
 
 WANTED = {"q0": 0.0, "q1": 0.001, "q50": 0.5, "q90": 0.9, "q100": 1.0}
@@ -40,9 +39,7 @@ def test_large_skewed_groups(spark):
     frame.unpersist()
 
 
-def test_rank_outside_the_range_fails(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 0)
-    monkeypatch.setattr(quantiles, "SLACK", -0.2)
-    frame = spark.range(1000).selectExpr("'a' AS g", "CAST(id AS DOUBLE) AS v")
-    with pytest.raises(Exception, match="outside its range"):
-        aggregate_with_quantiles(frame, "g", [], "v", {"m": 0.5}).collect()
+@pytest.mark.parametrize("rows", [1, 10, 1_000, 200_000])
+def test_one_path_for_every_size(spark, rows):
+    frame = spark.range(rows).selectExpr("'a' AS g", "CAST(id * 7919 % 10007 AS DOUBLE) AS v")
+    check(frame)
