@@ -17,7 +17,7 @@ WORD_END = " \t\n\x0b\f\r"
 #: Bytes of text handled at once inside a Python task, so that long texts do not add up.
 SLICE = 4 << 20
 #: Words a worker remembers before it starts anew; a cache, without influence on results.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
