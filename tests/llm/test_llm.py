@@ -159,7 +159,10 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     rows += [(320 + i, rows[0][1]) for i in range(20)]
     bad = [(400, None), (401, []), (402, [0.0] * 16), (403, [None] * 16), (404, [float("nan")] * 16), (None, rows[0][1])]
     frame = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<float>")
-    monkeypatch.setattr(vectors, "BLOCK", 16)
+    # Blocks of 16 vectors in tiles of 4, with several levels of intervals.
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 16 * 4)
+    monkeypatch.setattr(vectors, "TILE", 4)
+    monkeypatch.setattr(vectors, "STEP", 2)
     found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}
     x = np.array([v for _, v in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
