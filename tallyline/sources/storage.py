@@ -32,3 +32,10 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
     fs.delete(hadoop_path, True)
+
+
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    """Remove what a path pattern names; nothing, if nothing does."""
+    fs, hadoop_pattern = _file_system(spark, pattern)
+    for status in fs.globStatus(hadoop_pattern) or []:
+        fs.delete(status.getPath(), True)

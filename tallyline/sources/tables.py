@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,42 +15,50 @@ from tallyline.sources import storage
 
 SORT_KEY = ("event_time", "store_id", "product_id")
 RETENTION_DAYS = 90
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
-def write_lake(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write validated rows as ``year=/month=/day=`` Parquet.
+def _write(rows: DataFrame, path: str, partitions: Sequence[str], load: str | None) -> None:
+    """Write ``<partitions>/load=<load>`` Parquet.
 
-    The rebalance hint brings the rows of a day together but lets AQE cut a heavy day into several
-    tasks, so neither many small files nor one huge writer results.  Sorting inside each file keeps
-    its min/max statistics narrow.
+    Every write owns its ``load`` directories, whether it comes from a batch job or a stream, so a
+    repeated load (a replayed micro-batch) replaces itself and nothing else.  The rebalance hint
+    brings the rows of a date together but lets AQE cut a heavy one into several tasks, so neither
+    many small files nor one huge writer results.  Sorting inside each file keeps its min/max
+    statistics narrow.
     """
+    if load is None:
+        load = f"batch-{uuid.uuid4().hex}"
+    else:
+        storage.remove_matching(rows.sparkSession, f"{path}/{'*/' * len(partitions)}load={load}")
     (
-        rows.hint("rebalance", *LAKE_PARTITIONS)
-        .sortWithinPartitions(*LAKE_PARTITIONS, *SORT_KEY)
-        .write.mode(mode)
-        .partitionBy(*LAKE_PARTITIONS)
+        rows.withColumn("load", F.lit(load))
+        .hint("rebalance", *partitions)
+        .sortWithinPartitions(*partitions, "load", *SORT_KEY)
+        .write.mode("append")
+        .partitionBy(*partitions, "load")
         .parquet(path)
     )
 
 
+def write_lake(rows: DataFrame, path: str, load: str | None = None) -> None:
+    """Add validated rows to the ``year=/month=/day=`` lake; a named load replaces itself."""
+    _write(rows, path, LAKE_PARTITIONS, load)
+
+
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
     """The lake with its partition date as ``event_date``.
 
     ``event_date`` is computed from the partition columns alone, so a filter on it becomes a
     partition filter.
     """
-    lake = spark.read.schema(LAKE).parquet(path)
+    lake = spark.read.schema(LAKE).parquet(path).drop("load")
     return lake.withColumn("event_date", F.make_date(*LAKE_PARTITIONS))
 
 
-def write_realtime(rows: DataFrame, path: str, mode: str = "append") -> None:
-    (
-        rows.hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", *SORT_KEY)
-        .write.mode(mode)
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+def write_realtime(rows: DataFrame, path: str, load: str | None = None) -> None:
+    """Add rows to the ``event_date=`` table; a named load replaces itself."""
+    _write(rows, path, ["event_date"], load)
 
 
 def read_realtime(
@@ -56,12 +66,12 @@ def read_realtime(
 ) -> DataFrame:
     """The realtime table; with ``start`` only the directories of its date and later are listed.
 
-    A stream leaves one directory per date and batch, so for a report on the last hours most of the
+    A stream leaves one directory per date and load, so for a report on the last hours most of the
     time would go into listing the ones it does not read.
     """
     reader = spark.read.schema(REALTIME).option("basePath", path)
     if start is None:
-        return reader.parquet(path)
+        return reader.parquet(path).drop("load")
     first = f"event_date={start.date().isoformat()}"
     names = [
         name
@@ -70,7 +80,7 @@ def read_realtime(
     ]
     if not names:
         return spark.createDataFrame([], REALTIME)
-    return reader.parquet(*[f"{path}/{name}" for name in names])
+    return reader.parquet(*[f"{path}/{name}" for name in names]).drop("load")
 
 
 def retained(events: DataFrame, as_of: dt.datetime, days: int = RETENTION_DAYS) -> DataFrame:
@@ -83,7 +93,9 @@ def drop_expired(
 ) -> list[str]:
     """Remove the date partitions that hold expired events only; returns their names.
 
-    The partition that holds the cut-off stays: :func:`retained` hides its expired part.
+    The partition that holds the cut-off stays: :func:`retained` hides its expired part.  Rows whose
+    time is unreadable lie in the default partition; they never were part of a report, and a load
+    of them goes once its newest row was stored before the cut-off.
     """
     cutoff = (as_of - dt.timedelta(days=days)).date().isoformat()
     expired = [
@@ -91,6 +103,25 @@ def drop_expired(
         for name in storage.child_directories(spark, path)
         if name.startswith("event_date=") and name.removeprefix("event_date=") < cutoff
     ]
+    for name in expired:
+        storage.remove(spark, f"{path}/{name}")
+    return expired + _drop_unreadable(spark, path, as_of - dt.timedelta(days=days))
+
+
+def _drop_unreadable(spark: SparkSession, path: str, cutoff: dt.datetime) -> list[str]:
+    undated = f"event_date={DEFAULT_PARTITION}"
+    loads = storage.child_directories(spark, f"{path}/{undated}")
+    if not loads:
+        return []
+    newest = (
+        spark.read.schema(REALTIME)
+        .option("basePath", path)
+        .parquet(f"{path}/{undated}")
+        .groupBy("load")
+        .agg(F.max("inserted_at").alias("newest"))
+        .where(F.col("newest") < instant(cutoff))
+    )
+    expired = sorted(f"{undated}/load={row.load}" for row in newest.select("load").collect())
     for name in expired:
         storage.remove(spark, f"{path}/{name}")
     return expired

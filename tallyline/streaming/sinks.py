@@ -6,12 +6,13 @@ what is there and ends, so two runs never share a checkpoint at the same time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.operators import ingest
-from tallyline.schemas import LAKE_PARTITIONS
+from tallyline.sources import tables
 
 LIVE_INTERVAL = "30 seconds"
 
@@ -20,44 +21,53 @@ def trigger(live: bool) -> dict:
     return {"processingTime": LIVE_INTERVAL} if live else {"availableNow": True}
 
 
-def start_lake_sink(
-    messages: DataFrame, path: str, checkpoint: str, live: bool = False
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity a stream keeps over restarts; a new checkpoint is another stream."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _start(
+    messages: DataFrame,
+    checkpoint: str,
+    live: bool,
+    write: Callable[[DataFrame, str], None],
 ) -> StreamingQuery:
-    """Parse, enrich and validate into ``year=/month=/day=`` Parquet, exactly once."""
+    """``write`` each micro-batch as a load named after stream and batch, so that a replay after a
+    failure replaces what it had written."""
+    known: list[str] = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        if not known:
+            known.append(stream_id(batch.sparkSession, checkpoint))
+        write(batch, f"{known[0]}-{batch_id}")
+
     return (
-        ingest.lake_rows(messages)
-        .writeStream.format("parquet")
-        .partitionBy(*LAKE_PARTITIONS)
-        .option("path", path)
+        messages.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**trigger(live))
         .start()
     )
 
 
-def start_realtime_sink(
+def start_lake_sink(
     messages: DataFrame, path: str, checkpoint: str, live: bool = False
 ) -> StreamingQuery:
-    """Parse into ``event_date=/batch_id=`` Parquet with an ingest stamp.
-
-    A batch replaces its own directories only, so a replay after a failure adds nothing, and
-    retention may drop whole dates without a file log that still names them.
-    """
+    """Parse, enrich and validate into the lake, exactly once and next to what batches wrote."""
+    return _start(
+        messages,
+        checkpoint,
+        live,
+        lambda batch, load: tables.write_lake(ingest.lake_rows(batch), path, load),
+    )
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        (
-            ingest.realtime_rows(batch)
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date", "batch_id")
-            .parquet(path)
-        )
 
-    return (
-        messages.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger(live))
-        .start()
+def start_realtime_sink(
+    messages: DataFrame, path: str, checkpoint: str, live: bool = False
+) -> StreamingQuery:
+    """Parse into the realtime table with an ingest stamp."""
+    return _start(
+        messages,
+        checkpoint,
+        live,
+        lambda batch, load: tables.write_realtime(ingest.realtime_rows(batch), path, load),
     )

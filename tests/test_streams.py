@@ -104,6 +104,22 @@ def test_realtime_sink_takes_what_the_lake_rejects(spark, tmp_path, landing, eve
     assert tables.read_lake(spark, f"{root}/lake").count() == 1
 
 
+def test_batch_loads_and_streams_share_the_stored_tables(spark, tmp_path, landing, stored):
+    root = str(tmp_path)
+    old, new = stored.where("day(event_time) <= 15"), stored.where("day(event_time) > 15")
+    path = landing(new)
+    tables.write_lake(ingest.lake_rows(ingest.encode(old)), f"{root}/lake")
+    tables.write_realtime(ingest.realtime_rows(ingest.encode(old)), f"{root}/rt")
+    sinks.start_lake_sink(messages.file_stream(spark, path), f"{root}/lake", f"{root}/c1").awaitTermination()
+    sinks.start_realtime_sink(messages.file_stream(spark, path), f"{root}/rt", f"{root}/c2").awaitTermination()
+    same(tables.read_lake(spark, f"{root}/lake").select(*EVENT_COLUMNS), stored)
+    same(tables.read_realtime(spark, f"{root}/rt").select(*EVENT_COLUMNS), stored)
+    tables.write_lake(ingest.lake_rows(ingest.encode(old)).limit(3), f"{root}/lake", "named")
+    for load in ("named", f"{sinks.stream_id(spark, f'{root}/c1')}-0"):
+        tables.write_lake(ingest.lake_rows(ingest.encode(new)).limit(0), f"{root}/lake", load)
+    same(tables.read_lake(spark, f"{root}/lake").select(*EVENT_COLUMNS), old)
+
+
 def test_watermarked_rollup_drops_late_rows_and_holds_open_hours(spark, tmp_path, landing, events):
     root = str(tmp_path)
 

@@ -113,6 +113,17 @@ def test_retention_boundary(spark, tmp_path, events, at):
     assert sorted(r.event_time for r in kept.collect()) == [cutoff + dt.timedelta(seconds=1), as_of]
 
 
+def test_rows_without_a_date_expire_by_their_storing(spark, tmp_path, events, at):
+    path = str(tmp_path / "realtime")
+    rows = events((None,)).withColumn("event_date", F.to_date("event_time"))
+    for load, stored_at in (("old", "2024-01-01"), ("new", "2024-05-01")):
+        stamped = rows.withColumn("inserted_at", F.lit(stored_at).cast("timestamp"))
+        tables.write_realtime(stamped.select(*REALTIME.fieldNames()), path, load)
+    (dropped,) = tables.drop_expired(spark, path, at("2024-06-01 12:00:00"))
+    assert dropped.endswith("/load=old")
+    assert tables.read_realtime(spark, path).count() == 1
+
+
 def test_messages_round_trip_through_text_files(spark, tmp_path, events):
     from tallyline.sources import messages
 
