@@ -34,7 +34,6 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = llm = None
 
 AS_OF, CUTOVER = sample.AS_OF, sample.CUTOVER
-V1 = "fixture_v1"
 
 _trained: dict[tuple[str, str], tuple[model.Trained, str]] = {}
 
@@ -147,6 +146,32 @@ def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_lake(spark, f"{path}/lake").select(*LAKE.fieldNames())
 
 
+def lake_history_then_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The older events by a batch load, the newer ones by the stream, into one lake."""
+    path = session.scratch_path(spark, "lake-both")
+    tables.write_lake(ingest.lake_rows(ingest.encode(_past(spark, sf))), f"{path}/lake")
+    newer = sample.store_events(spark, sf, start=CUTOVER)
+    messages.write_messages(ingest.encode(newer), f"{path}/landing")
+    stream = messages.file_stream(spark, f"{path}/landing")
+    sinks.start_lake_sink(stream, f"{path}/lake", f"{path}/_checkpoint").awaitTermination()
+    return tables.read_lake(spark, f"{path}/lake").select(*LAKE.fieldNames())
+
+
+def _stored_layers(spark: SparkSession, sf: str, cutover: dt.datetime | None) -> DataFrame:
+    path = session.scratch_path(spark, "layers")
+    tables.write_lake(validate_events(spark, sf), f"{path}/lake")
+    tables.write_realtime(_realtime_rows(spark, sf), f"{path}/realtime")
+    recent = tables.read_realtime(spark, f"{path}/realtime", cutover)
+    both = serving.combine_layers(recent, tables.read_lake(spark, f"{path}/lake"), cutover)
+    return serving.unified_events(both)
+
+
+def unified_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Both layers as JSON, with their source."""
+    fields = F.struct("product_id", "transaction_type", "quantity", "source")
+    return sample.unified(spark, sf).select(F.to_json(fields).alias("value"))
+
+
 def _streamed_rollup(spark: SparkSession, sf: str, rollup) -> DataFrame:
     path = session.scratch_path(spark, f"rollup-{rollup.name}")
     rollups.start_rollups(sample.message_stream(spark, sf), path, [rollup]).awaitTermination()
@@ -209,7 +234,8 @@ def _train(spark: SparkSession, sf: str) -> tuple[model.Trained, str]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _trained:
         root = session.scratch_path(spark, "models")
-        fitted = model.train(features.training_features(_events(spark, sf)))
+        rows = features.training_features(_events(spark, sf), history="weekday")
+        fitted = model.train(rows)
         model.save_model(fitted.model, root, calendar.version_stamp(AS_OF))
         _trained[key] = fitted, root
     return _trained[key]
@@ -295,6 +321,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_lake_sink": stream_lake_sink,
         "stream_ingest": stream_ingest,
         "stream_restart": stream_restart,
+        "lake_history_then_stream": lake_history_then_stream,
+        "unified_from_tables": lambda s, d: _stored_layers(s, d, CUTOVER),
+        "unified_raw": lambda s, d: _stored_layers(s, d, None),
+        "unified_json": unified_json,
         "rollup_daily": lambda s, d: _streamed_rollup(s, d, DAILY),
         "rollup_hourly": lambda s, d: _streamed_rollup(s, d, HOURLY),
         "rollup_product": lambda s, d: _streamed_rollup(s, d, PRODUCT),
@@ -369,16 +399,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             unified(s, d, days=30), AS_OF
         ),
         "high_demand_products": lambda s, d: inventory.high_demand_products(
-            store(s, d), forecasts(s, d, V1), CUTOVER
+            store(s, d), forecasts(s, d), CUTOVER
         ),
         "restock_priority": lambda s, d: inventory.restock_priority(
-            store(s, d), forecasts(s, d, V1), CUTOVER
+            store(s, d), forecasts(s, d), CUTOVER
         ),
         "restock_priority_counts": lambda s, d: inventory.restock_priority_counts(
-            store(s, d), forecasts(s, d, V1), CUTOVER
+            store(s, d), forecasts(s, d), CUTOVER
         ),
         "restock_priority_counts_all": lambda s, d: inventory.restock_priority_counts(
-            store(s, d), forecasts(s, d, V1), CUTOVER, top=None
+            store(s, d), forecasts(s, d), CUTOVER, top=None
         ),
         "realtime_kpis_past": lambda s, d: realtime.realtime_kpis(store(s, d), CUTOVER),
         # anomalies
@@ -434,23 +464,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             forecasts(s, d), CUTOVER
         ),
         "restock_recommendations": lambda s, d: forecast.restock_recommendations(
-            forecasts(s, d, V1), store(s, d), CUTOVER
+            forecasts(s, d), store(s, d), CUTOVER
         ),
         "high_demand_restock": lambda s, d: forecast.high_demand_restock(
-            forecasts(s, d, V1), store(s, d), CUTOVER
+            forecasts(s, d), store(s, d), CUTOVER
+        ),
+        "restock_7d": lambda s, d: forecast.restock_7d(forecasts(s, d), store(s, d), CUTOVER),
+        "high_demand_products_all_versions": lambda s, d: inventory.high_demand_products(
+            store(s, d), forecasts(s, d), CUTOVER, all_versions=True
+        ),
+        "restock_priority_all_versions": lambda s, d: inventory.restock_priority(
+            store(s, d), forecasts(s, d), CUTOVER, all_versions=True
+        ),
+        "restock_recommendations_all_versions": lambda s, d: forecast.restock_recommendations(
+            forecasts(s, d), store(s, d), CUTOVER, all_versions=True
+        ),
+        "forecast_totals_all_versions": lambda s, d: forecast.forecast_totals(
+            forecasts(s, d), CUTOVER, all_versions=True
+        ),
+        "forecast_next7_by_store_all_versions": lambda s, d: forecast.forecast_next7_by_store(
+            forecasts(s, d), CUTOVER, all_versions=True
+        ),
+        "restock_7d_filtered": lambda s, d: forecast.restock_7d(
+            forecasts(s, d), store(s, d), CUTOVER, labels=["HIGH_DEMAND"]
         ),
-        "restock_7d": lambda s, d: forecast.restock_7d(forecasts(s, d, V1), store(s, d), CUTOVER),
         "predictions_count": lambda s, d: forecast.predictions_count(forecasts(s, d)),
         "forecast_dimensions": lambda s, d: forecast.forecast_dimensions(forecasts(s, d)),
         "forecast_by_day": lambda s, d: _rounded(
-            forecast.forecast_by_day(forecasts(s, d, V1), CUTOVER), "avg_lower", "avg_upper"
+            forecast.forecast_by_day(forecasts(s, d), CUTOVER), "avg_lower", "avg_upper"
         ),
         "forecast_by_day_filtered": lambda s, d: _rounded(
-            forecast.forecast_by_day(forecasts(s, d, V1), CUTOVER, product="P03", store=4),
+            forecast.forecast_by_day(forecasts(s, d), CUTOVER, product="P03", store=4),
             "avg_lower",
             "avg_upper",
         ),
-        "forecast_totals": lambda s, d: forecast.forecast_totals(forecasts(s, d, V1), CUTOVER),
+        "forecast_totals": lambda s, d: forecast.forecast_totals(forecasts(s, d), CUTOVER),
         "accuracy_by_product": lambda s, d: _rounded(
             forecast.accuracy_by_product(_accuracy(s, d)),
             "avg_predicted",
@@ -463,7 +511,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "avg_error",
         ),
         "forecast_next7_by_store": lambda s, d: forecast.forecast_next7_by_store(
-            forecasts(s, d, V1), CUTOVER
+            forecasts(s, d), CUTOVER
         ),
         "predictions_by_version": lambda s, d: forecast.predictions_by_version(forecasts(s, d)),
         "latest_predictions": lambda s, d: forecast.latest_predictions(forecasts(s, d)),

@@ -79,7 +79,10 @@ pr AS (
   FROM base, (VALUES ('fixture_v1', CAST(1.0 AS DOUBLE)), ('fixture_v2', CAST(0.5 AS DOUBLE)))
        v(version, factor)
 ),
-p1 AS (SELECT * FROM pr WHERE model_version = 'fixture_v1')"""
+p1 AS (
+  SELECT * FROM pr QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id, store_id, forecast_date, forecast_hour
+                                              ORDER BY prediction_time DESC, model_version DESC) = 1
+)"""
 
 ACCURACY = PREDICTIONS + """,
 actual AS (
@@ -298,6 +301,15 @@ SELECT reason, CAST(COUNT(*) AS BIGINT) AS rejected FROM (
     q["events_to_json"] = ev + f"SELECT {TEXT_FIELDS} AS value FROM ev"
     q["stream_lake_sink"] = q["validate_events"]
     q["stream_restart"] = q["validate_events"]
+    q["lake_history_then_stream"] = q["validate_events"]
+    q["unified_from_tables"] = ev + f"""
+SELECT {EVENT_COLUMNS}, source FROM ev WHERE source = 'realtime' OR ({VALID})"""
+    q["unified_raw"] = ev + f"""
+SELECT {EVENT_COLUMNS}, 'realtime' AS source FROM ev
+UNION ALL SELECT {EVENT_COLUMNS}, 'historical' FROM ev WHERE {VALID}"""
+    q["unified_json"] = ev + """
+SELECT '{"product_id":"' || product_id || '","transaction_type":"' || transaction_type
+       || '","quantity":' || quantity || ',"source":"' || source || '"}' AS value FROM ev"""
     q["stream_ingest"] = q["parse_events"]
     q["realtime_table"] = ev + f"SELECT {REALTIME_COLUMNS} FROM ev"
     q["lake_pruned_scan"] = (
@@ -597,6 +609,8 @@ FROM (SELECT p.product_id, p.store_id, SUM(predicted_demand) AS predicted_7d,
       FROM p1 p LEFT JOIN h ON p.product_id = h.product_id AND p.store_id = h.store_id
       WHERE {NEXT_DAYS} GROUP BY p.product_id, p.store_id HAVING SUM(predicted_demand) > 0)
 ORDER BY predicted_7d DESC, product_id, store_id LIMIT 30"""
+    q["restock_7d_filtered"] = f"""SELECT * FROM ({q["restock_7d"]})
+WHERE recommendation = 'HIGH_DEMAND'"""
     q["predictions_count"] = pr + "SELECT CAST(COUNT(*) AS BIGINT) AS count FROM pr"
     q["forecast_dimensions"] = pr + """
 SELECT 'product_id' AS dimension, product_id AS choice
@@ -628,6 +642,14 @@ WHERE forecast_date >= CAST({AS_OF} AS DATE) - INTERVAL 7 DAY"""
     q["forecast_next7_by_store"] = pr + f"""
 SELECT forecast_date, product_id, store_id, SUM(predicted_demand) AS daily_forecast
 FROM p1 WHERE {NEXT_DAYS} GROUP BY ALL"""
+    for key in (
+        "high_demand_products",
+        "restock_priority",
+        "restock_recommendations",
+        "forecast_totals",
+        "forecast_next7_by_store",
+    ):
+        q[f"{key}_all_versions"] = q[key].replace("FROM p1", "FROM pr")
     q["predictions_by_version"] = pr + """
 SELECT model_version, CAST(COUNT(*) AS BIGINT) AS predictions, min(forecast_date) AS first_date,
        max(forecast_date) AS last_date FROM pr GROUP BY model_version"""

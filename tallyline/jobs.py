@@ -36,7 +36,8 @@ def train(spark: SparkSession, root: str, as_of: dt.datetime, **options) -> str:
     """Train on the lake, store the model and its metrics; returns the version."""
     version = version_stamp(as_of)
     events = before(tables.read_lake(spark, f"{root}/lake"), as_of)
-    trained = model.train(features.training_features(events), **options)
+    # The history per weekday is what scoring has; per slot it would give the label away.
+    trained = model.train(features.training_features(events, history="weekday"), **options)
     model.save_model(trained.model, f"{root}/models", version)
     store.record_metrics(
         model.metrics_row(spark, trained, version, as_of), f"{root}/model_metrics"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
 from tallyline.functions.ratios import percent, ratio
+from tallyline.operators.newest import coming_forecasts
 from tallyline.operators.quantiles import aggregate_with_quantiles
 from tallyline.plans.serving import sales, units
 
@@ -140,7 +141,7 @@ def restock_label(demand_ratio: Column) -> Column:
 
 
 def _demand_against_history(
-    predictions: DataFrame, realtime: DataFrame, as_of: dt.datetime, *keys: str
+    predictions: DataFrame, realtime: DataFrame, as_of: dt.datetime, all_versions: bool, *keys: str
 ) -> DataFrame:
     """Predicted demand per key next to the average sale of its product and store.
 
@@ -148,7 +149,7 @@ def _demand_against_history(
     per key against units per sale; the two differ in kind, and the report is defined that way.
     """
     demand = (
-        calendar.forecast_window(predictions, as_of)
+        coming_forecasts(predictions, as_of, all_versions)
         .groupBy(*keys)
         .agg(F.sum("predicted_demand").alias("predicted"))
         .where(F.col("predicted") > 0)
@@ -164,9 +165,10 @@ def restock_recommendations(
     realtime: DataFrame,
     as_of: dt.datetime,
     labels: Sequence[str] | None = None,
+    all_versions: bool = False,
 ) -> DataFrame:
     keys = ("product_id", "store_id", "forecast_date")
-    rows = _demand_against_history(predictions, realtime, as_of, *keys).select(
+    rows = _demand_against_history(predictions, realtime, as_of, all_versions, *keys).select(
         *keys,
         F.col("predicted").alias("predicted_demand_7d"),
         F.col("historical_avg").alias("historical_avg_7d"),
@@ -184,11 +186,12 @@ def restock_7d(
     as_of: dt.datetime,
     labels: Sequence[str] | None = None,
     top: int = 30,
+    all_versions: bool = False,
 ) -> DataFrame:
     """The largest forecasts per product and store; ``labels`` filters the list of ``top`` rows."""
     keys = ("product_id", "store_id")
     rows = (
-        _demand_against_history(predictions, realtime, as_of, *keys)
+        _demand_against_history(predictions, realtime, as_of, all_versions, *keys)
         .select(
             *keys,
             F.col("predicted").alias("predicted_7d"),
@@ -201,10 +204,14 @@ def restock_7d(
 
 
 def high_demand_restock(
-    predictions: DataFrame, realtime: DataFrame, as_of: dt.datetime, top: int = 20
+    predictions: DataFrame,
+    realtime: DataFrame,
+    as_of: dt.datetime,
+    top: int = 20,
+    all_versions: bool = False,
 ) -> DataFrame:
     return (
-        restock_recommendations(predictions, realtime, as_of, [HIGH_DEMAND])
+        restock_recommendations(predictions, realtime, as_of, [HIGH_DEMAND], all_versions)
         .orderBy(F.desc("predicted_demand_7d"), "product_id", "store_id", "forecast_date")
         .limit(top)
         .select(
@@ -251,9 +258,10 @@ def forecast_by_day(
     as_of: dt.datetime,
     product: str | None = None,
     store: int | None = None,
+    all_versions: bool = False,
 ) -> DataFrame:
     """Demand per date; the bounds are averaged over the rows while the demand is summed."""
-    rows = calendar.forecast_window(predictions, as_of)
+    rows = coming_forecasts(predictions, as_of, all_versions)
     if product is not None:
         rows = rows.where(F.col("product_id") == product)
     if store is not None:
@@ -270,8 +278,10 @@ def forecast_by_day(
     )
 
 
-def forecast_totals(predictions: DataFrame, as_of: dt.datetime) -> DataFrame:
-    return forecast_by_day(predictions, as_of).agg(
+def forecast_totals(
+    predictions: DataFrame, as_of: dt.datetime, all_versions: bool = False
+) -> DataFrame:
+    return forecast_by_day(predictions, as_of, all_versions=all_versions).agg(
         F.sum("total_demand").alias("total_forecast"),
         F.avg("total_demand").alias("avg_daily_demand"),
     )
@@ -305,9 +315,11 @@ def recent_accuracy(
     return accuracy.agg(F.avg("percentage_error").alias("avg_error"))
 
 
-def forecast_next7_by_store(predictions: DataFrame, as_of: dt.datetime) -> DataFrame:
+def forecast_next7_by_store(
+    predictions: DataFrame, as_of: dt.datetime, all_versions: bool = False
+) -> DataFrame:
     return (
-        calendar.forecast_window(predictions, as_of)
+        coming_forecasts(predictions, as_of, all_versions)
         .groupBy("forecast_date", "product_id", "store_id")
         .agg(F.sum("predicted_demand").alias("daily_forecast"))
         .orderBy("forecast_date", F.desc("daily_forecast"), "product_id", "store_id")

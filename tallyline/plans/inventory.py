@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
 from tallyline.functions.ratios import is_type, ratio
+from tallyline.operators.newest import coming_forecasts
 from tallyline.plans.serving import revenue, sales, units
 from tallyline.schemas import RESTOCK, RETURN, SALE
 
@@ -46,16 +47,22 @@ def net_stock_movement(unified: DataFrame, as_of: dt.datetime, days: int = 30) -
     return moved.withColumn("net_movement", net).withColumn("direction", direction)
 
 
-def predicted_by_product(predictions: DataFrame, as_of: dt.datetime) -> DataFrame:
+def predicted_by_product(
+    predictions: DataFrame, as_of: dt.datetime, all_versions: bool = False
+) -> DataFrame:
     return (
-        calendar.forecast_window(predictions, as_of)
+        coming_forecasts(predictions, as_of, all_versions)
         .groupBy("product_id")
         .agg(F.sum("predicted_demand").alias("predicted_7d"))
     )
 
 
 def high_demand_products(
-    unified: DataFrame, predictions: DataFrame, as_of: dt.datetime, top: int = 20
+    unified: DataFrame,
+    predictions: DataFrame,
+    as_of: dt.datetime,
+    top: int = 20,
+    all_versions: bool = False,
 ) -> DataFrame:
     """Most sold products with their forecast.
 
@@ -70,7 +77,7 @@ def high_demand_products(
     order = [F.desc("total_sold_30d"), F.col("product_id"), F.col("category")]
     best = sold.orderBy(*order).limit(top)
     return (
-        best.join(predicted_by_product(predictions, as_of), "product_id", "left")
+        best.join(predicted_by_product(predictions, as_of, all_versions), "product_id", "left")
         .select(
             "product_id",
             "category",
@@ -102,7 +109,11 @@ def slow_moving_products(unified: DataFrame, as_of: dt.datetime, top: int = 20)
 
 
 def restock_priority(
-    unified: DataFrame, predictions: DataFrame, as_of: dt.datetime, top: int | None = 50
+    unified: DataFrame,
+    predictions: DataFrame,
+    as_of: dt.datetime,
+    top: int | None = 50,
+    all_versions: bool = False,
 ) -> DataFrame:
     """Forecast against a week of average sales; without a forecast the priority is low."""
     sold = (
@@ -119,7 +130,7 @@ def restock_priority(
         .otherwise(LOW_PRIORITY)
     )
     rows = (
-        sold.join(predicted_by_product(predictions, as_of), "product_id", "left")
+        sold.join(predicted_by_product(predictions, as_of, all_versions), "product_id", "left")
         .withColumn("priority", label)
         .select(
             "product_id",
@@ -133,9 +144,13 @@ def restock_priority(
 
 
 def restock_priority_counts(
-    unified: DataFrame, predictions: DataFrame, as_of: dt.datetime, top: int | None = 50
+    unified: DataFrame,
+    predictions: DataFrame,
+    as_of: dt.datetime,
+    top: int | None = 50,
+    all_versions: bool = False,
 ) -> DataFrame:
-    rows = restock_priority(unified, predictions, as_of, top)
+    rows = restock_priority(unified, predictions, as_of, top, all_versions)
     return rows.agg(
         F.count_if(F.col("priority") == HIGH_PRIORITY).alias("high_priority"),
         F.count_if(F.col("priority") == NORMAL_PRIORITY).alias("normal_priority"),
