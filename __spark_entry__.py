@@ -168,8 +168,7 @@ def _stored_layers(spark: SparkSession, sf: str, cutover: dt.datetime | None) ->
 
 def unified_json(spark: SparkSession, sf: str) -> DataFrame:
     """Both layers as JSON, with their source."""
-    fields = F.struct("product_id", "transaction_type", "quantity", "source")
-    return sample.unified(spark, sf).select(F.to_json(fields).alias("value"))
+    return ingest.encode(sample.unified(spark, sf), "source")
 
 
 def _streamed_rollup(spark: SparkSession, sf: str, rollup) -> DataFrame:

@@ -307,9 +307,9 @@ SELECT {EVENT_COLUMNS}, source FROM ev WHERE source = 'realtime' OR ({VALID})"""
     q["unified_raw"] = ev + f"""
 SELECT {EVENT_COLUMNS}, 'realtime' AS source FROM ev
 UNION ALL SELECT {EVENT_COLUMNS}, 'historical' FROM ev WHERE {VALID}"""
-    q["unified_json"] = ev + """
-SELECT '{"product_id":"' || product_id || '","transaction_type":"' || transaction_type
-       || '","quantity":' || quantity || ',"source":"' || source || '"}' AS value FROM ev"""
+    q["unified_json"] = ev + f"""
+SELECT left(value, length(value) - 1) || ',"source":"' || source || '"}}' AS value
+FROM (SELECT source, {TEXT_FIELDS} AS value FROM ev)"""
     q["stream_ingest"] = q["parse_events"]
     q["realtime_table"] = ev + f"SELECT {REALTIME_COLUMNS} FROM ev"
     q["lake_pruned_scan"] = (

@@ -116,7 +116,7 @@ def realtime_rows(messages: DataFrame) -> DataFrame:
     )
 
 
-def encode(events: DataFrame) -> DataFrame:
-    """Events → JSON text in ``value``, the wire form of a topic or a JSON export."""
+def encode(events: DataFrame, *more: str) -> DataFrame:
+    """Events → JSON text in ``value``, the wire form of a topic or, with ``more`` columns, an export."""
     time = F.date_format("event_time", STRICT_FORMAT).alias("event_time")
-    return events.select(F.to_json(F.struct(time, *EVENT_COLUMNS[1:])).alias("value"))
+    return events.select(F.to_json(F.struct(time, *EVENT_COLUMNS[1:], *more)).alias("value"))

@@ -9,6 +9,7 @@ from conftest import SF_TINY
 EAGER = {k for k in entry.queries() if k.startswith(("stream_", "rollup_", "ml_", "model_metrics"))}
 EAGER |= {"realtime_table", "lake_pruned_scan", "retention_90d", "save_predictions"}
 EAGER |= {"predictions_csv_roundtrip", "import_predictions"}
+EAGER |= {"lake_history_then_stream", "unified_from_tables", "unified_raw"}
 
 
 # The optional subpackage has tests of its own.

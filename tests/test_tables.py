@@ -199,6 +199,17 @@ def test_newest_active_model_and_activation(spark, tmp_path):
     assert forecast.active_model(now).first().model_version == "a"
 
 
+def test_later_run_replaces_an_earlier_forecast_of_a_slot(forecasts):
+    later = forecasts.withColumn("prediction_time", F.col("prediction_time") + F.expr("INTERVAL 1 DAY"))
+    later = later.withColumns({"predicted_demand": F.lit(0.5), "model_version": F.lit("a")})
+    both = forecasts.unionByName(later.where("forecast_hour < 12"))
+    def total(rows, **options):
+        return forecast.forecast_totals(rows, sample.CUTOVER, **options).first().total_forecast
+    half = forecasts.where("forecast_hour < 12")
+    assert total(both) == total(forecasts.where("forecast_hour >= 12")) + 0.5 * half.count()
+    assert total(both, all_versions=True) == total(forecasts) + 0.5 * half.count()
+
+
 def test_filters_by_product_and_store(forecasts):
     days = forecast.forecast_by_day(forecasts, sample.CUTOVER, product="P03", store=1)
     assert days.count() == 7
