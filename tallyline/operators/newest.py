@@ -26,6 +26,11 @@ def newest_forecasts(predictions: DataFrame) -> DataFrame:
 
 
 def coming_forecasts(predictions: DataFrame, as_of: dt.datetime, all_versions: bool = False) -> DataFrame:
-    """Forecasts for the next seven days, each slot once unless ``all_versions`` are added up."""
+    """Forecasts for the next seven days, each slot once unless ``all_versions`` are added up.
+
+    A relation without ``prediction_time`` tells no runs apart and is taken as one forecast.
+    """
     window = calendar.forecast_window(predictions, as_of)
-    return window if all_versions else newest_forecasts(window)
+    if all_versions or "prediction_time" not in predictions.columns:
+        return window
+    return newest_forecasts(window)
