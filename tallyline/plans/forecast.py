@@ -253,14 +253,13 @@ def forecast_dimensions(
     )
 
 
-def forecast_by_day(
+def _demand_by_day(
     predictions: DataFrame,
     as_of: dt.datetime,
     product: str | None = None,
     store: int | None = None,
     all_versions: bool = False,
 ) -> DataFrame:
-    """Demand per date; the bounds are averaged over the rows while the demand is summed."""
     rows = coming_forecasts(predictions, as_of, all_versions)
     if product is not None:
         rows = rows.where(F.col("product_id") == product)
@@ -274,14 +273,24 @@ def forecast_by_day(
             F.avg("confidence_upper").alias("avg_upper"),
             F.count("*").alias("product_count"),
         )
-        .orderBy("forecast_date")
     )
 
 
+def forecast_by_day(
+    predictions: DataFrame,
+    as_of: dt.datetime,
+    product: str | None = None,
+    store: int | None = None,
+    all_versions: bool = False,
+) -> DataFrame:
+    """Demand per date; the bounds are averaged over the rows while the demand is summed."""
+    return _demand_by_day(predictions, as_of, product, store, all_versions).orderBy("forecast_date")
+
+
 def forecast_totals(
     predictions: DataFrame, as_of: dt.datetime, all_versions: bool = False
 ) -> DataFrame:
-    return forecast_by_day(predictions, as_of, all_versions=all_versions).agg(
+    return _demand_by_day(predictions, as_of, all_versions=all_versions).agg(
         F.sum("total_demand").alias("total_forecast"),
         F.avg("total_demand").alias("avg_daily_demand"),
     )

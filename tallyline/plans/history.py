@@ -13,7 +13,11 @@ from tallyline.plans.serving import basket_value, return_counts, revenue, sales,
 from tallyline.schemas import RETURN, SALE
 
 
-def daily_sales_trend(unified: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
+#: Ranges of revenue in which stores are ranked side by side.
+RANK_RANGES = 100
+
+
+def _daily_sales(unified: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     return (
         sales(calendar.last_days(unified, as_of, days))
         .groupBy(F.to_date("event_time").alias("date"))
@@ -22,12 +26,15 @@ def daily_sales_trend(unified: DataFrame, as_of: dt.datetime, days: int = 30) ->
             F.count("*").alias("transactions"),
             units().alias("items_sold"),
         )
-        .orderBy("date")
     )
 
 
+def daily_sales_trend(unified: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
+    return _daily_sales(unified, as_of, days).orderBy("date")
+
+
 def daily_sales_summary_stats(unified: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
-    return daily_sales_trend(unified, as_of, days).agg(
+    return _daily_sales(unified, as_of, days).agg(
         money.money_sum("revenue").alias("total_revenue"),
         money.money_avg("revenue").alias("avg_daily_revenue"),
         F.sum("transactions").alias("total_transactions"),
@@ -49,15 +56,15 @@ def peak_hours_heatmap(unified: DataFrame, as_of: dt.datetime, days: int = 30) -
 def peak_hours_matrix(unified: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
     """One row per weekday, one column ``h0`` … ``h23`` per hour; null where nothing was sold.
 
-    The hours are given, so no extra job looks them up.
+    The hours are given, so one grouping by weekday counts them all.
     """
-    hours = list(range(24))
+    time = F.col("event_time")
+    counts = [F.nullif(F.count_if(F.hour(time) == h), F.lit(0)).alias(f"h{h}") for h in range(24)]
     return (
-        peak_hours_heatmap(unified, as_of, days)
-        .groupBy("day_of_week", "day_name")
-        .pivot("hour", hours)
-        .agg(F.first("transaction_count"))
-        .withColumnsRenamed({str(h): f"h{h}" for h in hours})
+        sales(calendar.last_days(unified, as_of, days))
+        .groupBy(calendar.iso_weekday(time).alias("day_of_week"))
+        .agg(*counts)
+        .select("day_of_week", calendar.day_name(F.col("day_of_week")).alias("day_name"), *[f"h{h}" for h in range(24)])
         .orderBy("day_of_week")
     )
 
@@ -139,10 +146,31 @@ def growth_rate(unified: DataFrame) -> DataFrame:
 
 
 def store_leaderboard(unified: DataFrame) -> DataFrame:
-    """Stores ranked by revenue; the ranking sees one row per store."""
+    """Stores ranked by revenue, those without a revenue last.
+
+    Approximate percentiles cut the stores into ranges of revenue, which only decide what is ranked
+    where: a rank is the exact number of stores in higher ranges and the rank within the range.
+    """
     by_store = sales(unified).groupBy("store_id").agg(revenue().alias("revenue"))
-    rank = F.rank().over(Window.orderBy(F.desc("revenue")))
-    return by_store.withColumn("revenue_rank", rank).orderBy("revenue_rank", "store_id")
+    shares = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
+    cuts = by_store.agg(F.percentile_approx("revenue", shares, 10_000).alias("cuts")).scalar()
+    above = F.size(F.filter("cuts", lambda cut: cut > F.col("revenue")))
+    ranged = by_store.withColumn("cuts", cuts).select(
+        "store_id", "revenue", F.when(F.col("revenue").isNull(), RANK_RANGES).otherwise(above).alias("range")
+    )
+    higher = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = (
+        ranged.groupBy("range")
+        .agg(F.count("*").alias("stores"))
+        .select("range", F.coalesce(F.sum("stores").over(higher), F.lit(0)).alias("ahead"))
+    )
+    inside = F.rank().over(Window.partitionBy("range").orderBy(F.desc("revenue")))
+    return (
+        ranged.withColumn("inside", inside)
+        .join(ahead, "range")
+        .select("store_id", "revenue", (F.col("ahead") + F.col("inside")).cast("int").alias("revenue_rank"))
+        .orderBy("revenue_rank", "store_id")
+    )
 
 
 def revenue_metrics(rows: DataFrame, revenue_column: str = "total_revenue") -> DataFrame:

@@ -117,7 +117,8 @@ def hourly_sales_trend(unified: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(unified: DataFrame) -> DataFrame:
+def product_figures(unified: DataFrame) -> DataFrame:
+    """Figures per product in no order, for other reports to build on."""
     return (
         sales(unified)
         .groupBy("product_id", "category")
@@ -127,10 +128,13 @@ def product_performance(unified: DataFrame) -> DataFrame:
             revenue().alias("total_revenue"),
             average_price().alias("avg_unit_price"),
         )
-        .orderBy(F.desc("total_revenue"), "product_id", "category")
     )
 
 
+def product_performance(unified: DataFrame) -> DataFrame:
+    return product_figures(unified).orderBy(F.desc("total_revenue"), "product_id", "category")
+
+
 def return_counts(events: DataFrame, *keys: str) -> DataFrame:
     """Per key the sale and return counts, the return rate and both values."""
     return (

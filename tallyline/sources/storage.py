@@ -24,6 +24,13 @@ def child_directories(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory())
 
 
+def state(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of change of what lies directly below ``path``."""
+    fs, hadoop_path = _file_system(spark, path)
+    found = fs.listStatus(hadoop_path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a batch write below ``path`` was committed."""
     return exists(spark, f"{path}/_SUCCESS")

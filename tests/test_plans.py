@@ -9,7 +9,7 @@ from conftest import SF_TINY
 EAGER = {k for k in entry.queries() if k.startswith(("stream_", "rollup_", "ml_", "model_metrics"))}
 EAGER |= {"realtime_table", "lake_pruned_scan", "retention_90d", "save_predictions"}
 EAGER |= {"predictions_csv_roundtrip", "import_predictions"}
-EAGER |= {"lake_history_then_stream", "unified_from_tables", "unified_raw"}
+EAGER |= {"lake_history_then_stream", "unified_from_tables", "unified_raw", "model_activation"}
 
 
 # The optional subpackage has tests of its own.
@@ -33,3 +33,18 @@ def test_recent_reports_push_their_range_to_the_scan(spark, key):
 def test_top_lists_do_not_sort_everything(spark, key):
     plan = entry.queries()[key](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize(
+    "key",
+    ["revenue_metrics", "daily_sales_summary_stats", "forecast_totals", "anomaly_counts_all", "anomaly_summary_all"],
+)
+def test_no_sort_below_an_aggregate(spark, key):
+    plan = entry.queries()[key](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
+    first = plan.index("HashAggregate")
+    assert "rangepartitioning" not in plan[first:]
+
+
+def test_matrix_is_one_grouping_and_one_sort(spark):
+    plan = entry.queries()["peak_hours_matrix"](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning") <= 1
