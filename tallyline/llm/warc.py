@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tallyline.llm import common
 from tallyline.session import scratch_path
 
-#: Records in one archive file at most.
-FILE_RECORDS = 10_000
+#: Records in one archive file at most.  A file is read back whole, so this bounds a reader's memory.
+FILE_RECORDS = 2_000
 #: Payloads below this size are never revisited.
 LEAST_BYTES = 0
 END = "\r\n\r\n"
