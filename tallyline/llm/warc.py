@@ -7,8 +7,8 @@ revisit that refers to the original and has none.  A key with a third of all row
 task in the aggregation, and the adaptive join splits it.
 
 A record is text that ends with an empty line, so archives are written by Spark's text writer with
-that line as separator, to any file system, and every task writes its own files.  Reading back takes
-files whole, of bounded size, and walks their records by Content-Length.
+that line as separator, to any file system, and every task writes its own gzip files.  Reading back
+takes files whole, of bounded size, and walks their records by Content-Length.
 
 Defined results: null html is an empty payload, a null url an empty one; control characters and
 spaces in a url are percent-encoded.  Repeated rows with the largest page_id are all responses.  Rows
@@ -19,6 +19,7 @@ empty table gives an empty result; only page_id, url and html are read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -102,7 +103,8 @@ def record() -> Column:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     rows = resolved(headers(pages), least)
-    rows.select(record().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    archive = rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip")
+    archive.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -135,7 +137,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for head, block in records(content.as_py()):
+                for head, block in records(gzip.decompress(content.as_py())):
                     stated, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                     size, other = int(head["X-Payload-Length"]), None
                     if kind == "response":
