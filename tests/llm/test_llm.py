@@ -237,6 +237,23 @@ def test_main_text_of_pages(spark):
     assert found[3] == found[4] == "" and found[5] == "Long text of the page" and found[6] == "a < b"
 
 
+def texts_of_pages(spark, pages, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    found = web.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found)]
+
+
+def test_template_text_in_plain_elements_goes_and_copies_stay(spark):
+    page = "<html><body><div class=x1><a>Home</a> <a>About</a></div><div class=x2><p>Own text {0}</p><p>More of {0}</p></div><div class=x3>All rights</div></body></html>"
+    own = [f"Own text {i}\nMore of {i}" for i in range(5)]
+    assert texts_of_pages(spark, [page.format(i) for i in range(5)]) == own
+    # Copies of one page and pages of a small host show no template; articles are taken whole.
+    whole = [f"Home About\n{own[0]}\nAll rights"] * 4
+    assert texts_of_pages(spark, [page.format(0)] * 4) == whole
+    article = "<article><p>Shared passage</p><p>Own {0}</p></article><div>Menu</div>"
+    assert texts_of_pages(spark, [article.format(i) for i in range(4)]) == [f"Shared passage\nOwn {i}" for i in range(4)]
+
+
 def test_archives_hold_each_payload_once(spark, tmp_path):
     rows = [(1, "http://a/ x\r\ny", "same"), (5, None, "same"), (3, "u", "same"), (4, "u", None), (6, "u", "ö\r\n\r\nWARC/1.1"), (None, "u", "same"), (5, None, "same")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string")
