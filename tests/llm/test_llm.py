@@ -254,6 +254,15 @@ def test_template_text_in_plain_elements_goes_and_copies_stay(spark):
     assert texts_of_pages(spark, [article.format(i) for i in range(4)]) == [f"Shared passage\nOwn {i}" for i in range(4)]
 
 
+def test_no_text_is_lost_by_its_share(spark):
+    page = "<body><div><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body>{1}</div></div></body>"
+    texts = ["Long text of the body. " * 20] + [f"Body {i}" for i in range(1, 5)]
+    expected = [f"Title {i}\nLead {i}\n{t.strip()}" for i, t in enumerate(texts)]
+    assert texts_of_pages(spark, [page.format(i, t) for i, t in enumerate(texts)]) == expected
+    two = "<main><p>First {0}</p></main><article><p>Second {0}</p></article>"
+    assert texts_of_pages(spark, [two.format(i) for i in range(4)]) == [f"First {i}\nSecond {i}" for i in range(4)]
+
+
 def test_archives_hold_each_payload_once(spark, tmp_path):
     rows = [(1, "http://a/ x\r\ny", "same"), (5, None, "same"), (3, "u", "same"), (4, "u", None), (6, "u", "ö\r\n\r\nWARC/1.1"), (None, "u", "same"), (5, None, "same")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string")
