@@ -263,6 +263,16 @@ def test_no_text_is_lost_by_its_share(spark):
     assert texts_of_pages(spark, [two.format(i) for i in range(4)]) == [f"First {i}\nSecond {i}" for i in range(4)]
 
 
+def test_drawings_and_generated_names_lose_no_text():
+    page = '<article><p>A<svg class="icon"/> b</p><svg><title>T</title><style/><path/></svg><p>C</p><math><mi>x</mi></math><svg><path><p>D</p></article>'
+    assert web.main_text(page, None) == "A b\nC\nD"
+    assert web.main_text('<p>A <svg class="i"/> b</p><p>C</p>', None) == "A b\nC"
+    named = '<h2 id="related-work">R</h2><section id="social-media"><p>S</p></section><h3 id="notice-period">N</h3>'
+    lost = '<div class="Related">x</div><div class="post comments">y</div>'
+    assert web.main_text(f'<article>{named}<div class="comment-history">H</div>{lost}</article>', None) == "R\nS\nN\nH"
+    assert web.main_text(f'{named}<div id="side-menu">z</div>{lost}', None) == "R\nS\nN"
+
+
 def test_archives_hold_each_payload_once(spark, tmp_path):
     rows = [(1, "http://a/ x\r\ny", "same"), (5, None, "same"), (3, "u", "same"), (4, "u", None), (6, "u", "ö\r\n\r\nWARC/1.1"), (None, "u", "same"), (5, None, "same")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string")
