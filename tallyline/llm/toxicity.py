@@ -6,7 +6,8 @@ of its kind; training adds ``PENALTY`` times the squared change of the score bet
 that a term seen more often in toxic texts does not become evidence by itself.
 
 Words, and beginnings of words, enter the model if they stand in enough training texts and their association with the label
-exceeds what chance explains; identity terms always enter, so that the penalty acts on them.
+exceeds what chance explains; identity terms always enter, so that the penalty acts on them.  They have no beginnings, so
+that the swap of a term changes everything that it says about the group.
 
 Labels are taken from at most ``1.2 * TRAIN_ROWS`` labelled documents, chosen by a hash of the
 doc_id; the bound is for fitting only.  Scoring covers every row and whole texts.
@@ -51,13 +52,17 @@ IDENTITY = (
     "femmes hommes femme homme musulmans chrétiens juifs étrangers réfugiés",
     "mujeres hombres mujer hombre musulmanes cristianos judíos extranjeros refugiados",
 )
+TERMS = frozenset(" ".join(IDENTITY).split())
 _words = re.compile(r"\w+").findall
 
 
 def words_of(text: str) -> set[str]:
-    """The words of a text, and their beginnings, which inflected and compound words share."""
+    """The words of a text, and their beginnings, which inflected and compound words share.
+
+    Identity terms have no beginnings.
+    """
     words = set(_words(text.lower()))
-    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
+    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX and w not in TERMS}
 
 
 def swaps() -> dict[str, str]:

@@ -219,6 +219,23 @@ def test_identity_terms_move_a_regularised_score_less():
     assert toxicity.fit([], np.array([])).score({"x"}) < 1e-6
 
 
+def test_swapped_terms_leave_no_beginnings_behind():
+    chosen = random.Random(3)
+    made, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        words = [f"w{chosen.randrange(50)}" for _ in range(8)] + ["vile"] * (toxic and i % 2)
+        made.append(toxicity.words_of(" ".join([*words, "Muslim" if toxic or chosen.random() < 0.1 else "Christian"])))
+        labels.append(int(toxic))
+    swap = toxicity.swaps()
+    assert toxicity.counterfactual(toxicity.words_of("a muslim view"), swap) == toxicity.words_of(f"a {swap['muslim']} view")
+    gap = []
+    for penalty in (0.0, 20.0):
+        model = toxicity.fit(made, np.array(labels), penalty)
+        gap.append(abs(model.score(toxicity.words_of("Muslim w1")) - model.score(toxicity.words_of("Jewish w1"))))
+    assert gap[1] < 0.2 * gap[0]
+
+
 def test_toxicity_on_odd_rows(odd, empty):
     model = toxicity.Model(-1.0, {"same": 2.0})
     found = {r.doc_id: r for r in toxicity.scored(odd, model).collect()}
