@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyline.llm import common
 from tallyline.llm.components import components
@@ -222,18 +223,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(placed, "fp")
 
 
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """The rows with a column ``__fp``."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, column=place):
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with the columns it came with.
 
-    Of rows that share this doc_id one stays; rows without a doc_id stay as they are, one for each
-    group that has no doc_id at all.
+    Groups are made of fingerprints, so rows without a doc_id are compared like any other, and rows
+    that share a doc_id are in one group only if their texts are.  A row without a doc_id stays if no
+    row of its group has one; of rows with the doc_id and the fingerprint that stay, one stays.
     """
-    found = near_duplicates(docs)
-    own = F.coalesce(F.col("doc_id"), F.lit(0))
-    leaders = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    leaders = leaders.select(own.alias("__id"), F.col("doc_id").isNull().alias("__none")).distinct()
-    docs = docs.withColumns({"__id": own.cast("long"), "__none": F.col("doc_id").isNull()})
-    return docs.join(leaders, ["__id", "__none"], "left_semi").dropDuplicates(["__id", "__none"]).drop("__id", "__none")
+    marked = common.stored(fingerprints(docs), "fingerprints")
+    classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+    groups = components(class_links(classes.select(F.col("fp").alias("node"), "fp")))
+    placed = classes.join(groups, classes["fp"] == groups["node"], "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
+    leaders = placed.groupBy(F.coalesce("component", "fp")).agg(first).select(
+        F.coalesce("first.id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.fp").alias("__fp")
+    )
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    rows = with_fingerprints(docs).withColumns({"__id": own, "__none": F.col("doc_id").isNull()})
+    kept = rows.join(leaders, ["__id", "__none", "__fp"], "left_semi").dropDuplicates(["__fp"])
+    return kept.select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:

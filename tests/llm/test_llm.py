@@ -152,6 +152,13 @@ def test_simhash_against_all_pairs(spark, odd, empty, monkeypatch):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_documents_without_or_with_shared_ids_are_kept_by_text(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(30)) for w in ("ash", "birch", "cedar", "dill"))
+    rows = [(None, one), (None, two), (None, two), (None, three), (7, three), (7, four), (8, four), (0, "zero " * 9)]
+    kept = simhash.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, one), (None, two), (7, three), (7, four), (0, "zero " * 9)], key=str)
+
+
 def test_vectors_against_all_pairs(spark, monkeypatch):
     made = np.random.default_rng(2)
     near = made.normal(size=(40, 16)).repeat(8, axis=0) + made.normal(scale=0.25, size=(320, 16))
