@@ -12,7 +12,7 @@ from tallyline.llm import bpe, common, language, packing, quality, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; those without a letter go."""
+    """Documents with a letter.  Each of them gets a language, so the network's choice rejects none."""
     return language.kept_documents(docs)
 
 

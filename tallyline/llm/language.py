@@ -268,7 +268,10 @@ def predicted(docs: DataFrame, network: Network | None, keep: bool = False) -> D
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows whose text is in a learned language, with the columns they came with."""
+    """The rows whose text has a letter, with the columns they came with; none without a language to learn.
+
+    Every such text gets the best of the learned languages, so the network's choice rejects none.
+    """
     learned = train(docs.filter(common.fold(F.col("doc_id"), 5) != 0))
     return predicted(docs, learned, keep=True)
 
