@@ -137,7 +137,7 @@ class Codec:
         self.split = regex.compile("|".join(f"({n})" for n in named)) if named else None
         self.loose = "|".join([_LOOSE, *named])
         self.find = regex.compile(PIECES).findall
-        self.pool = common.Pool(self.learn, cached)
+        self.pool = common.Pool(self.learned, cached)
         texts = self.merges.bytes_of | {i: t for t, i in self.special.items()}
         size = max(texts) + 1
         self.texts = _Runs([texts.get(i, b"") for i in range(size)])
@@ -183,6 +183,10 @@ class Codec:
             [np.array(plain, np.int64), rest, np.array(fixed, np.int64)],
         )
 
+    def learned(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self.learn(keys)
+        return ids.astype(np.uint32), counts
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
         texts = pc.fill_null(texts, "")
@@ -249,7 +253,7 @@ def encoded_documents(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(json.loads(sent.value))
+        codec = common.of_worker(sent, lambda vocabulary: Codec(json.loads(vocabulary)))
         for batch in common.slices(batches):
             ids, totals = codec.encode(batch.column(1))
             ends = np.cumsum(totals)

@@ -16,8 +16,8 @@ from tallyline.session import scratch_path
 WORD_END = " \t\n\x0b\f\r"
 #: Bytes of text handled at once inside a Python task, so that long texts do not add up.
 SLICE = 4 << 20
-#: Words a worker remembers before it starts anew; a cache, without influence on results.
-CACHE_WORDS = 450_000
+#: Words a worker remembers; a cache, without influence on results.
+CACHE_WORDS = 700_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,41 +71,97 @@ class Words:
         self.text = np.repeat(np.arange(self.counts.size), self.counts)
 
 
+class Runs:
+    """Runs of values, one after the other, in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.values, self.used = None, 0
+        self.starts, self.counts, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        if self.values is None:
+            self.values = np.empty((0, *values.shape[1:]), values.dtype)
+        ends = self.used + np.cumsum(counts)
+        self.values = _with(self.values, self.used, values)
+        self.starts = _with(self.starts, self.number, ends - counts)
+        self.counts = _with(self.counts, self.number, counts)
+        self.used, self.number = self.used + len(values), self.number + len(counts)
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return gathered(self.values, self.starts[numbers], self.counts[numbers])
+
+
+def _with(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` behind its first ``used`` elements."""
+    if used + len(more) > len(array):
+        larger = np.empty((max(2 * len(array), used + len(more)), *array.shape[1:]), array.dtype)
+        larger[:used] = array[:used]
+        array = larger
+    array[used : used + len(more)] = more
+    return array
+
+
 class Pool:
-    """Numbers of words already met by a worker and, for each, a run of values in one flat array."""
+    """Numbers of words already met by a worker and, for each, a run of values in one flat array.
+
+    Words lie in two generations: a full one becomes the older, whose words move over when they are
+    met again, so at most ``limit`` words and those of one call are held and frequent ones stay."""
 
     def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int):
         self.learn, self.limit = learn, limit
-        self.reset()
-
-    def reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.values, self.counts, self.starts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.older: dict[bytes, int] = {}
+        self.runs, self.older_runs = Runs(), Runs()
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.runs.counts
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.runs.values
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words, after learning the new ones."""
-        if len(self.number) > self.limit:
-            self.reset()
-        number = self.number
-        new = list({w for w in words if w not in number})
+        """Numbers of the words, after learning the new ones.  They hold until the next call."""
+        if len(self.number) > self.limit // 2:
+            self.older, self.older_runs = self.number, self.runs
+            self.number, self.runs = {}, Runs()
+        number, older = self.number, self.older
+        new = {w for w in words if w not in number}
         if new:
-            values, counts = self.learn(new)
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            self.values = values if self.values is None else np.concatenate([self.values, values])
-            self.counts = np.concatenate([self.counts, counts])
-            self.starts = np.cumsum(self.counts) - self.counts
+            met = [w for w in new if w in older]
+            if met:
+                at = np.array([older[w] for w in met], np.int64)
+                self.add(met, self.older_runs.take(at), self.older_runs.counts[at])
+            unknown = [w for w in new if w not in older]
+            if unknown:
+                self.add(unknown, *self.learn(unknown))
         return np.array([number[w] for w in words], np.int64)
 
+    def add(self, words: list[bytes], values: np.ndarray, counts: np.ndarray) -> None:
+        known = len(self.number)
+        self.number.update(zip(words, range(known, known + len(words))))
+        self.runs.add(values, counts)
+
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         """The values of these words, one word after the other."""
-        return gathered(self.values, self.starts[numbers], self.counts[numbers])
+        return self.runs.take(numbers)
+
+
+def of_worker(sent, make: Callable):
+    """What ``make`` builds of a broadcast value, once in each worker process.
+
+    A worker keeps the broadcast object over its tasks, so what was built of it lives there too."""
+    if not hasattr(sent, "built"):
+        sent.built = make(sent.value)
+    return sent.built
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Runs of ``values``, joined."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if ends.size else 0
-    return values[np.repeat(starts - ends + counts, counts) + np.arange(total)] if total else np.zeros(0, np.int64)
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(total)] if total else values[:0] if values is not None else np.zeros(0, np.int64)
 
 
 def sampled(rows: DataFrame, key: Column, limit: int, counted: int) -> DataFrame:

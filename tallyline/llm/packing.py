@@ -113,11 +113,12 @@ class WordCodec:
         found = self.find("\n".join([texts[i] for i in here]).lower()) if here.size else []
         ids, counts = self.merges.encode_found(found, " ", "\n") if found else _nothing()
         others = [self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in rest]
-        return joined(
+        ids, counts = joined(
             [ids, *[np.array(o, np.int64) for o in others]],
             [counts, np.array([len(o) for o in others], np.int64)],
             [here, rest],
         )
+        return ids.astype(np.uint32), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, in one array; and each text's number of ids."""
@@ -154,7 +155,7 @@ def tokenised(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, curve = WordCodec(sent.value), Curve()
+        codec, curve = common.of_worker(sent, lambda vocabulary: (WordCodec(vocabulary), Curve()))
         for batch in common.slices(batches):
             ids, totals = codec.encode(batch.column(1))
             packed = ids.astype("<u4")

@@ -1,5 +1,6 @@
 """The text-pipeline operators against brute force, SQL, round trips and held-out labels."""
 
+import gzip
 import json
 import random
 import re
@@ -17,7 +18,7 @@ import __spark_entry__ as entry
 from conftest import SF_TINY
 from tallyline.checks.compare import connect, differences
 from tallyline.llm import (
-    bpe, chat, components, language, packing, quality, registry, simhash, toxicity, vectors, warc, web,
+    bpe, chat, common, components, language, packing, quality, registry, simhash, toxicity, vectors, warc, web,
 )
 
 ODD = [None, "", " \n\t", "x", "word " * 9_000, "The same text here again", "The same text here again", "ß É 中文 \U0001f600"]
@@ -59,6 +60,21 @@ def test_bpe_is_that_of_the_library():
             assert codec.decode(own).decode("utf-8", "replace") == theirs.decode(expected, skip_special_tokens=False)
 
 
+def test_word_cache_keeps_words_in_use_and_stays_bounded():
+    learned = []
+
+    def learn(words):
+        learned.extend(words)
+        return np.concatenate([np.frombuffer(w, np.uint8).astype(np.uint32) for w in words]), np.array([len(w) for w in words])
+
+    pool = common.Pool(learn, 20)
+    for i in range(200):
+        asked = [b"often", b"%d" % i, b"w%d" % (i // 2)]
+        assert pool.gather(pool.numbers(asked)).astype(np.uint8).tobytes() == b"".join(asked)
+        assert len(pool.number) + len(pool.older) <= 30
+    assert learned.count(b"often") == 1 and pool.values.dtype == np.uint32
+
+
 def test_packed_pieces_hold_every_id_once(spark, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     vocabulary, theirs = bpe.read_vocabulary(path), Tokenizer.from_file(path)
@@ -304,7 +320,7 @@ def test_archives_hold_each_payload_once(spark, tmp_path):
     found = [tuple(r) for r in warc.read_archives(spark, str(tmp_path / "w")).select("page_id", "record_type", "refers_to", "payload_bytes").collect()]
     expected = [(1, "revisit", 5, 4), (5, "response", None, 4), (3, "revisit", 5, 4), (4, "response", None, 0), (6, "response", None, 14), (None, "revisit", 5, 4), (5, "response", None, 4)]
     assert sorted(found, key=str) == sorted(expected, key=str)
-    stored = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    stored = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     assert stored.count(b"\r\n\r\nsame\r\n\r\n") == 2
 
 
