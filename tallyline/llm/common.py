@@ -105,13 +105,16 @@ class Pool:
     """Numbers of words already met by a worker and, for each, a run of values in one flat array.
 
     Words lie in two generations: a full one becomes the older, whose words move over when they are
-    met again, so at most ``limit`` words and those of one call are held and frequent ones stay."""
+    met again, so at most ``limit`` words and those of one call are held and frequent ones stay.
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int):
+    ``learn`` gives the values of words and how many each has, and may add a list with a note on each."""
+
+    def __init__(self, learn: Callable[[list[bytes]], tuple], limit: int):
         self.learn, self.limit = learn, limit
         self.number: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
         self.runs, self.older_runs = Runs(), Runs()
+        self.notes, self.older_notes = [], []
 
     @property
     def counts(self) -> np.ndarray:
@@ -124,22 +127,24 @@ class Pool:
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words, after learning the new ones.  They hold until the next call."""
         if len(self.number) > self.limit // 2:
-            self.older, self.older_runs = self.number, self.runs
-            self.number, self.runs = {}, Runs()
+            self.older, self.older_runs, self.older_notes = self.number, self.runs, self.notes
+            self.number, self.runs, self.notes = {}, Runs(), []
         number, older = self.number, self.older
         new = {w for w in words if w not in number}
         if new:
             met = [w for w in new if w in older]
             if met:
                 at = np.array([older[w] for w in met], np.int64)
-                self.add(met, self.older_runs.take(at), self.older_runs.counts[at])
+                notes = [self.older_notes[i] for i in at.tolist()] if self.older_notes else []
+                self.add(met, self.older_runs.take(at), self.older_runs.counts[at], notes)
             unknown = [w for w in new if w not in older]
             if unknown:
                 self.add(unknown, *self.learn(unknown))
         return np.array([number[w] for w in words], np.int64)
 
-    def add(self, words: list[bytes], values: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, words: list[bytes], values: np.ndarray, counts: np.ndarray, notes: list = ()) -> None:
         known = len(self.number)
+        self.notes += notes
         self.number.update(zip(words, range(known, known + len(words))))
         self.runs.add(values, counts)
 

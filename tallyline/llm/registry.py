@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tallyline.llm import bpe, chat, language, packing, quality, simhash, toxicity, vectors, warc, web
+from tallyline.llm import (
+    alignment, bpe, chat, counts, language, packing, quality, simhash, toxicity, vectors, warc, web,
+)
 
 QUERIES = {
     query.__name__: query
@@ -15,6 +17,8 @@ QUERIES = {
         language.op8_language_id,
         web.op9_html_text,
         warc.op10_warc,
+        alignment.op11_alignment,
+        counts.op12_token_counts,
     )
 }
 #: The other queries cannot be stated in SQL and are tested against brute force or held-out labels.
