@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
 from tallyline.llm import (
-    alignment, bpe, chat, counts, language, packing, quality, simhash, toxicity, vectors, warc, web,
+    alignment, bpe, chat, collocations, counts, language, packing, quality, simhash, toxicity, vectors, warc, web,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
         warc.op10_warc,
         alignment.op11_alignment,
         counts.op12_token_counts,
+        collocations.op13_collocations,
     )
 }
 #: The other queries cannot be stated in SQL and are tested against brute force or held-out labels.
@@ -26,4 +27,5 @@ SQL = {
     "op1_quality_rules": quality.SQL,
     "op4_chat_formatting": chat.SQL,
     "op10_warc": warc.SQL,
+    "op13_collocations": collocations.SQL,
 }
