@@ -40,9 +40,11 @@ from tallyline.llm import common
 #: subsumes it, scale of the score, and phrases listed per language.
 LEAST, LONGEST, SUBSUMED, SCALE, LISTED = 30, 4, 80, 2_000_000, 2_000
 #: Bytes of text of a chunk; occurrences of a prefix that make one part of its stripe.
-CHUNK, PART = 24 << 20, 1_000_000
+CHUNK, PART = 12 << 20, 1_000_000
 #: Most entries in one row of a stripe, so that batches of rows stay small.
-ROW = 1_024
+ROW = 256
+#: Rows of stripes sent on at once.
+SENT = 4_096
 #: Partial ranks are taken in so many groups of a language first.
 GROUPS = 32
 UNKNOWN = "und"
@@ -284,7 +286,9 @@ def _pairs(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return different, pair
 
 
-def _stripe_batch(chunk: int, prefix: list[np.ndarray], following, counts, codes, of: np.ndarray) -> pa.RecordBatch:
+def _stripes(
+    chunk: int, prefix: list[np.ndarray], following, counts, codes, of: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """Entries, sorted by prefix, as stripes in parts; ``of`` tells how many parts an entry's stripe has."""
     dealt = (following * 2_654_435_761 >> 11) % of
     change = np.zeros(max(following.size - 1, 0), bool)
@@ -295,7 +299,7 @@ def _stripe_batch(chunk: int, prefix: list[np.ndarray], following, counts, codes
     sizes, _ = _row_sizes(group[order] * (int(of.max(initial=1)) + 1) + dealt[order])
     starts = order[np.cumsum(sizes) - sizes] if sizes.size else np.zeros(0, np.int64)
     columns = [p[starts] for p in prefix] + [np.zeros(sizes.size, np.int64)] * (3 - len(prefix))
-    return pa.RecordBatch.from_arrays(
+    batch = pa.RecordBatch.from_arrays(
         [
             *(pa.array(c, pa.int64()) for c in columns),
             pa.array(dealt[starts], pa.int32()),
@@ -305,6 +309,8 @@ def _stripe_batch(chunk: int, prefix: list[np.ndarray], following, counts, codes
         ],
         names="a b c part chunk nexts counts codes".split(),
     )
+    for at in range(0, batch.num_rows, SENT):
+        yield batch.slice(at, SENT)
 
 
 def pair_stripes(kept: DataFrame, part: int) -> DataFrame:
@@ -318,7 +324,7 @@ def pair_stripes(kept: DataFrame, part: int) -> DataFrame:
                 different, pair = _pairs(codes, ids.size)
                 counts = np.bincount(pair[pair >= 0], minlength=different.size)
                 first, following = np.divmod(different, max(ids.size, 1))
-                yield _stripe_batch(
+                yield from _stripes(
                     batch.column("chunk")[i].as_py(), [ids[first]], ids[following], counts,
                     np.arange(different.size), totals[first] // part + 1,
                 )
@@ -380,14 +386,14 @@ def longer_stripes(kept: DataFrame, merged: DataFrame, part: int) -> DataFrame:
                 # A three-word phrase is its two pairs, a four-word phrase its first pair and its last.
                 phrase, counts = np.unique(pair[at] * different.size + pair[at + 1], return_counts=True)
                 x, y = np.divmod(phrase, max(different.size, 1))
-                yield _stripe_batch(
+                yield from _stripes(
                     chunk, [ids[first[x]], ids[last[x]]], ids[last[y]], counts, np.zeros(x.size, np.int64),
                     np.minimum(totals[first[x]], totals[last[x]]) // part + 1,
                 )
                 at = at[:-1][np.diff(at) == 1]
                 phrase, counts = np.unique(pair[at] * different.size + pair[at + 2], return_counts=True)
                 x, y = np.divmod(phrase, max(different.size, 1))
-                yield _stripe_batch(
+                yield from _stripes(
                     chunk, [ids[first[x]], ids[last[x]], ids[first[y]]], ids[last[y]], counts, np.zeros(x.size, np.int64),
                     np.minimum(np.minimum(totals[first[x]], totals[last[x]]), totals[first[y]]) // part + 1,
                 )
