@@ -111,7 +111,52 @@ def retention_90d(spark: SparkSession, sf: str) -> DataFrame:
     path = session.scratch_path(spark, "retention")
     tables.write_realtime(_realtime_rows(spark, sf), path)
     tables.drop_expired(spark, path, as_of)
-    return tables.retained(tables.read_realtime(spark, path), as_of)
+    tables.vacuum_table(spark, path, tables.REALTIME_TABLE)
+    return tables.read_realtime(spark, path)
+
+
+def _stored_in_loads(rows: DataFrame, write: Callable[..., None], path: str, loads: int = 4) -> None:
+    """The rows in several loads, each with a part of every date."""
+    for i in range(loads):
+        write(rows.where(F.pmod(F.hash("event_time", "store_id"), F.lit(loads)) == i), path, f"part{i}")
+
+
+def realtime_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates before the cut-over merged from several loads, the later ones as they were loaded."""
+    path = session.scratch_path(spark, "realtime-compacted")
+    _stored_in_loads(_realtime_rows(spark, sf), tables.write_realtime, path)
+    tables.compact_table(spark, path, tables.REALTIME_TABLE, CUTOVER.date())
+    tables.vacuum_table(spark, path, tables.REALTIME_TABLE)
+    return tables.read_realtime(spark, path)
+
+
+def lake_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """As above, read before the merged loads are removed, and with a load that came late."""
+    path = session.scratch_path(spark, "lake-compacted")
+    rows = validate_events(spark, sf)
+    late = F.pmod(F.hash("event_time"), F.lit(7)) == 0
+    _stored_in_loads(rows.where(~late), tables.write_lake, path)
+    tables.compact_table(spark, path, tables.LAKE_TABLE, CUTOVER.date())
+    tables.write_lake(rows.where(late), path)
+    return tables.read_lake(spark, path).select(*LAKE.fieldNames())
+
+
+def unified_by_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """Both layers while half of a date is being loaded into the lake: the date before the cut-over
+    and all earlier ones are complete, and the realtime table holds the last days."""
+    path = session.scratch_path(spark, "completeness")
+    rows = validate_events(spark, sf)
+    first, border = dt.date(2000, 1, 1), CUTOVER.date()
+    tables.write_lake(rows.where(F.col("event_time") < calendar.instant(CUTOVER)), f"{path}/lake")
+    tables.mark_complete(spark, f"{path}/lake", first, border - dt.timedelta(days=1))
+    half = F.to_date("event_time") == F.lit(border)
+    tables.write_lake(rows.where(half & (F.hour("event_time") < 12)), f"{path}/lake", "half")
+    recent = F.col("event_date") >= F.lit(border - dt.timedelta(days=3))
+    tables.write_realtime(_realtime_rows(spark, sf).where(recent), f"{path}/realtime")
+    lake = tables.read_lake(spark, f"{path}/lake")
+    complete = tables.complete_dates(spark, f"{path}/lake")
+    both = serving.combine_by_completeness(tables.read_realtime(spark, f"{path}/realtime"), lake, complete)
+    return serving.unified_events(both)
 
 
 # Streams
@@ -336,6 +381,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "realtime_table": realtime_table,
         "lake_pruned_scan": lake_pruned_scan,
         "retention_90d": retention_90d,
+        "realtime_compacted": realtime_compacted,
+        "lake_compacted": lake_compacted,
+        "unified_by_completeness": unified_by_completeness,
         # streams
         "stream_lake_sink": stream_lake_sink,
         "stream_ingest": stream_ingest,

@@ -312,6 +312,9 @@ SELECT left(value, length(value) - 1) || ',"source":"' || source || '"}}' AS val
 FROM (SELECT source, {TEXT_FIELDS} AS value FROM ev)"""
     q["stream_ingest"] = q["parse_events"]
     q["realtime_table"] = ev + f"SELECT {REALTIME_COLUMNS} FROM ev"
+    q["realtime_compacted"] = q["realtime_table"]
+    q["lake_compacted"] = q["validate_events"]
+    q["unified_by_completeness"] = q["unified_from_tables"]
     q["lake_pruned_scan"] = (
         ev + ENRICHED + f" WHERE {VALID} AND event_time >= {CUTOVER}"
     )

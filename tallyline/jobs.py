@@ -66,12 +66,21 @@ def predict_and_import(
 
 
 def expire(spark: SparkSession, root: str, as_of: dt.datetime) -> list[str]:
-    """Drop the dates of the realtime table that are past retention."""
-    return tables.drop_expired(spark, f"{root}/realtime", as_of)
+    """Drop what is past retention from the realtime table."""
+    dropped = tables.drop_expired(spark, f"{root}/realtime", as_of)
+    tables.vacuum_table(spark, f"{root}/realtime", tables.REALTIME_TABLE)
+    return dropped
 
 
-def compact(spark: SparkSession, root: str) -> None:
-    """Merge the partials of each rollup and remove what the merge has replaced."""
+def compact(spark: SparkSession, root: str, as_of: dt.datetime) -> None:
+    """Merge the loads of closed dates and the partials of each rollup; remove what that replaced.
+
+    What the previous run replaced goes first, so readers have the time between two runs.
+    """
+    stored = ((f"{root}/lake", tables.LAKE_TABLE), (f"{root}/realtime", tables.REALTIME_TABLE))
+    for path, table in stored:
+        tables.vacuum_table(spark, path, table)
+        tables.compact_table(spark, path, table, as_of.date())
     for rollup in ROLLUPS:
         compact_rollup(spark, f"{root}/rollups", rollup)
         vacuum_rollup(spark, f"{root}/rollups", rollup)
@@ -105,7 +114,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif chosen.job == "expire":
         expire(spark, chosen.root, as_of)
     else:
-        compact(spark, chosen.root)
+        compact(spark, chosen.root, as_of)
 
 
 if __name__ == "__main__":

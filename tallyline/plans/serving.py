@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,28 @@ def combine_layers(
     )
 
 
+def combine_by_completeness(
+    recent: DataFrame, archived: DataFrame, complete: Sequence[tuple[dt.date, dt.date]]
+) -> DataFrame:
+    """Recent and archived events with their ``source``, each date from one layer.
+
+    The archive answers for the dates it holds in full (``complete``, ranges with both ends), the
+    recent table for all others, so a date that is being loaded counts once, and the border moves
+    with the loads.  Both layers carry ``event_date``, on which the ranges prune directories.
+    """
+    columns = [*EVENT_COLUMNS, "event_date"]
+    held = F.lit(False)
+    for first, last in complete:
+        held = held | F.col("event_date").between(F.lit(first), F.lit(last))
+    archived = archived.where(_not_after(held, "event_date"))
+    return (
+        recent.where(~held)
+        .select(*columns)
+        .withColumn("source", F.lit("realtime"))
+        .unionByName(archived.select(*columns).withColumn("source", F.lit("historical")))
+    )
+
+
 def unified_events(unified: DataFrame) -> DataFrame:
     return unified.select(*EVENT_COLUMNS, "source")
 

@@ -33,7 +33,7 @@ def _start(
     write: Callable[[DataFrame, str], None],
 ) -> StreamingQuery:
     """``write`` each micro-batch as a load named after stream and batch, so that a replay after a
-    failure replaces what it had written."""
+    failure finds what it had written and adds only what is missing."""
     known: list[str] = []
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -57,7 +57,7 @@ def start_lake_sink(
         messages,
         checkpoint,
         live,
-        lambda batch, load: tables.write_lake(ingest.lake_rows(batch), path, load),
+        lambda batch, load: tables.write_lake(ingest.lake_rows(batch), path, load, replayed=True),
     )
 
 
@@ -69,5 +69,7 @@ def start_realtime_sink(
         messages,
         checkpoint,
         live,
-        lambda batch, load: tables.write_realtime(ingest.realtime_rows(batch), path, load),
+        lambda batch, load: tables.write_realtime(
+            ingest.realtime_rows(batch), path, load, replayed=True
+        ),
     )
