@@ -19,7 +19,7 @@ from tallyline.forecasting import features, model
 from tallyline.functions import calendar, text
 from tallyline.operators import demand_shape, ingest
 from tallyline.operators.rollup import DAILY, HOURLY, PRODUCT
-from tallyline.plans import anomaly, catalog, forecast, history, inventory, realtime, serving
+from tallyline.plans import anomaly, catalog, forecast, history, inventory, realtime, rolled, serving
 from tallyline.schemas import EVENT_COLUMNS, LAKE, REALTIME
 from tallyline.sources import messages, predictions, sample, storage, tables
 from tallyline.streaming import rollups, sinks
@@ -243,6 +243,30 @@ def rollup_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.read_rollup(spark, root, PRODUCT)
 
 
+_rollups: dict[tuple, str] = {}
+
+
+def _rolled(spark: SparkSession, sf: str) -> str:
+    """Rollups and bitmaps of the events before the cut-over, stored once a session for these tables."""
+    key = (spark.sparkContext.applicationId, sf, storage.state(spark, sf))
+    if key not in _rollups:
+        root, events = session.scratch_path(spark, "rolled"), sample.store_events(spark, sf)
+        rolled.load_overview(events, root, CUTOVER)
+        for rollup in (HOURLY, PRODUCT):
+            rollups.load_rollup(events, root, rollup, CUTOVER)
+        _rollups[key] = root
+    return _rollups[key]
+
+
+def _from_rollup(report: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A report from the stored rollups and the events from the cut-over on."""
+    return lambda s, d: report(s, _rolled(s, d), sample.store_events(s, d, start=CUTOVER))
+
+
+def rollup_hourly_read(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.read_rollup(spark, _rolled(spark, sf), HOURLY)
+
+
 # Prediction files
 
 
@@ -397,6 +421,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_product": lambda s, d: _streamed_rollup(s, d, PRODUCT),
         "rollup_late_data": rollup_late_data,
         "rollup_compacted": rollup_compacted,
+        "rollup_hourly_read": rollup_hourly_read,
+        # reports from rollups
+        "sales_by_category_rolled": _from_rollup(rolled.sales_by_category),
+        "sales_by_store_rolled": _from_rollup(rolled.sales_by_store),
+        "hourly_sales_trend_rolled": _from_rollup(rolled.hourly_sales_trend),
+        "product_performance_rolled": _from_rollup(rolled.product_performance),
+        "daily_sales_rolled": _from_rollup(
+            lambda s, root, events: rolled.daily_sales(s, root, events, AS_OF - dt.timedelta(days=14), AS_OF)
+        ),
+        "home_kpis_rolled": _from_rollup(rolled.home_kpis),
         # serving
         "unified_events": lambda s, d: serving.unified_events(unified(s, d)),
         "unified_preview": lambda s, d: catalog.preview(unified(s, d)),

@@ -377,6 +377,16 @@ FROM ev WHERE {SALE} AND {days(30)} GROUP BY ALL"""
 SELECT CAST(COUNT(*) AS BIGINT) AS total_transactions, {REVENUE} AS total_revenue,
        CAST(COUNT(DISTINCT product_id) AS BIGINT) AS unique_products,
        CAST(COUNT(DISTINCT store_id) AS BIGINT) AS unique_stores FROM ev WHERE {SALE}"""
+    q["home_kpis_rolled"] = q["home_kpis"]
+    for report in ("sales_by_category", "sales_by_store", "hourly_sales_trend", "product_performance"):
+        q[f"{report}_rolled"] = q[report]
+    q["rollup_hourly_read"] = rollup(
+        "date_trunc('hour', event_time) AS hour, store_id, category", f"{SALE} AND event_time < {CUTOVER}"
+    )
+    q["daily_sales_rolled"] = ev + f"""
+SELECT CAST(event_time AS DATE) AS date, store_id, CAST(COUNT(*) AS BIGINT) AS transaction_count,
+       {UNITS} AS total_quantity, {REVENUE} AS total_revenue
+FROM ev WHERE {SALE} AND event_time < {AS_OF} AND event_time >= {AS_OF} - INTERVAL 14 DAY GROUP BY ALL"""
     q["data_freshness"] = ev + """
 SELECT max(event_time) AS latest_event, CAST(COUNT(*) AS BIGINT) AS total_records,
        max(inserted_at) AS latest_insert FROM ev"""

@@ -32,26 +32,35 @@ def _parts(value: str, quantity: str | None, where: str | None) -> tuple[str, st
     return cents, rest
 
 
-def cent_sum(value: str, quantity: str | None = None) -> Column:
-    return F.expr(f"sum({_parts(value, quantity, None)[0]})")
+#: What the columns of :func:`partial_sums` end in.
+PARTIAL_PARTS = ("billions", "cents", "rest")
 
 
-def rest_sum(value: str, quantity: str | None = None) -> Column:
-    return F.expr(f"sum({_parts(value, quantity, None)[1]})")
+def partial_sums(prefix: str, value: str, quantity: str | None = None) -> list[Column]:
+    """The three sums that make up an amount, each of which may be summed again.
 
+    Cents are summed in two BIGINTs, of billions and of what is left, which billions of rows with
+    the largest prices and quantities do not fill.
+    """
+    cents, rest = _parts(value, quantity, None)
+    sums = (f"sum(({cents}) div {BILLION}L)", f"sum(({cents}) % {BILLION}L)", f"sum({rest})")
+    return [F.expr(s).alias(f"{prefix}_{part}") for s, part in zip(sums, PARTIAL_PARTS)]
 
-def amount(cents: Column, rest: Column) -> Column:
-    """The DOUBLE value of a (cents, rest) pair of sums."""
-    return cents / 100 + rest
+
+def _total(billions: str, cents: str, rest: str) -> str:
+    whole = f"CAST(CAST({billions} AS DECIMAL(20, 0)) * {BILLION}L + {cents} AS DOUBLE)"
+    return f"({whole} / 100 + {rest})"
+
+
+def amount(prefix: str, summed: bool = False) -> Column:
+    """The DOUBLE value of the columns of :func:`partial_sums`, or of their sums over a group."""
+    parts = [f"{prefix}_{part}" for part in PARTIAL_PARTS]
+    return F.expr(_total(*(f"sum({p})" if summed else p for p in parts)))
 
 
 def _sum(value: str, quantity: str | None, where: str | None) -> str:
-    """Cents are summed in two BIGINTs, of billions and of what is left, which billions of rows with
-    the largest prices and quantities do not fill."""
     cents, rest = _parts(value, quantity, where)
-    high, low = f"sum(({cents}) div {BILLION}L)", f"sum(({cents}) % {BILLION}L)"
-    whole = f"CAST(CAST({high} AS DECIMAL(20, 0)) * {BILLION}L + {low} AS DOUBLE)"
-    return f"({whole} / 100 + sum({rest}))"
+    return _total(f"sum(({cents}) div {BILLION}L)", f"sum(({cents}) % {BILLION}L)", f"sum({rest})")
 
 
 def money_sum(value: str, quantity: str | None = None, where: str | None = None) -> Column:

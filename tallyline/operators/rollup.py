@@ -6,7 +6,7 @@ by summing, late rows included.  Averages are derived on read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,10 +19,7 @@ from tallyline.schemas import SALE
 PARTIAL_SUMS = (
     "transaction_count",
     "total_quantity",
-    "revenue_cents",
-    "revenue_rest",
-    "price_cents",
-    "price_rest",
+    *(f"{amount}_{part}" for amount in ("revenue", "price") for part in money.PARTIAL_PARTS),
     "price_count",
 )
 
@@ -77,19 +74,16 @@ def partials(events: DataFrame, rollup: Rollup) -> DataFrame:
     return events.groupBy(*[key().alias(name) for name, key in rollup.keys.items()]).agg(
         F.count("*").alias("transaction_count"),
         F.sum(quantity).alias("total_quantity"),
-        money.cent_sum(price, quantity).alias("revenue_cents"),
-        money.rest_sum(price, quantity).alias("revenue_rest"),
-        money.cent_sum(price).alias("price_cents"),
-        money.rest_sum(price).alias("price_rest"),
+        *money.partial_sums("revenue", price, quantity),
+        *money.partial_sums("price", price),
         F.count(price).alias("price_count"),
     )
 
 
-def merge(partial_rows: DataFrame, rollup: Rollup) -> DataFrame:
+def merge(partial_rows: DataFrame, keys: Rollup | Sequence[str]) -> DataFrame:
     """Partials of any number of batches → one partial row per key."""
-    return partial_rows.groupBy(*rollup.key_names).agg(
-        *[F.sum(name).alias(name) for name in PARTIAL_SUMS]
-    )
+    names = keys.key_names if isinstance(keys, Rollup) else keys
+    return partial_rows.groupBy(*names).agg(*[F.sum(name).alias(name) for name in PARTIAL_SUMS])
 
 
 def finish(merged: DataFrame, rollup: Rollup) -> DataFrame:
@@ -97,14 +91,17 @@ def finish(merged: DataFrame, rollup: Rollup) -> DataFrame:
     measures = [
         F.col("transaction_count"),
         F.col("total_quantity"),
-        money.amount(F.col("revenue_cents"), F.col("revenue_rest")).alias("total_revenue"),
+        money.amount("revenue").alias("total_revenue"),
     ]
     if rollup.average_price:
-        prices = money.amount(F.col("price_cents"), F.col("price_rest"))
-        measures.append(F.try_divide(prices, F.col("price_count")).alias("avg_unit_price"))
+        measures.append(average_price().alias("avg_unit_price"))
     return merged.select(*rollup.key_names, *measures)
 
 
+def average_price() -> Column:
+    return F.try_divide(money.amount("price"), F.col("price_count"))
+
+
 def summarise(events: DataFrame, rollup: Rollup) -> DataFrame:
     """The rollup straight from events, as a batch query."""
     return finish(partials(events, rollup), rollup)

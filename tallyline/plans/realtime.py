@@ -23,13 +23,12 @@ def home_kpis(unified: DataFrame) -> DataFrame:
         .groupBy("product_id", "store_id")
         .agg(
             F.count("*").alias("n"),
-            money.cent_sum("unit_price", "quantity").alias("cents"),
-            money.rest_sum("unit_price", "quantity").alias("rest"),
+            *money.partial_sums("revenue", "unit_price", "quantity"),
         )
     )
     return per_pair.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_transactions"),
-        money.amount(F.sum("cents"), F.sum("rest")).alias("total_revenue"),
+        money.amount("revenue", summed=True).alias("total_revenue"),
         F.countDistinct("product_id").alias("unique_products"),
         F.countDistinct("store_id").alias("unique_stores"),
     )

@@ -4,6 +4,7 @@ Layout below one root per rollup::
 
     partials/batch_id=<n>/   sums of micro-batch n, replaced when n is replayed
     merged/upto=<n>/         sums of all batches up to n, written by compaction
+    _until                   the time up to which an initial load holds all events
     _checkpoint/             the stream's own state
 
 A reader takes the newest complete ``merged`` directory and the partials after it.  Checkpoint and
@@ -12,6 +13,7 @@ partials live and die together, because batch numbers start again with a new che
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,18 +60,14 @@ def start_rollups(
 
 def _complete(spark: SparkSession, path: str, label: str) -> list[int]:
     """Numbers of the committed ``label=<n>`` directories below ``path``."""
-    numbers = [
-        int(name.removeprefix(f"{label}="))
-        for name in storage.child_directories(spark, path)
-        if name.startswith(f"{label}=")
-    ]
-    return sorted(n for n in numbers if storage.is_complete(spark, f"{path}/{label}={n}"))
+    found = storage.matching(spark, path, f"{label}=*/_SUCCESS")
+    return sorted(int(name.split("/")[0].removeprefix(f"{label}=")) for name in found)
 
 
-def _merged_rows(
+def _current_paths(
     spark: SparkSession, root: str, rollup: Rollup, upto: int | None = None
-) -> tuple[DataFrame, int]:
-    """One partial row per key over all batches (``upto`` one), and the last batch number."""
+) -> tuple[list[str], int]:
+    """The directories that hold all batches (``upto`` one), and the last batch number."""
     base = f"{root}/{rollup.name}"
     generations = [
         n for n in _complete(spark, f"{base}/merged", "upto") if upto is None or n <= upto
@@ -85,7 +83,15 @@ def _merged_rows(
         paths.append(f"{base}/merged/upto={start}")
     if not paths:
         raise ValueError(f"no complete batch of rollup {rollup.name} below {root}")
-    return merge(spark.read.parquet(*paths), rollup), max([start, *batches])
+    return paths, max([start, *batches])
+
+
+def _merged_rows(
+    spark: SparkSession, root: str, rollup: Rollup, upto: int | None = None
+) -> tuple[DataFrame, int]:
+    """One partial row per key over all batches (``upto`` one), and the last batch number."""
+    paths, last = _current_paths(spark, root, rollup, upto)
+    return merge(spark.read.parquet(*paths), rollup), last
 
 
 def read_rollup(spark: SparkSession, root: str, rollup: Rollup) -> DataFrame:
@@ -93,10 +99,31 @@ def read_rollup(spark: SparkSession, root: str, rollup: Rollup) -> DataFrame:
     return finish(rows, rollup)
 
 
-def load_rollup(events: DataFrame, root: str, rollup: Rollup) -> None:
-    """Initial load: sums of the events stored before the stream's first batch, as ``upto=-1``."""
-    path = f"{root}/{rollup.name}/merged/upto=-1"
-    partials(events, rollup).write.mode("overwrite").parquet(path)
+def load_rollup(
+    events: DataFrame, root: str, rollup: Rollup, until: dt.datetime | None = None
+) -> None:
+    """Initial load: sums of the events stored before the stream's first batch, as ``upto=-1``.
+
+    With ``until`` only events before it are taken, all of which ``events`` must hold; it is recorded,
+    so that reports can add the events from then on (:mod:`tallyline.plans.rolled`).
+    """
+    base, spark = f"{root}/{rollup.name}", events.sparkSession
+    storage.remove(spark, f"{base}/_until")
+    rows = events if until is None else calendar.before(events, until)
+    partials(rows, rollup).write.mode("overwrite").parquet(f"{base}/merged/upto=-1")
+    if until is not None:
+        storage.create_text(spark, f"{base}/_until", until.isoformat())
+
+
+def loaded_until(spark: SparkSession, root: str, rollup: Rollup) -> dt.datetime | None:
+    """The time up to which the rollup holds all events, if its load recorded one."""
+    path = f"{root}/{rollup.name}/_until"
+    return dt.datetime.fromisoformat(storage.read_text(spark, path)) if storage.exists(spark, path) else None
+
+
+def stored_partials(spark: SparkSession, root: str, rollup: Rollup) -> DataFrame:
+    """The partial rows of the newest generation and the batches after it, not yet added up."""
+    return spark.read.parquet(*_current_paths(spark, root, rollup)[0])
 
 
 def compact_rollup(spark: SparkSession, root: str, rollup: Rollup) -> int | None:
