@@ -8,15 +8,16 @@ word in the stripe of what stands before it, the extensions of a phrase are the
 stripe, and what subsumes a phrase is the largest entry among its one-word extensions to the right
 and to the left (a phrase subsumed by a longer one is by one of these, as counts only fall).
 
-Only entries that can still matter travel: a phrase of 30 occurrences consists of words, and of pairs
-of words, with as many.  So the chunks count words first; a merged stripe tells each chunk which of
-its entries reached 30, as numbers local to the chunk; then pairs of such words; then phrases of three
-and four whose pairs all reached it.  The text is read once: a chunk's words are kept as numbers in a
-written table, and no list of words is broadcast or collected.
+Only entries that can still matter travel: a phrase of 30 occurrences consists of phrases with as many.
+So there is a round for each length.  A merged stripe tells every chunk which of its entries reached 30,
+as numbers local to the chunk, and the chunk keeps, in a written table, only the places where such
+phrases follow each other; the next round counts there.  The text itself is read once, and no list of
+words is broadcast or collected.  The stripes of all prefixes that begin with one word travel as one
+row per chunk, the counters of the longer prefixes inside it.
 
-Hot prefixes: the stripe of a prefix met n times is dealt, by its next word, to 1 + n // ``PART``
-parts that are merged apart; all chunks know n from the round before.  A part's entries are at most
-one per chunk for each of its words.
+Hot prefixes: the stripes that begin with a word met n times are dealt, by the words that follow, to
+1 + n // ``PART`` parts that are merged apart; all chunks know n from the first round.  A part's entries
+are at most one per chunk for each of its phrases.
 
 Defined results: null texts are empty and have no words; a null lang counts as ``und``, together with
 that name.  Repeated rows count as often as they stand there.  Ties rank by occurrences, then phrase
@@ -60,8 +61,8 @@ COUNTED = "chunk long, lang string, n long, words array<string>, counts array<lo
 WORDS = "lang string, part int, chunk long, words array<string>, counts array<long>, codes array<int>"
 MERGED_WORDS = "lang string, id long, word string, n long, chunk long, codes array<int>, ids array<long>, totals array<long>"
 KEPT = "chunk long, ids array<long>, totals array<long>, codes binary, length long"
-STRIPES = "a long, b long, c long, part int, chunk long, nexts array<long>, counts array<long>, codes array<int>"
-MERGED = "a long, b long, c long, next long, n long, chunk long, codes array<int>"
+STRIPES = "a long, part int, chunk long, first long, rest array<long>, counts array<long>"
+MERGED = "ids array<long>, n long, chunk long, codes array<long>"
 
 
 def stored_codes(codes: np.ndarray) -> bytes:
@@ -190,11 +191,16 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         yield pa.Table.from_batches(waiting)
 
 
-def merged_entries(group: np.ndarray, following: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def merged_entries(
+    group: np.ndarray, following: np.ndarray, counts: np.ndarray, least: int
+) -> tuple[np.ndarray, ...]:
     """Stripes of several groups, merged elementwise: a row of each entry that reaches ``least``, its
-    total, and for every entry given the number of its merged one, or -1."""
-    names, word = np.unique(following, return_inverse=True)
-    _, first, entry = np.unique(group * names.size + word, return_index=True, return_inverse=True)
+    total, and for every entry given the number of its merged one, or -1.  ``following`` has a column
+    for each word behind the first."""
+    entry, first = group, None
+    for column in following.T:
+        names, word = np.unique(column, return_inverse=True)
+        _, first, entry = np.unique(entry * names.size + word, return_index=True, return_inverse=True)
     totals = np.zeros(first.size, np.int64)
     np.add.at(totals, entry, counts)
     reached = totals >= least
@@ -218,7 +224,7 @@ def merged_words(stripes: DataFrame, least: int) -> DataFrame:
             texts = pc.list_flatten(table.column("words")).combine_chunks()
             word = texts.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             counts = pc.list_flatten(table.column("counts")).to_numpy()
-            first, totals, number = merged_entries(group, word, counts, least)
+            first, totals, number = merged_entries(group, word[:, None], counts, least)
             row = np.repeat(np.arange(table.num_rows), sizes)
             yield _words_batch(
                 lang=table.column("lang").take(pa.array(row[first])).combine_chunks(), id=pa.array(given + np.arange(first.size)),
@@ -278,127 +284,134 @@ def kept_words(found: DataFrame, merged: DataFrame) -> DataFrame:
     return found.select("chunk", "codes", "length").join(back, "chunk").mapInArrow(run, KEPT)
 
 
-def _pairs(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different neighbours, ascending, and for each place the number of the pair that begins there."""
-    pair = np.full(codes.size, -1)
-    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-    different, pair[at] = np.unique(codes[at] * words + codes[at + 1], return_inverse=True)
-    return different, pair
-
-
-def _stripes(
-    chunk: int, prefix: list[np.ndarray], following, counts, codes, of: np.ndarray
-) -> Iterator[pa.RecordBatch]:
-    """Entries, sorted by prefix, as stripes in parts; ``of`` tells how many parts an entry's stripe has."""
-    dealt = (following * 2_654_435_761 >> 11) % of
-    change = np.zeros(max(following.size - 1, 0), bool)
-    for p in prefix:
-        change |= p[1:] != p[:-1]
-    group = np.cumsum(np.r_[0, change]) if following.size else np.zeros(0, np.int64)
-    order = np.lexsort((dealt, group))
-    sizes, _ = _row_sizes(group[order] * (int(of.max(initial=1)) + 1) + dealt[order])
-    starts = order[np.cumsum(sizes) - sizes] if sizes.size else np.zeros(0, np.int64)
-    columns = [p[starts] for p in prefix] + [np.zeros(sizes.size, np.int64)] * (3 - len(prefix))
-    batch = pa.RecordBatch.from_arrays(
-        [
-            *(pa.array(c, pa.int64()) for c in columns),
-            pa.array(dealt[starts], pa.int32()),
-            pa.array(np.full(sizes.size, chunk), pa.int64()),
-            *(_list(x[order], sizes) for x in (following, counts)),
-            _list(codes[order].astype(np.int32), sizes),
-        ],
-        names="a b c part chunk nexts counts codes".split(),
-    )
-    for at in range(0, batch.num_rows, SENT):
-        yield batch.slice(at, SENT)
+class Chunk:
+    """Words of a chunk as numbers of its own, with -1 between stretches, and its phrases of one size."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, size: int, part: int):
+        self.number = batch.column("chunk")[i].as_py()
+        self.ids, self.totals = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "totals"))
+        self.codes = read_codes(batch.column("codes")[i].as_py(), batch.column("length")[i].as_py())
+        self.size = size
+        inside = self.codes >= 0
+        whole = inside[: max(inside.size - size + 1, 0)].copy()
+        for k in range(1, size):
+            whole &= inside[k : whole.size + k]
+        self.begins = np.flatnonzero(whole)
+        phrase = self.codes[self.begins]
+        for k in range(1, size):
+            key = phrase * max(self.ids.size, 1) + self.codes[self.begins + k]
+            _, first, phrase = np.unique(key, return_index=True, return_inverse=True)
+        self.phrase = phrase
+        words = self.codes[self.begins[first][:, None] + np.arange(size)]
+        # Phrases are numbered by first word, then part, so that a row of a stripe has numbers in a row.
+        mixed = np.zeros(first.size, np.int64)
+        for k in range(1, size):
+            mixed = (mixed + self.ids[words[:, k]]) * 2_654_435_761 & 0x7FFFFFFFFFFF
+        dealt = (mixed >> 11) % (self.totals[words[:, 0]] // part + 1)
+        self.order = np.lexsort((dealt, words[:, 0]))
+        self.words, self.dealt = words[self.order], dealt[self.order]
+
+    def stripes(self) -> Iterator[pa.RecordBatch]:
+        counts = np.bincount(self.phrase, minlength=self.order.size)[self.order]
+        first = self.words[:, 0]
+        change = (first[1:] != first[:-1]) | (self.dealt[1:] != self.dealt[:-1])
+        sizes, _ = _row_sizes(np.cumsum(np.r_[0, change])[: first.size])
+        starts = np.cumsum(sizes) - sizes
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.ids[first[starts]]),
+                pa.array(self.dealt[starts], pa.int32()),
+                pa.array(np.full(sizes.size, self.number), pa.int64()),
+                pa.array(starts),
+                _list(self.ids[self.words[:, 1:]].ravel(), sizes * (self.size - 1)),
+                _list(counts, sizes),
+            ],
+            names="a part chunk first rest counts".split(),
+        )
+        for at in range(0, batch.num_rows, SENT):
+            yield batch.slice(at, SENT)
+
+    def cut(self, reached: np.ndarray) -> pa.RecordBatch:
+        """The stretches in which phrases that reached the least number follow each other."""
+        good = np.zeros(self.order.size, bool)
+        good[self.order[reached]] = True
+        begins = self.begins[good[self.phrase]]
+        last = np.diff(np.r_[begins, -9]) != 1
+        alone = last & np.r_[True, last[:-1]][: last.size]
+        begins, last = begins[~alone], last[~alone]
+        # A stretch is the beginnings in a row and, behind the last one, the rest of its phrase and a break.
+        sizes = np.where(last, self.size + 1, 1)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.repeat(begins, sizes) + within
+        codes = np.where(within < self.size, self.codes[np.minimum(place, self.codes.size - 1)], -1)
+        used, new = np.unique(codes[codes >= 0], return_inverse=True)
+        codes[codes >= 0] = new
+        columns = (
+            pa.array([self.number], pa.int64()),
+            pa.array([self.ids[used]], pa.list_(pa.int64())),
+            pa.array([self.totals[used]], pa.list_(pa.int64())),
+            pa.array([stored_codes(codes)], pa.binary()),
+            pa.array([codes.size], pa.int64()),
+        )
+        return pa.RecordBatch.from_arrays(list(columns), names="chunk ids totals codes length".split())
 
 
-def pair_stripes(kept: DataFrame, part: int) -> DataFrame:
-    """Stripes of one word."""
+def stripes(kept: DataFrame, size: int, part: int) -> DataFrame:
+    """The stripes of all prefixes of ``size - 1`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, totals = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "totals"))
-                codes = read_codes(batch.column("codes")[i].as_py(), batch.column("length")[i].as_py())
-                different, pair = _pairs(codes, ids.size)
-                counts = np.bincount(pair[pair >= 0], minlength=different.size)
-                first, following = np.divmod(different, max(ids.size, 1))
-                yield from _stripes(
-                    batch.column("chunk")[i].as_py(), [ids[first]], ids[following], counts,
-                    np.arange(different.size), totals[first] // part + 1,
-                )
+                yield from Chunk(batch, i, size, part).stripes()
 
     return kept.mapInArrow(run, STRIPES)
 
 
-def merged_stripes(stripes: DataFrame, least: int, answered: bool) -> DataFrame:
-    """Entries that reach ``least``; and, if asked for, which entries of each chunk's rows do."""
-    key = ["a", "b", "c", "part"]
+def merged_stripes(given: DataFrame, size: int, least: int, answered: bool) -> DataFrame:
+    """Phrases that reach ``least``; and, if asked for, which entries of each chunk's rows do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, len(key)):
-            columns = [table.column(k).to_numpy() for k in key]
-            change = np.zeros(table.num_rows - 1, bool)
-            for c in columns:
-                change |= c[1:] != c[:-1]
-            sizes = pc.list_value_length(table.column("nexts")).to_numpy()
-            following, counts = (pc.list_flatten(table.column(c)).to_numpy() for c in ("nexts", "counts"))
+        for table in _whole_groups(batches, 2):
+            a, part = (table.column(k).to_numpy() for k in ("a", "part"))
+            change = (a[1:] != a[:-1]) | (part[1:] != part[:-1])
+            sizes = pc.list_value_length(table.column("counts")).to_numpy()
             row = np.repeat(np.arange(table.num_rows), sizes)
-            first, totals, number = merged_entries(np.cumsum(np.r_[0, change])[row], following, counts, least)
+            counts = pc.list_flatten(table.column("counts")).to_numpy()
+            rest = pc.list_flatten(table.column("rest")).to_numpy().reshape(-1, size - 1)
+            first, totals, number = merged_entries(np.cumsum(np.r_[0, change])[row], rest, counts, least)
+            phrases = np.c_[a[row[first]], rest[first]]
             n = first.size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(c[row[first]], pa.int64()) for c in columns[:3]), pa.array(following[first]), pa.array(totals),
-                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())),
-                ],
-                names="a b c next n chunk codes".split(),
-            )
+            yield _merged_batch(ids=_list(phrases.ravel(), np.full(n, size)), n=pa.array(totals))
             if answered:
                 met = np.flatnonzero(number >= 0)
-                codes = pc.list_flatten(table.column("codes")).to_numpy()[met]
                 has = np.bincount(row[met], minlength=table.num_rows)
+                place = np.arange(row.size) - (np.cumsum(sizes) - sizes)[row] + table.column("first").to_numpy()[row]
                 chunk = table.column("chunk").to_numpy()[has > 0]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(chunk.size, pa.int64())] * 5, pa.array(chunk), _list(codes, has[has > 0])],
-                    names="a b c next n chunk codes".split(),
-                )
+                yield _merged_batch(chunk=pa.array(chunk), codes=_list(place[met], has[has > 0]))
+
+    return given.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, MERGED)
 
-    return stripes.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, MERGED)
 
+def _merged_batch(**columns: pa.Array) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    types = {"ids": longs, "n": pa.int64(), "chunk": pa.int64(), "codes": longs}
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [columns.get(k, pa.nulls(size, t)) for k, t in types.items()], names=list(types)
+    )
 
-def longer_stripes(kept: DataFrame, merged: DataFrame, part: int) -> DataFrame:
-    """Stripes of two and three words, all of whose neighbours reached the least number."""
-    back = merged.filter("chunk is not null").groupBy("chunk").agg(F.flatten(F.collect_list("codes")).alias("to_codes"))
+
+def cut_chunks(kept: DataFrame, merged: DataFrame, size: int, part: int) -> DataFrame:
+    """The chunks with those stretches only in which a phrase of one more word can lie."""
+    back = merged.filter("chunk is not null").groupBy("chunk").agg(F.flatten(F.collect_list("codes")).alias("reached"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = batch.column("chunk")[i].as_py()
-                ids, totals = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "totals"))
-                codes = read_codes(batch.column("codes")[i].as_py(), batch.column("length")[i].as_py())
-                different, pair = _pairs(codes, ids.size)
-                good = np.zeros(different.size + 1, bool)
-                good[batch.column("to_codes")[i].values.to_numpy(zero_copy_only=False)] = True
-                begins = good[pair]  # the last place, of no pair, is never good
-                first, last = np.divmod(different, max(ids.size, 1))
-                at = np.flatnonzero(begins[:-1] & begins[1:])
-                # A three-word phrase is its two pairs, a four-word phrase its first pair and its last.
-                phrase, counts = np.unique(pair[at] * different.size + pair[at + 1], return_counts=True)
-                x, y = np.divmod(phrase, max(different.size, 1))
-                yield from _stripes(
-                    chunk, [ids[first[x]], ids[last[x]]], ids[last[y]], counts, np.zeros(x.size, np.int64),
-                    np.minimum(totals[first[x]], totals[last[x]]) // part + 1,
-                )
-                at = at[:-1][np.diff(at) == 1]
-                phrase, counts = np.unique(pair[at] * different.size + pair[at + 2], return_counts=True)
-                x, y = np.divmod(phrase, max(different.size, 1))
-                yield from _stripes(
-                    chunk, [ids[first[x]], ids[last[x]], ids[first[y]]], ids[last[y]], counts, np.zeros(x.size, np.int64),
-                    np.minimum(np.minimum(totals[first[x]], totals[last[x]]), totals[first[y]]) // part + 1,
-                )
+                reached = batch.column("reached")[i].values.to_numpy(zero_copy_only=False)
+                yield Chunk(batch, i, size, part).cut(reached)
 
-    return kept.join(back, "chunk").mapInArrow(run, STRIPES)
+    return kept.join(back, "chunk").mapInArrow(run, KEPT)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = CHUNK, part: int = PART) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -406,13 +419,20 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = CHUNK, part:
     (lang, n): all words of each language."""
     found = common.stored(chunks(docs, size), "words")
     words = common.stored(merged_words(word_stripes(found, part), least), "merged-words")
+    totals = common.stored(found.groupBy("lang").agg(F.sum("n").alias("n")), "all-words")
     kept = common.stored(kept_words(found, words), "kept-words")
-    pairs = common.stored(merged_stripes(pair_stripes(kept, part), least, answered=True), "pairs")
-    longer = common.stored(merged_stripes(longer_stripes(kept, pairs, part), least, answered=False), "longer")
+    common.discard(found)
     known = words.filter("id is not null").select("lang", "id", "word", "n")
-    ids = F.when(F.col("b") == 0, F.array("a", "next")).when(F.col("c") == 0, F.array("a", "b", "next"))
-    several = pairs.filter("a is not null").unionByName(longer).select(ids.otherwise(F.array("a", "b", "c", "next")).alias("ids"), "n")
-    return known, known.select(F.array("id").alias("ids"), "n").unionByName(several), found.groupBy("lang").agg(F.sum("n").alias("n"))
+    phrases = known.select(F.array("id").alias("ids"), "n")
+    for length in range(2, LONGEST + 1):
+        merged = merged_stripes(stripes(kept, length, part), length, least, answered=length < LONGEST)
+        merged = common.stored(merged, f"phrases-{length}")
+        phrases = phrases.unionByName(merged.filter("ids is not null").select("ids", "n"))
+        before = kept
+        if length < LONGEST:
+            kept = common.stored(cut_chunks(kept, merged, length, part), f"kept-{length}")
+        common.discard(before)
+    return known, phrases, totals
 
 
 def _exact(value: Column | int) -> Column:

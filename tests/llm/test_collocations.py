@@ -104,9 +104,11 @@ def test_only_entries_that_can_matter_travel(spark):
     words = collocations.common.stored(collocations.merged_words(collocations.word_stripes(found, 10), 30), "m")
     assert {r.word: r.n for r in words.filter("id is not null").collect()} == {"common": 80, "words": 80, "here": 40}
     kept = collocations.common.stored(collocations.kept_words(found, words), "k")
-    pairs = collocations.common.stored(collocations.merged_stripes(collocations.pair_stripes(kept, 10), 30, True), "p")
-    entries = collocations.longer_stripes(kept, pairs, 10).selectExpr("c", "size(nexts) AS n", "counts").collect()
-    assert [(r.c, r.n, r.counts) for r in entries] == [(0, 1, [40])]
+    pairs = collocations.common.stored(collocations.merged_stripes(collocations.stripes(kept, 2, 10), 2, 30, True), "p")
+    assert sorted(r.n for r in pairs.filter("ids is not null").collect()) == [40, 80]
+    cut = collocations.common.stored(collocations.cut_chunks(kept, pairs, 2, 10), "c")
+    entries = collocations.stripes(cut, 3, 10).selectExpr("size(rest) AS n", "counts").collect()
+    assert [(r.n, r.counts) for r in entries] == [(2, [40])]
 
 
 def test_same_as_sql(spark):
