@@ -17,7 +17,7 @@ equal results, an empty table an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,6 +196,10 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Network | None:
     return fit(words)
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return pc.match_substring_regex(texts, _LETTER).to_numpy(zero_copy_only=False)
+
+
 class Reader:
     """Predictions of one worker, which remembers the pooled positions of words."""
 
@@ -219,7 +223,7 @@ class Reader:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         texts = pc.fill_null(texts, "")
-        letters = pc.match_substring_regex(texts, _LETTER).to_numpy(zero_copy_only=False)
+        letters = has_letter(texts)
         score = np.zeros(len(texts))
         names = [UNKNOWN] * len(texts)
         if self.network is None or not letters.any():
@@ -237,8 +241,11 @@ class Reader:
         return names, score
 
 
-def predicted(docs: DataFrame, network: Network | None, keep: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; or, with ``keep``, the rows that are not ``und``."""
+def predicted(
+    docs: DataFrame, network: Network | None, keep: bool = False, accepted: Collection[str] | None = None
+) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row; or, with ``keep``, the rows that have a letter and, if
+    ``accepted`` names languages, are predicted to be in one of them."""
     sent = docs.sparkSession.sparkContext.broadcast(network and (network.languages, network.p))
 
     def reader() -> Reader:
@@ -250,8 +257,13 @@ def predicted(docs: DataFrame, network: Network | None, keep: bool = False) -> D
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = reader()
             for batch in common.slices(batches, column=at):
-                names, _ = own.predict(batch.column(at))
-                yield batch.filter(pa.array([n != UNKNOWN for n in names]))
+                texts = batch.column(at)
+                names, _ = own.predict(texts)
+                if own.network is None:
+                    kept = has_letter(pc.fill_null(texts, ""))
+                else:
+                    kept = np.array([n != UNKNOWN and (accepted is None or n in accepted) for n in names], bool)
+                yield batch.filter(pa.array(kept))
 
         return docs.mapInArrow(select, docs.schema)
 
@@ -267,13 +279,16 @@ def predicted(docs: DataFrame, network: Network | None, keep: bool = False) -> D
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a letter, with the columns they came with; none without a language to learn.
+def kept_documents(docs: DataFrame, accepted: Collection[str] | None = None) -> DataFrame:
+    """The rows whose text has a letter, with the columns they came with; with ``accepted``, of these the
+    ones that the network predicts to be in one of these languages.
 
-    Every such text gets the best of the learned languages, so the network's choice rejects none.
+    Without ``accepted`` every text with a letter gets the best of the learned languages and stays.
+    A corpus without any label teaches no language: nothing is predicted then, and texts with a letter
+    stay, whatever ``accepted`` says.
     """
     learned = train(docs.filter(common.fold(F.col("doc_id"), 5) != 0))
-    return predicted(docs, learned, keep=True)
+    return predicted(docs, learned, keep=True, accepted=accepted)
 
 
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:

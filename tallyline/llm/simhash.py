@@ -14,8 +14,8 @@ links would, so copies are never expanded into pairs.
 
 Defined results: null, empty and white-space texts have fingerprint zero and are linked like any
 other; fewer than three words make one shingle.  Repeated rows and ties fall into one class, whose
-component is its smallest doc_id.  A null doc_id is kept and never represents a class with other
-ids.  An empty table gives an empty result.
+component is its smallest doc_id.  Rows without a doc_id link like any other; their component is the
+smallest doc_id of the group, and null if no row of it has one.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -215,14 +215,21 @@ def class_links(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     marked = common.stored(fingerprints(docs), "fingerprints")
-    classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    groups = components(class_links(classes.filter("node is not null")))
-    placed = classes.join(groups, "node", "left").select(
-        "fp", F.coalesce("component", "node").alias("component_id")
-    )
+    grouped = common.stored(fingerprint_groups(marked), "groups")
+    smallest = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
+    placed = grouped.join(smallest, "component").select("fp", "component_id")
     return marked.join(placed, "fp")
 
 
+def fingerprint_groups(marked: DataFrame) -> DataFrame:
+    """(fp, id, component) of every fingerprint: its smallest doc_id, and the smallest fingerprint it
+    reaches by links.  Fingerprints of rows without a doc_id link like any other."""
+    classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+    groups = components(class_links(classes.select(F.col("fp").alias("node"), "fp")))
+    placed = classes.join(groups, classes["fp"] == groups["node"], "left")
+    return placed.select("fp", "id", F.coalesce("component", "fp").alias("component"))
+
+
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """The rows with a column ``__fp``."""
     place = docs.columns.index("text")
@@ -244,11 +251,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     row of its group has one; of rows with the doc_id and the fingerprint that stay, one stays.
     """
     marked = common.stored(fingerprints(docs), "fingerprints")
-    classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    groups = components(class_links(classes.select(F.col("fp").alias("node"), "fp")))
-    placed = classes.join(groups, classes["fp"] == groups["node"], "left")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
-    leaders = placed.groupBy(F.coalesce("component", "fp")).agg(first).select(
+    leaders = fingerprint_groups(marked).groupBy("component").agg(first).select(
         F.coalesce("first.id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.fp").alias("__fp")
     )
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
