@@ -41,11 +41,11 @@ from tallyline.llm import common
 #: subsumes it, scale of the score, and phrases listed per language.
 LEAST, LONGEST, SUBSUMED, SCALE, LISTED = 30, 4, 80, 2_000_000, 2_000
 #: Bytes of text of a chunk; occurrences of a prefix that make one part of its stripe.
-CHUNK, PART = 12 << 20, 1_000_000
+CHUNK, PART = 8 << 20, 1_000_000
 #: Most entries in one row of a stripe, so that batches of rows stay small.
-ROW = 256
+ROW = 128
 #: Rows of stripes sent on at once.
-SENT = 4_096
+SENT = 2_048
 #: Partial ranks are taken in so many groups of a language first.
 GROUPS = 32
 UNKNOWN = "und"

@@ -78,8 +78,8 @@ def test_top_and_least(spark, made):
 
 
 def test_long_rows_of_stripes_are_split():
-    sizes, keys = collocations._row_sizes(collocations.np.array([1] * 600 + [4] * 3))
-    assert sizes.tolist() == [256, 256, 88, 3] and keys.tolist() == [1, 1, 1, 4]
+    sizes, keys = collocations._row_sizes(collocations.np.array([1] * 300 + [4] * 3))
+    assert sizes.tolist() == [128, 128, 44, 3] and keys.tolist() == [1, 1, 1, 4]
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
