@@ -57,8 +57,7 @@ def _past(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    actuals = sample.store_events(spark, sf, start=CUTOVER)
-    return forecast.prediction_accuracy(sample.predictions(spark, sf), actuals)
+    return forecast.prediction_accuracy(sample.predictions(spark, sf), _events(spark, sf))
 
 
 # Ingest and storage
@@ -616,7 +615,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "avg_pct_error",
         ),
         "recent_accuracy": lambda s, d: _rounded(
-            forecast.recent_accuracy(forecasts(s, d), store(s, d, start=CUTOVER), AS_OF),
+            forecast.recent_accuracy(forecasts(s, d), store(s, d), AS_OF),
             "avg_error",
         ),
         "forecast_next7_by_store": lambda s, d: forecast.forecast_next7_by_store(

@@ -37,12 +37,24 @@ def actual_demand(realtime: DataFrame) -> DataFrame:
     )
 
 
+def _in_forecast_dates(events: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Events of the dates from the first to the last forecast."""
+    bounds = predictions.agg(F.min("forecast_date").alias("first"), F.max("forecast_date").alias("last")).first()
+    if bounds.first is None:
+        return events.where(F.lit(False))
+    start, end = (dt.datetime.combine(d, dt.time()) for d in (bounds.first, bounds.last))
+    return calendar.before(calendar.since(events, start), end + dt.timedelta(days=1))
+
+
 def prediction_accuracy(predictions: DataFrame, realtime: DataFrame) -> DataFrame:
     """Predictions that met an actual hour, with absolute and percentage error.
 
-    Both sides are keyed by product, store, date and hour; the grouped side is already distributed
-    that way, so only the predictions are shuffled for the join.
+    Of the events only the dates between the first and the last forecast are read: their bounds come
+    from the predictions, by a job of two values, and reach the scan.  Both sides are keyed by
+    product, store, date and hour; the grouped side is already distributed that way, so only the
+    predictions are shuffled for the join.
     """
+    realtime = _in_forecast_dates(realtime, predictions)
     error = F.abs(F.col("predicted_demand") - F.col("actual_demand"))
     keys = ["product_id", "store_id", "forecast_date", "forecast_hour"]
     return (
@@ -317,10 +329,10 @@ def accuracy_by_product(
 def recent_accuracy(
     predictions: DataFrame, realtime: DataFrame, as_of: dt.datetime, days: int = 7
 ) -> DataFrame:
-    """Mean percentage error of the forecasts of the last days; both sides are cut to them."""
+    """Mean percentage error of the forecasts of the last days; the events are cut to their dates."""
     first = calendar.midnight(as_of) - dt.timedelta(days=days)
     recent = predictions.where(F.col("forecast_date") >= calendar.day(first))
-    accuracy = prediction_accuracy(recent, calendar.since(realtime, first))
+    accuracy = prediction_accuracy(recent, realtime)
     return accuracy.agg(F.avg("percentage_error").alias("avg_error"))
 
 

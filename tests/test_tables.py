@@ -141,6 +141,20 @@ def forecasts(spark):
     return sample.predictions(spark, SF_TINY, "fixture_v1").where("product_id = 'P03'").persist()
 
 
+def test_accuracy_reads_the_dates_of_the_forecasts(spark, stored, forecasts):
+    recent = tables.read_realtime(spark, f"{stored}/realtime")
+    two_days = forecasts.where("forecast_date IN (DATE'2024-01-25', DATE'2024-01-26')")
+    found = forecast.prediction_accuracy(two_days, recent)
+    (scan,) = [line for line in scan_lines(found) if "/realtime" in line]
+    filters, pushed = scan.split("PartitionFilters: [")[1].split("PushedFilters: [")
+    assert "event_date" in filters and "2024-01-25" in filters
+    assert "GreaterThanOrEqual(event_time,2024-01-25" in pushed and "LessThan(event_time,2024-01-27" in pushed
+    whole = forecast.prediction_accuracy(forecasts, recent)
+    expected = whole.where("forecast_date IN (DATE'2024-01-25', DATE'2024-01-26')")
+    assert found.count() > 0 and found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+    assert forecast.prediction_accuracy(forecasts.where("false"), recent).count() == 0
+
+
 def test_importing_twice_keeps_one(spark, tmp_path, forecasts):
     root, table = str(tmp_path / "files"), str(tmp_path / "table")
     store.save_predictions(forecasts, root, sample.CUTOVER)
