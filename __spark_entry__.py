@@ -18,10 +18,11 @@ from tallyline.checks import oracle
 from tallyline.forecasting import features, model
 from tallyline.functions import calendar, text
 from tallyline.operators import demand_shape, ingest
+from tallyline.operators.quantiles import RANK_ERROR
 from tallyline.operators.rollup import DAILY, HOURLY, PRODUCT
 from tallyline.plans import anomaly, catalog, forecast, history, inventory, realtime, rolled, serving
 from tallyline.schemas import EVENT_COLUMNS, LAKE, REALTIME
-from tallyline.sources import messages, predictions, sample, storage, tables
+from tallyline.sources import bucketed, messages, predictions, sample, storage, tables
 from tallyline.streaming import rollups, sinks
 
 # The subpackage llm and the corpus pipeline can be removed; everything else then works without them.
@@ -34,6 +35,7 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = llm = None
 
 AS_OF, CUTOVER = sample.AS_OF, sample.CUTOVER
+VERSION = calendar.version_stamp(AS_OF)
 
 _trained: dict[tuple, tuple[model.Trained, str]] = {}
 
@@ -293,6 +295,36 @@ def import_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select(*predictions.FILE_COLUMNS)
 
 
+def prediction_accuracy_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions and hourly actuals stored in buckets of their join key."""
+    path = session.scratch_path(spark, "buckets")
+    name = "buckets_" + path.rsplit("-", 1)[-1]
+    actuals = forecast.actual_demand(_events(spark, sf))
+    sides = [
+        bucketed.write_bucketed(rows, f"{name}_{part}", f"{path}/{part}", forecast.HOUR_KEYS, buckets=8)
+        for part, rows in (("predictions", sample.predictions(spark, sf)), ("actuals", actuals))
+    ]
+    return forecast.errors_against(sides[0].hint("merge"), sides[1])
+
+
+def model_performance_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary from sketches stored by two runs, and whether its quantiles are within the stated
+    bound of the exact ranks."""
+    accuracy, path = _accuracy(spark, sf), session.scratch_path(spark, "sketches")
+    middle = F.lit((CUTOVER + dt.timedelta(days=3)).date())
+    for part in (F.col("forecast_date") < middle, F.col("forecast_date") >= middle):
+        forecast.store_error_sketches(accuracy.where(part), path)
+    found = forecast.model_performance_sketched(spark.read.parquet(path))
+    error, within = F.col("percentage_error"), []
+    for name, f in forecast.ERROR_QUANTILES.items():
+        n = F.count(error)
+        low, high = F.count_if(error < F.col(name)) / n, F.count_if(error <= F.col(name)) / n
+        within.append(F.lit(f).between(low - RANK_ERROR, high + RANK_ERROR).alias(f"{name}_within"))
+    ranks = accuracy.join(found, "model_version").groupBy("model_version").agg(*within)
+    result = found.drop(*forecast.ERROR_QUANTILES).join(ranks, "model_version")
+    return _rounded(result, "avg_percentage_error")
+
+
 # Models
 
 
@@ -301,9 +333,8 @@ def _train(spark: SparkSession, sf: str) -> tuple[model.Trained, str]:
     key = (spark.sparkContext.applicationId, sf, storage.state(spark, sf))
     if key not in _trained:
         root = session.scratch_path(spark, "models")
-        rows = features.training_features(_events(spark, sf), history="weekday")
-        fitted = model.train(rows)
-        model.save_model(fitted.model, root, calendar.version_stamp(AS_OF))
+        fitted = model.train(features.training_features(_events(spark, sf)))
+        model.save_model(fitted, root, VERSION)
         _trained[key] = fitted, root
     return _trained[key]
 
@@ -320,9 +351,57 @@ def model_metrics_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ml_predict(spark: SparkSession, sf: str) -> DataFrame:
-    _, root = _train(spark, sf)
+    fitted, _ = _train(spark, sf)
     grid = features.score_features(_events(spark, sf), AS_OF)
-    return model.predict(model.load_latest(root), grid, calendar.version_stamp(AS_OF), AS_OF)
+    return model.predict(fitted.model, grid, VERSION, AS_OF)
+
+
+def ml_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Every training row with the side it falls on."""
+    keys = [*features.PAIR, *features.CALENDAR_KEYS]
+    rows = features.training_features(_events(spark, sf))
+    return rows.select(*keys, model.in_training_part(*keys).alias("in_training"))
+
+
+def _prediction_checks(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
+    """Each slot of the whole grid with what its prediction must hold whatever the model says."""
+    grid = features.forecast_grid(_events(spark, sf), AS_OF)
+    slots = grid.select(*features.PAIR, "forecast_date", F.col("hour_of_day").alias("forecast_hour"))
+    demand = F.col("predicted_demand")
+    # Bounds are rounded from the unrounded prediction.
+    band = (F.abs(F.col("confidence_lower") - demand * model.LOWER_BAND) < 0.0112) & (
+        F.abs(F.col("confidence_upper") - demand * model.UPPER_BAND) < 0.0112
+    )
+    return slots.join(scored, slots.columns, "left").select(
+        *slots.columns,
+        "prediction_id",
+        "model_version",
+        "prediction_time",
+        "day_of_week",
+        "month",
+        "is_weekend",
+        "seasonal_factor",
+        ((demand > 0) & band).alias("in_band"),
+    )
+
+
+def ml_predict_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return _prediction_checks(spark, sf, ml_predict(spark, sf))
+
+
+def ml_predict_active(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stored versions, the older one activated again: the scores are those of the older one."""
+    fitted, root = _train(spark, sf)
+    table = session.scratch_path(spark, "model-registry")
+    newer = model.train(features.training_features(_events(spark, sf)), num_trees=3)
+    model.save_model(newer, root, "newer")
+    later = AS_OF + dt.timedelta(days=1)
+    predictions.record_metrics(model.metrics_row(spark, fitted, VERSION, AS_OF), table)
+    predictions.record_metrics(model.metrics_row(spark, newer, "newer", later), table)
+    predictions.activate(spark, table, VERSION)
+    active = model.load_active(predictions.read_metrics(spark, table), root)
+    grid = features.score_features(_events(spark, sf), AS_OF)
+    return _prediction_checks(spark, sf, model.predict(active.model, grid, active.version, AS_OF))
 
 
 def ml_compare_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -560,6 +639,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_performance_summary": lambda s, d: _rounded(
             forecast.model_performance_summary(_accuracy(s, d)), *mean_errors, *tails
         ),
+        "model_performance_sketched": model_performance_sketched,
+        "prediction_accuracy_bucketed": lambda s, d: _rounded(
+            prediction_accuracy_bucketed(s, d), "percentage_error"
+        ),
         "model_history": lambda s, d: _rounded(
             forecast.model_history(_accuracy(s, d)), "avg_percentage_error", tails[0]
         ),
@@ -626,8 +709,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_forecasts": lambda s, d: forecast.top_forecasts(forecasts(s, d), CUTOVER),
         # models
         "training_features": lambda s, d: _rounded(
+            features.training_features(store(s, d), history="slot"), "avg_demand"
+        ),
+        "training_features_weekday": lambda s, d: _rounded(
             features.training_features(store(s, d)), "avg_demand"
         ),
+        "training_features_weekly": lambda s, d: _rounded(
+            features.weekly_training_features(store(s, d)),
+            "total_demand",
+            "avg_demand",
+            "transaction_count",
+        ),
+        "score_features_weekly": lambda s, d: _rounded(
+            features.weekly_score_features(store(s, d), AS_OF), "avg_demand", "transaction_count"
+        ),
+        "ml_split": ml_split,
         "forecast_grid": lambda s, d: features.forecast_grid(store(s, d), AS_OF),
         "score_features": lambda s, d: _rounded(
             features.score_features(store(s, d), AS_OF), "avg_demand"
@@ -635,6 +731,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ml_train": ml_train,
         "model_metrics_log": model_metrics_log,
         "ml_predict": ml_predict,
+        "ml_predict_checks": ml_predict_checks,
+        "ml_predict_active": ml_predict_active,
         "ml_compare_models": ml_compare_models,
         # demand shape
         "calendar_weight": lambda s, d: store(s, d).select(

@@ -248,6 +248,25 @@ SLOT_FEATURES = f"""
          CAST(COUNT(*) AS BIGINT) AS transaction_count
   FROM ev WHERE {SALE} GROUP BY ALL HAVING SUM(quantity) > 0"""
 
+SLOT_KEYS = "product_id, store_id, day_of_week, hour_of_day, month, is_weekend, is_holiday_season, is_summer"
+
+WEEKDAYS = f"""
+weekdays AS (
+  SELECT product_id, store_id, isodow(event_time) AS dow, avg(quantity) AS avg_demand,
+         CAST(COUNT(*) AS BIGINT) AS n
+  FROM ev WHERE {SALE} GROUP BY ALL
+)"""
+
+# Every date from the first to the last event.
+HELD = """
+held AS (
+  SELECT isodow(d) AS dow, month(d) AS month
+  FROM (SELECT unnest(generate_series(date_trunc('day', min(event_time)), max(event_time), INTERVAL 1 DAY))
+               AS d FROM ev)
+)"""
+WEEKLY_HISTORY = """round(COALESCE(avg_demand, 1.0), 6) AS avg_demand,
+       round(CAST(COALESCE(n, 0) AS DOUBLE) / dates_of_weekday, 6) AS transaction_count"""
+
 GRID = f"""
 grid AS (
   SELECT product_id, store_id, CAST(CAST({AS_OF} AS DATE) + CAST(i AS INTEGER) AS DATE)
@@ -591,7 +610,12 @@ WINDOW w AS (PARTITION BY category ORDER BY hour ROWS BETWEEN 24 PRECEDING AND C
          round(quantile_cont(percentage_error, 0.9), 6) AS p90_percentage_error
   FROM acc GROUP BY model_version"""
     q["prediction_accuracy"] = acc + rounded_accuracy
+    q["prediction_accuracy_bucketed"] = acc + rounded_accuracy
     q["model_performance_summary"] = acc + summary
+    q["model_performance_sketched"] = acc + f"""
+SELECT model_version, predictions_made, avg_percentage_error, TRUE AS median_percentage_error_within,
+       TRUE AS p90_percentage_error_within
+FROM ({summary})"""
     q["model_history"] = acc + f"""
 SELECT model_version, avg_percentage_error, median_percentage_error, predictions_made
 FROM ({summary}) ORDER BY model_version DESC LIMIT 5"""
@@ -699,6 +723,42 @@ SELECT prediction_id, prediction_time, model_version, product_id, store_id, fore
     q["training_features"] = ev + (
         "SELECT * REPLACE (round(avg_demand, 6) AS avg_demand) FROM (" + SLOT_FEATURES + ")"
     )
+    q["training_features_weekday"] = f"""WITH {EVENTS}, {WEEKDAYS}
+SELECT s.* EXCLUDE (avg_demand, transaction_count), round(w.avg_demand, 6) AS avg_demand,
+       w.n AS transaction_count
+FROM ({SLOT_FEATURES}) s JOIN weekdays w
+  ON s.product_id = w.product_id AND s.store_id = w.store_id AND s.day_of_week = w.dow"""
+    q["training_features_weekly"] = f"""WITH {EVENTS}, {WEEKDAYS}, {HELD},
+spans AS (SELECT dow, month, COUNT(*) AS dates FROM held GROUP BY ALL),
+sold AS (SELECT product_id, store_id, isodow(event_time) AS dow, month(event_time) AS month,
+                hour(event_time) AS h, SUM(quantity) AS units FROM ev WHERE {SALE} GROUP BY ALL)
+SELECT g.product_id, g.store_id, CAST(g.dow AS INTEGER) AS day_of_week, CAST(g.h AS INTEGER) AS hour_of_day,
+       CAST(g.month AS INTEGER) AS month, CASE WHEN g.dow >= 6 THEN 1 ELSE 0 END AS is_weekend,
+       CASE WHEN g.month IN (11, 12) THEN 1 ELSE 0 END AS is_holiday_season,
+       CASE WHEN g.month IN (6, 7, 8) THEN 1 ELSE 0 END AS is_summer,
+       round(CAST(COALESCE(units, 0) AS DOUBLE) / dates, 6) AS total_demand, {WEEKLY_HISTORY}
+FROM (SELECT * FROM (SELECT DISTINCT product_id, store_id FROM ev), spans, range(24) t(h)) g
+LEFT JOIN sold s USING (product_id, store_id, dow, month, h)
+LEFT JOIN weekdays w USING (product_id, store_id, dow)
+JOIN (SELECT dow, COUNT(*) AS dates_of_weekday FROM held GROUP BY dow) d USING (dow)"""
+    q["score_features_weekly"] = f"""WITH {EVENTS}, {GRID}, {WEEKDAYS}, {HELD}
+SELECT s.*, {WEEKLY_HISTORY} FROM slots s
+LEFT JOIN weekdays w ON s.product_id = w.product_id AND s.store_id = w.store_id AND s.day_of_week = w.dow
+JOIN (SELECT dow, COUNT(*) AS dates_of_weekday FROM held GROUP BY dow) d ON s.day_of_week = d.dow"""
+    q["ml_split"] = ev + f"""
+SELECT {SLOT_KEYS},
+       CAST('0x' || substr(md5(concat_ws('|', 42, {SLOT_KEYS})), 1, 8) AS BIGINT) % 100 < 80 AS in_training
+FROM ({SLOT_FEATURES})"""
+    q["ml_predict_checks"] = f"""WITH {EVENTS}, {GRID}
+SELECT product_id, store_id, forecast_date, hour_of_day AS forecast_hour,
+       sha256(concat_ws('|', '20240131_000000', product_id, store_id, forecast_date, hour_of_day))
+         AS prediction_id,
+       '20240131_000000' AS model_version, {AS_OF} AS prediction_time, day_of_week, month, is_weekend,
+       CAST(CASE WHEN month IN (11, 12) THEN 1.5 WHEN month IN (6, 7, 8) THEN 1.1 ELSE 1.0 END AS DOUBLE)
+         AS seasonal_factor,
+       TRUE AS in_band
+FROM slots"""
+    q["ml_predict_active"] = q["ml_predict_checks"]
     q["forecast_grid"] = f"WITH {EVENTS}, {GRID} SELECT * FROM slots"
     q["score_features"] = f"""WITH {EVENTS}, {GRID},
 hist AS (SELECT product_id, store_id, isodow(event_time) AS dow, avg(quantity) AS avg_demand,

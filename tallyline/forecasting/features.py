@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,11 @@ def weekday_history(events: DataFrame) -> DataFrame:
     )
 
 
-def training_features(events: DataFrame, history: str = "slot") -> DataFrame:
+def training_features(events: DataFrame, history: str = "weekday") -> DataFrame:
     """One row per product, store, weekday, hour and month with its demand.
 
-    With ``history="slot"`` the average and count are those of the row itself, so their product is
-    the label.  ``history="weekday"`` takes them per weekday instead, as scoring does.
+    The average and count are those of the weekday, as in scoring.  With ``history="slot"`` they are
+    those of the row itself, so their product is the label.
     """
     time = F.col("event_time")
     slots = (
@@ -94,6 +95,82 @@ def forecast_grid(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataF
     return grid.select(*PAIR, "forecast_date", *CALENDAR_KEYS)
 
 
+def _dates_held(events: DataFrame) -> dict[tuple[int, int], int]:
+    """How many dates of each weekday and month lie between the first and the last event: at most 84
+    entries, from one job of two values."""
+    bounds = events.agg(F.min("event_time").alias("first"), F.max("event_time").alias("last")).first()
+    if bounds.first is None:
+        return {}
+    first, days = bounds.first.date(), (bounds.last.date() - bounds.first.date()).days + 1
+    dates = (first + dt.timedelta(days=i) for i in range(days))
+    return Counter((d.isoweekday(), d.month) for d in dates)
+
+
+def _weekly_history(events: DataFrame, held: dict[tuple[int, int], int]) -> DataFrame:
+    """Per product and store the seven weekdays' units per sale and sales per date; 1 and 0 without any."""
+    sold = F.col("transaction_type") == SALE
+    weekday = calendar.iso_weekday(F.col("event_time"))
+    dates = [max(1, sum(n for (d, _), n in held.items() if d == day)) for day in range(1, 8)]
+    history = F.array(
+        *[
+            F.struct(
+                F.coalesce(F.avg(F.when(sold & (weekday == d), F.col("quantity"))), F.lit(1.0)).alias(
+                    "avg_demand"
+                ),
+                (F.count_if(sold & (weekday == d)) / dates[d - 1]).alias("transaction_count"),
+            )
+            for d in range(1, 8)
+        ]
+    )
+    return events.groupBy(*PAIR).agg(history.alias("history"))
+
+
+def weekly_training_features(events: DataFrame) -> DataFrame:
+    """One row per product, store, weekday, hour and month with its demand in one week.
+
+    Units are divided by the dates of that weekday and month in the history, and slots without a sale
+    count as zero, so neither label nor features grow with the length of the history.  A pair expands
+    into its slots where it is, by an array of at most 84 entries; the units join by an equi-join.
+    """
+    held = _dates_held(events)
+    time, slot = F.col("event_time"), ["day_of_week", "hour_of_day", "month"]
+    spans = F.array(
+        *[
+            F.struct(F.lit(d).alias("day_of_week"), F.lit(m).alias("month"), F.lit(n).alias("dates"))
+            for (d, m), n in sorted(held.items() or {(1, 1): 1}.items())
+        ]
+    )
+    slots = (
+        _weekly_history(events, held)
+        .withColumn("span", F.explode(spans))
+        .withColumn("hour_of_day", F.explode(F.sequence(F.lit(0), F.lit(23))))
+        .select(*PAIR, "hour_of_day", "span.*", F.get("history", F.col("span.day_of_week") - 1).alias("past"))
+    )
+    sold = (
+        sales(events)
+        .groupBy(
+            *PAIR,
+            calendar.iso_weekday(time).alias("day_of_week"),
+            F.hour(time).alias("hour_of_day"),
+            F.month(time).alias("month"),
+        )
+        .agg(units().alias("units"))
+    )
+    demand = F.coalesce(F.col("units"), F.lit(0)) / F.col("dates")
+    rows = slots.join(sold, [*PAIR, *slot], "left").withColumn("total_demand", demand)
+    return _flags(rows).select(*PAIR, *CALENDAR_KEYS, "total_demand", "past.*")
+
+
+def weekly_score_features(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
+    """The grid with the history that :func:`weekly_training_features` takes, from before ``as_of``."""
+    known = calendar.before(events, as_of)
+    past = F.get("history", F.col("day_of_week") - 1).alias("past")
+    slots = _slots(_weekly_history(known, _dates_held(known)), as_of, days)
+    return slots.select(*PAIR, "forecast_date", *CALENDAR_KEYS, past).select(
+        *PAIR, "forecast_date", *CALENDAR_KEYS, "past.*"
+    )
+
+
 def score_features(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """The grid with the sales history of its weekday before ``as_of``; without history both are 1.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyline.forecasting.features import CALENDAR_KEYS, HISTORY, PAIR
 from tallyline.functions import calendar
+from tallyline.plans.forecast import newest_active
 from tallyline.schemas import MODEL_METRICS, PREDICTION_FILE
 
 LABEL = "total_demand"
@@ -46,8 +49,10 @@ class Trained:
 
 
 def in_training_part(*keys: str) -> Column:
-    """An 80/20 split by hash of the key: a row stays on its side however data is partitioned."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *keys), F.lit(100)) < TRAIN_PERCENT
+    """An 80/20 split by MD5 of the key: a row stays on its side however data is partitioned, and any
+    other engine finds the same side."""
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), *keys))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < TRAIN_PERCENT
 
 
 def _pipeline(algorithm: str, features: Sequence[str], num_trees: int) -> Pipeline:
@@ -130,16 +135,32 @@ def metrics_row(
     )
 
 
-def save_model(model: PipelineModel, root: str, version: str) -> str:
-    """Save under the version and as ``latest``."""
-    path = f"{root}/{MODEL_TYPE}_{version}"
-    model.write().overwrite().save(path)
-    model.write().overwrite().save(f"{root}/{MODEL_TYPE}_latest")
-    return path
+def save_model(trained: Trained, root: str, version: str) -> str:
+    """Store the model in a folder of its own, named in its parameters.
+
+    Nothing stored is overwritten, so a version trained again while it is in use is complete before
+    its metrics row names it.
+    """
+    name = f"{MODEL_TYPE}_{version}_{uuid.uuid4().hex[:8]}"
+    trained.model.write().save(f"{root}/{name}")
+    trained.parameters["saved_as"] = name
+    return f"{root}/{name}"
+
+
+@dataclass
+class Active:
+    model: PipelineModel
+    version: str
+    parameters: dict
 
 
-def load_latest(root: str) -> PipelineModel:
-    return PipelineModel.load(f"{root}/{MODEL_TYPE}_latest")
+def load_active(metrics: DataFrame, root: str) -> Active:
+    """The model that the metrics table says is active: its row is the only pointer."""
+    chosen = newest_active(metrics).select("model_version", "parameters").first()
+    if chosen is None:
+        raise LookupError("the metrics table has no active model")
+    parameters = json.loads(chosen.parameters)
+    return Active(PipelineModel.load(f"{root}/{parameters['saved_as']}"), chosen.model_version, parameters)
 
 
 def predict(

@@ -32,13 +32,19 @@ def ingest(messages: DataFrame, root: str) -> None:
         query.awaitTermination()
 
 
-def train(spark: SparkSession, root: str, as_of: dt.datetime, **options) -> str:
-    """Train on the lake, store the model and its metrics; returns the version."""
+def train(
+    spark: SparkSession, root: str, as_of: dt.datetime, label: str = "week", **options
+) -> str:
+    """Train on the lake, store the model and its metrics; returns the version.
+
+    ``label="week"`` forecasts the demand of one week, ``"total"`` that of the whole history.
+    """
     version = version_stamp(as_of)
     events = before(tables.read_lake(spark, f"{root}/lake"), as_of)
-    # The history per weekday is what scoring has; per slot it would give the label away.
-    trained = model.train(features.training_features(events, history="weekday"), **options)
-    model.save_model(trained.model, f"{root}/models", version)
+    make = features.weekly_training_features if label == "week" else features.training_features
+    trained = model.train(make(events), **options)
+    trained.parameters["label"] = label
+    model.save_model(trained, f"{root}/models", version)
     store.record_metrics(
         model.metrics_row(spark, trained, version, as_of), f"{root}/model_metrics"
     )
@@ -48,14 +54,12 @@ def train(spark: SparkSession, root: str, as_of: dt.datetime, **options) -> str:
 def predict_and_import(
     spark: SparkSession, root: str, as_of: dt.datetime, days: int = 7
 ) -> str:
-    """Score the coming days with the latest model and import the result; returns its files."""
+    """Score the coming days with the active model and import the result; returns its files."""
     events = before(tables.read_lake(spark, f"{root}/lake"), as_of)
-    scored = model.predict(
-        model.load_latest(f"{root}/models"),
-        features.score_features(events, as_of, days),
-        version_stamp(as_of),
-        as_of,
-    )
+    active = model.load_active(store.read_metrics(spark, f"{root}/model_metrics"), f"{root}/models")
+    weekly = active.parameters["label"] == "week"
+    make = features.weekly_score_features if weekly else features.score_features
+    scored = model.predict(active.model, make(events, as_of, days), version_stamp(as_of), as_of)
     path = store.save_predictions(scored, f"{root}/predictions", as_of)
     store.save_predictions_csv(spark.read.parquet(path), f"{root}/predictions_csv", as_of)
     store.import_predictions(
@@ -95,6 +99,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--landing", help="ingest JSON lines of this directory")
     parser.add_argument("--servers", help="ingest a topic of these servers")
     parser.add_argument("--topic", default="retail_events")
+    parser.add_argument("--max-files", type=int, default=1_000, help="files in one batch of a backlog")
+    parser.add_argument("--max-offsets", type=int, default=50_000_000, help="messages in one batch")
     chosen = parser.parse_args(arguments)
     as_of = chosen.as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     spark = build_session(f"tallyline-{chosen.job}")
@@ -102,9 +108,9 @@ def main(arguments: list[str] | None = None) -> None:
         if not (chosen.landing or chosen.servers):
             parser.error("ingest needs --landing or --servers")
         stream = (
-            topic_stream(spark, chosen.servers, chosen.topic)
+            topic_stream(spark, chosen.servers, chosen.topic, chosen.max_offsets)
             if chosen.servers
-            else file_stream(spark, chosen.landing)
+            else file_stream(spark, chosen.landing, chosen.max_files)
         )
         ingest(stream, chosen.root)
     elif chosen.job == "train":

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from tallyline.functions import calendar
 from tallyline.functions.ratios import percent, ratio
 from tallyline.operators.newest import coming_forecasts
-from tallyline.operators.quantiles import aggregate_with_quantiles
+from tallyline.operators.quantiles import (
+    aggregate_with_quantiles,
+    quantiles_from_sketches,
+    value_sketches,
+)
 from tallyline.plans.serving import sales, units
 
 # Restock labels in the order they are tested, with the bound on the demand ratio.
@@ -20,6 +24,8 @@ LOW_DEMAND, NORMAL = "LOW_DEMAND", "NORMAL"
 HIGH_RATIO, MODERATE_RATIO, LOW_RATIO = 1.5, 1.2, 0.8
 
 HISTORY_DAYS = 30
+HOUR_KEYS = ["product_id", "store_id", "forecast_date", "forecast_hour"]
+ERROR_QUANTILES = {"median_percentage_error": 0.5, "p90_percentage_error": 0.9}
 
 
 def actual_demand(realtime: DataFrame) -> DataFrame:
@@ -54,12 +60,17 @@ def prediction_accuracy(predictions: DataFrame, realtime: DataFrame) -> DataFram
     product, store, date and hour; the grouped side is already distributed that way, so only the
     predictions are shuffled for the join.
     """
-    realtime = _in_forecast_dates(realtime, predictions)
+    return errors_against(predictions, actual_demand(_in_forecast_dates(realtime, predictions)))
+
+
+def errors_against(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Predictions next to stored actuals of the same hour.  Tables that are both bucketed by
+    :data:`HOUR_KEYS` (``sources.bucketed``) are joined without a shuffle."""
+    keys = HOUR_KEYS
     error = F.abs(F.col("predicted_demand") - F.col("actual_demand"))
-    keys = ["product_id", "store_id", "forecast_date", "forecast_hour"]
     return (
         predictions.select(*keys, "predicted_demand", "model_version", "prediction_time")
-        .join(actual_demand(realtime), keys)
+        .join(actuals, keys)
         .withColumn("absolute_error", error)
         .withColumn("percentage_error", percent(F.col("absolute_error"), F.col("actual_demand")))
         .select(
@@ -76,20 +87,49 @@ def prediction_accuracy(predictions: DataFrame, realtime: DataFrame) -> DataFram
 
 def model_performance_summary(accuracy: DataFrame) -> DataFrame:
     """Per model version: counts, mean errors, exact median and 90th percentile."""
-    return aggregate_with_quantiles(
+    errors = aggregate_with_quantiles(
         accuracy,
         "model_version",
         [
             F.count("*").alias("predictions_made"),
             F.count("actual_demand").alias("predictions_with_actual"),
-            F.avg("absolute_error").alias("avg_absolute_error"),
-            F.avg("percentage_error").alias("avg_percentage_error"),
+            F.count("absolute_error").alias("_errors"),
+            F.sum("absolute_error").alias("_error"),
+            F.count("percentage_error").alias("_percentages"),
+            F.sum("percentage_error").alias("_percentage"),
         ],
         "percentage_error",
-        {"median_percentage_error": 0.5, "p90_percentage_error": 0.9},
+        ERROR_QUANTILES,
+    )
+    return errors.select(
+        "model_version",
+        "predictions_made",
+        "predictions_with_actual",
+        F.try_divide("_error", "_errors").alias("avg_absolute_error"),
+        F.try_divide("_percentage", "_percentages").alias("avg_percentage_error"),
+        *ERROR_QUANTILES,
     ).orderBy(F.desc("model_version"))
 
 
+def store_error_sketches(accuracy: DataFrame, table: str) -> None:
+    """Sketches of the percentage errors per version and date, one row each, to be merged by readers."""
+    value_sketches(accuracy, ["model_version", "forecast_date"], "percentage_error").write.mode(
+        "append"
+    ).parquet(table)
+
+
+def model_performance_sketched(sketches: DataFrame) -> DataFrame:
+    """The summary of percentage errors from stored sketches, without their predictions: counts and
+    mean are exact, the ranks of the quantiles are within ``quantiles.RANK_ERROR``."""
+    found = quantiles_from_sketches(sketches, "model_version", ERROR_QUANTILES)
+    return found.select(
+        "model_version",
+        F.col("rows").alias("predictions_made"),
+        F.try_divide("total", "n").alias("avg_percentage_error"),
+        *ERROR_QUANTILES,
+    )
+
+
 def model_history(accuracy: DataFrame, versions: int = 5) -> DataFrame:
     """The newest versions with their errors."""
     return (
@@ -240,13 +280,16 @@ def predictions_count(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.count("*").alias("count"))
 
 
+def newest_active(metrics: DataFrame) -> DataFrame:
+    """The metrics row of the active model trained last."""
+    active = metrics.where(F.col("is_active") == 1)
+    return active.orderBy(F.desc("training_date"), F.desc("model_version")).limit(1)
+
+
 def active_model(metrics: DataFrame) -> DataFrame:
     """The active model trained last."""
-    return (
-        metrics.where(F.col("is_active") == 1)
-        .orderBy(F.desc("training_date"), F.desc("model_version"))
-        .limit(1)
-        .select("model_version", "rmse", "mae", "r2_score", "training_samples", "training_date")
+    return newest_active(metrics).select(
+        "model_version", "rmse", "mae", "r2_score", "training_samples", "training_date"
     )
 
 

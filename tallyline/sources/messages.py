@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def topic_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
-    """A topic from its earliest offset; needs the Kafka connector on the class path."""
+def topic_stream(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    offsets_per_trigger: int | None = None,
+    **options: str,
+) -> DataFrame:
+    """A topic from its earliest offset, in batches of at most so many messages; needs the Kafka
+    connector on the class path."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
     )
+    if offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", offsets_per_trigger)
     return reader.options(**options).load().selectExpr("CAST(value AS STRING) AS value")
 
 
@@ -27,7 +36,7 @@ def topic_sink(messages: DataFrame, servers: str, topic: str) -> None:
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Files of JSON lines as they arrive in a directory."""
+    """Files of JSON lines as they arrive in a directory, in batches of at most so many files."""
     reader = spark.readStream.schema("value STRING").format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

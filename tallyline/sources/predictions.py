@@ -93,8 +93,8 @@ def _month(date: dt.date) -> int:
 
 
 def record_metrics(rows: DataFrame, table: str) -> None:
-    """Append rows of the metrics schema."""
-    rows.select(*MODEL_METRICS.fieldNames()).write.mode("append").parquet(table)
+    """Append rows of the metrics schema: a few per model, in one file, which readers see whole."""
+    rows.select(*MODEL_METRICS.fieldNames()).coalesce(1).write.mode("append").parquet(table)
 
 
 def read_metrics(spark: SparkSession, table: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_TINY
+from conftest import SF_SMALL, SF_TINY
 from tallyline import jobs
 from tallyline.forecasting import features, model
 from tallyline.operators import demand_shape, ingest
@@ -27,7 +27,7 @@ def events(spark):
 
 @pytest.fixture(scope="module")
 def rows(events):
-    return features.training_features(events).persist()
+    return features.training_features(events, history="slot").persist()
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_slot_features_explain_the_label(rows):
 
 
 def test_weekday_history_is_the_same_in_training_and_scoring(events):
-    train = features.training_features(events, history="weekday")
+    train = features.training_features(events)
     score = features.score_features(events, AS_OF)
     keys = [*features.PAIR, "day_of_week"]
     joined = train.select(*keys, "avg_demand").distinct().join(
@@ -172,10 +172,8 @@ def test_jobs_from_messages_to_imported_predictions(spark, tmp_path, events):
     jobs.ingest(messages.file_stream(spark, f"{root}/landing"), root)
     version = jobs.train(spark, root, AS_OF, num_trees=5)
     assert version == "20240131_000000"
-    assert storage.child_directories(spark, f"{root}/models") == [
-        "demand_forecast_20240131_000000",
-        "demand_forecast_latest",
-    ]
+    stored = storage.child_directories(spark, f"{root}/models")
+    assert [name.rsplit("_", 1)[0] for name in stored] == ["demand_forecast_20240131_000000"]
     current = active_model(predictions.read_metrics(spark, f"{root}/model_metrics")).first()
     assert current.model_version == version
     for _ in range(2):
@@ -203,6 +201,45 @@ def test_jobs_by_name(spark, tmp_path, events):
         jobs.main(["ingest", "--root", root])
 
 
+def test_forecast_of_a_held_out_week(spark):
+    """Trained before the cut-over, the forecast of the week after it is near what was sold then, with
+    one week of history as with three."""
+    after = sample.store_events(spark, SF_SMALL, start=sample.CUTOVER)
+    sold = after.where("transaction_type = 'SALE'").agg(F.sum("quantity")).first()[0]
+    for weeks in (1, 3):
+        start = sample.CUTOVER - dt.timedelta(weeks=weeks)
+        known = sample.store_events(spark, SF_SMALL, start=start, end=sample.CUTOVER)
+        fitted = model.train(features.weekly_training_features(known), num_trees=10)
+        grid = features.weekly_score_features(known, sample.CUTOVER)
+        scored = fitted.model.transform(grid).agg(F.sum("prediction")).first()[0]
+        days = (sample.AS_OF - sample.CUTOVER).days
+        assert scored / days * 7 == pytest.approx(sold / days * 7, rel=0.25), weeks
+
+
+def test_weekly_features_of_no_events_are_empty(events):
+    nothing = events.where("false")
+    assert features.weekly_training_features(nothing).count() == 0
+    assert features.weekly_score_features(nothing, AS_OF).count() == 0
+
+
+def test_prediction_follows_the_active_row(spark, tmp_path, rows, trained):
+    root, table = str(tmp_path / "models"), str(tmp_path / "metrics")
+    with pytest.raises(LookupError):
+        model.load_active(model.metrics_row(spark, trained, "none", AS_OF, active=False), root)
+    other = model.train(rows, num_trees=3)
+    for i, (version, fitted) in enumerate({"old": trained, "new": other}.items()):
+        model.save_model(fitted, root, version)
+        at = AS_OF + dt.timedelta(days=i)
+        predictions.record_metrics(model.metrics_row(spark, fitted, version, at), table)
+    chosen = lambda: model.load_active(predictions.read_metrics(spark, table), root)
+    assert chosen().version == "new" and chosen().model.stages[-1].getNumTrees == 3
+    predictions.activate(spark, table, "old")
+    assert chosen().version == "old" and chosen().model.stages[-1].getNumTrees == 10
+    # Stored again, the active version is read as before until its new row is there.
+    model.save_model(other, root, "old")
+    assert chosen().model.stages[-1].getNumTrees == 10
+
+
 # Demand shape
 
 

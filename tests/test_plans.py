@@ -48,3 +48,13 @@ def test_no_sort_below_an_aggregate(spark, key):
 def test_matrix_is_one_grouping_and_one_sort(spark):
     plan = entry.queries()["peak_hours_matrix"](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning") <= 1
+
+
+def test_summary_plans_two_small_scans(spark):
+    plan = entry.queries()["model_performance_summary"](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "events.parquet" not in plan
+
+
+def test_bucketed_accuracy_has_no_exchange(spark):
+    plan = entry.queries()["prediction_accuracy_bucketed"](spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan

@@ -4,7 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.operators.quantiles import aggregate_with_quantiles
+from tallyline.operators.quantiles import (
+    RANK_ERROR,
+    aggregate_with_quantiles,
+    quantiles_from_sketches,
+    value_sketches,
+)
 
 WANTED = {"q0": 0.0, "q1": 0.001, "q50": 0.5, "q90": 0.9, "q100": 1.0}
 
@@ -43,3 +48,36 @@ def test_large_skewed_groups(spark):
 def test_one_path_for_every_size(spark, rows):
     frame = spark.range(rows).selectExpr("'a' AS g", "CAST(id * 7919 % 10007 AS DOUBLE) AS v")
     check(frame)
+
+
+def test_null_groups_and_empty_input_keep_their_aggregates(spark):
+    frame = spark.createDataFrame([(None, 1.0), (None, None), ("a", None), ("b", 2.0)], "g STRING, v DOUBLE")
+    wanted = [F.count("*").alias("n"), F.sum("v").alias("s")]
+    found = {r.g: tuple(r) for r in aggregate_with_quantiles(frame, "g", wanted, "v", {"q": 0.5}).collect()}
+    assert found == {None: (None, 2, 1.0, None), "a": ("a", 1, None, None), "b": ("b", 1, 2.0, 2.0)}
+    assert aggregate_with_quantiles(frame.limit(0), "g", wanted, "v", {"q": 0.5}).count() == 0
+
+
+def test_rows_are_read_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    plan = aggregate_with_quantiles(frame, "g", [F.count("*").alias("n")], "v", WANTED)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 2 and str(tmp_path) not in text
+
+
+def test_sketches_of_dates_merge_within_the_bound(spark):
+    rows = spark.range(200_000).selectExpr(
+        "if(id % 10 = 0, 'small', 'large') AS g", "id % 7 AS day", "if(id % 3 = 0, 50.0D, exp(randn(7))) AS v"
+    )
+    rows = rows.unionByName(spark.createDataFrame([("none", 1, None), ("large", 99, None)], "g STRING, day BIGINT, v DOUBLE"))
+    rows = rows.persist()
+    wanted = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    stored = value_sketches(rows, ["g", "day"], "v")
+    found = {r.g: r for r in quantiles_from_sketches(stored, "g", wanted).collect()}
+    for g, values in rows.where("v IS NOT NULL").toPandas().groupby("g").v:
+        for name, f in wanted.items():
+            low, high = (values < found[g][name]).mean(), (values <= found[g][name]).mean()
+            assert low - RANK_ERROR <= f <= high + RANK_ERROR, (g, name)
+    assert found["none"].q50 is None and found["none"].rows == 1 and found["large"].rows == 180_001
+    rows.unpersist()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_TINY
+from tallyline import jobs
 from tallyline.operators import ingest
 from tallyline.operators.rollup import DAILY, HOURLY, PRODUCT, ROLLUPS, summarise
 from tallyline.schemas import EVENT_COLUMNS
@@ -155,3 +156,12 @@ def test_freshness(spark, events):
     )
     row = data_freshness(frame).first()
     assert (row.latest_event.day, row.total_records, row.latest_insert.second) == (2, 2, 5)
+
+
+def test_backlog_is_taken_in_limited_batches(spark, tmp_path, landing, stored):
+    path = landing(stored.repartition(6))
+    parts = len([n for n in storage.child_files(spark, path) if n.startswith("part-")])
+    jobs.main(["ingest", "--root", str(tmp_path / "t"), "--landing", path, "--max-files", "2"])
+    offsets = storage.child_files(spark, str(tmp_path / "t/_checkpoints/lake/offsets"))
+    assert len([n for n in offsets if n.isdigit()]) == (parts + 1) // 2 > 1
+    same(tables.read_lake(spark, str(tmp_path / "t/lake")).select(*EVENT_COLUMNS), stored)
