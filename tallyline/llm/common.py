@@ -49,13 +49,18 @@ def fold(key: Column, parts: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The rows in parts of about ``size`` bytes of one text or binary column, one row at least."""
+    """The rows in parts of about ``size`` bytes of one text or binary column, one row at least.
+
+    Arrow keeps freed memory for itself; after each batch it is given back, so that a worker between
+    tasks holds its caches and no more."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         parts = np.cumsum(lengths, dtype=np.int64) // size
         starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if batch.num_rows else []
         for start, end in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(start, end - start)
+        pool.release_unused()
 
 
 class Words:

@@ -32,6 +32,8 @@ from tallyline.llm import common
 from tallyline.llm.bpe import Merges, _nothing, joined, read_vocabulary
 
 LENGTH = 2048
+#: Bytes of text encoded at once.  An id and what is made of it take some 60 bytes for a moment.
+ENCODED = 1 << 20
 END_ID = 1
 #: Hashed vector size, dimensions it is projected to, and bits of a cell number in each.
 HASHED, DIMENSIONS, BITS = 64, 4, 10
@@ -156,7 +158,7 @@ def tokenised(docs: DataFrame, vocabulary: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, curve = common.of_worker(sent, lambda vocabulary: (WordCodec(vocabulary), Curve()))
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, size=ENCODED):
             ids, totals = codec.encode(batch.column(1))
             packed = ids.astype("<u4")
             ends = np.cumsum(totals)
