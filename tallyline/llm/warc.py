@@ -1,14 +1,18 @@
 """WARC archives in which equal payloads are stored once.
 
-The payload digests are shuffled without the payloads: per (digest, length) the record with the
-largest page_id is the original, found by a pre-aggregated maximum, and the others revisit it.  Only
-then is one WARC record per page written, with fresh headers: a response with its payload, or a
-revisit that refers to the original and has none.  A key with a third of all rows is one number per
-task in the aggregation, and the adaptive join splits it.
+Payloads are never shuffled.  A first pass writes the headers of all pages: digest, length, page_id and
+place in the input (file and row).  They alone are shuffled by digest: per (digest, length) met twice or
+more the record with the largest page_id is the original, found by a pre-aggregated maximum, and the
+others revisit it.  A second pass over the unshuffled pages writes one WARC record per page with fresh
+headers; the references of its files are broadcast to it, in rounds of at most ``ROUND`` references.
 
 A record is text that ends with an empty line, so archives are written by Spark's text writer with
-that line as separator, to any file system, and every task writes its own gzip files.  Reading back
-takes files whole, of bounded size, and walks their records by Content-Length.
+that line as separator, to any file system, and every task writes its own gzip files.  Small, medium
+and large pages go to files of their own with bounded numbers of records, so that files are bounded by
+bytes.  Reading back takes files whole and walks their records by Content-Length.
+
+Record ids are UUIDs made of the write's own id and the place of the page, so that a repeated task
+writes the same ones; all records of a write carry its date.
 
 Defined results: null html is an empty payload, a null url an empty one; control characters and
 spaces in a url are percent-encoded.  Repeated rows with the largest page_id are all responses.  Rows
@@ -19,8 +23,10 @@ empty table gives an empty result; only page_id, url and html are read.
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +36,10 @@ from pyspark.sql import functions as F
 from tallyline.llm import common
 from tallyline.session import scratch_path
 
-#: Records in one archive file at most.  A file is read back whole, so this bounds a reader's memory.
-FILE_RECORDS = 2_000
+#: Sizes of payloads below which a file holds so many records: some 64 MB of text at most, or one page.
+FILE_RECORDS = ((32 << 10, 2_000), (1 << 20, 64), (None, 1))
+#: References broadcast at once (about 100 bytes each), and rows of a file taken together in cutting rounds.
+ROUND, BLOCK_BITS = 500_000, 18
 #: Payloads below this size are never revisited.
 LEAST_BYTES = 0
 END = "\r\n\r\n"
@@ -54,43 +62,96 @@ def base32(sha1_hex: Column) -> Column:
     return F.concat(*parts)
 
 
-def headers(pages: DataFrame) -> DataFrame:
-    """The pages with ``payload_digest`` and ``payload_bytes``."""
-    html = F.coalesce("html", F.lit(""))
+def _placed(pages: DataFrame, run: str) -> DataFrame:
+    """The pages with their place, record id and payload length."""
+    place = pages.metadataColumn("_metadata")
+    html = F.coalesce(pages["html"], F.lit(""))
+    hex_ = F.md5(F.concat_ws(" ", F.lit(run), place["file_path"], place["row_index"]).cast("binary"))
+    groups = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
     return pages.select(
+        place["file_path"].alias("file"),
+        place["row_index"].alias("row"),
+        F.regexp_replace(hex_, groups, "$1-$2-$3-$4-$5").alias("record_id"),
         pages["page_id"].cast("long").alias("page_id"),
-        F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce(pages["url"], F.lit("")).alias("url"),
         html.alias("html"),
-        base32(F.sha1(html.cast("binary"))).alias("payload_digest"),
         F.octet_length(html).cast("long").alias("payload_bytes"),
     )
 
 
-def resolved(rows: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """``refers_to`` for rows that revisit another record's payload, null for responses."""
-    key = ["payload_digest", "payload_bytes"]
-    originals = rows.filter(F.col("payload_bytes") >= least).groupBy(*key).agg(F.max("page_id").alias("original"))
-    own = F.col("page_id").eqNullSafe(F.col("original")) | F.col("original").isNull()
-    return rows.join(originals, key, "left").withColumn("refers_to", F.when(~own, F.col("original")))
+def headers(placed: DataFrame) -> DataFrame:
+    """What is shuffled of a page."""
+    payload_digest = F.unhex(F.sha1(F.col("html").cast("binary")))
+    return placed.select("file", "row", "record_id", "page_id", "payload_bytes", payload_digest.alias("sha1"))
+
+
+def references(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """A row for each page that revisits another one: its place, the original's page_id and record id."""
+    key = ["sha1", "payload_bytes"]
+    numbered = heads.filter(F.col("payload_bytes") >= least)
+    # Rows without page_id are least, so they are original only where none has one.
+    original = F.max(F.struct("page_id", "record_id"))
+    met = numbered.groupBy(*key).agg(original.alias("original"), F.count("*").alias("n"))
+    met = met.filter((F.col("n") > 1) & F.col("original.page_id").isNotNull()).drop("n")
+    revisits = numbered.join(met, key).filter(~F.col("page_id").eqNullSafe(F.col("original.page_id")))
+    return revisits.select(
+        "file",
+        "row",
+        F.col("original.page_id").alias("refers_to"),
+        F.col("original.record_id").alias("original_id"),
+    )
+
+
+def rounds(found: DataFrame, limit: int = ROUND, bits: int = BLOCK_BITS) -> list[tuple]:
+    """Ranges of places, (first, end) with none for an open end, each with at most ``limit`` references.
+
+    The driver sees one number per block of rows of a file that has references; blocks of more than
+    ``limit`` rows would break the bound, so they must be smaller."""
+    if 1 << bits > limit:
+        raise ValueError("blocks must not exceed a round")
+    blocks = found.groupBy("file", F.shiftright("row", bits).alias("block")).count().orderBy("file", "block")
+    cuts, total = [], 0
+    for block in blocks.toLocalIterator():
+        if total + block["count"] > limit:
+            cuts.append((block["file"], block["block"]))
+            total = 0
+        total += block["count"]
+    return list(zip([None, *cuts], [*cuts, None]))
+
+
+def _within(rows: DataFrame, first: tuple | None, end: tuple | None, bits: int) -> DataFrame:
+    """Rows of one range; the plain comparison of the file lets the scan skip files."""
+    place = F.struct(F.col("file"), F.shiftright("row", bits).cast("long"))
+    bound = lambda at: F.struct(F.lit(at[0]), F.lit(at[1]).cast("long"))
+    if first:
+        rows = rows.filter((F.col("file") >= first[0]) & (place >= bound(first)))
+    if end:
+        rows = rows.filter((F.col("file") <= end[0]) & (place < bound(end)))
+    return rows
 
 
-def record() -> Column:
+def record(date: str) -> Column:
     """The record of a row as text, without the empty line at its end."""
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("none"))
     is_response = F.col("refers_to").isNull()
     block = F.when(is_response, F.concat(F.lit(_HTTP), F.col("html"))).otherwise("")
-    line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
+    line = lambda name, *value: F.concat(F.lit(f"\r\n{name}: "), *value)
+    urn = lambda name: F.concat(F.lit("<urn:uuid:"), F.col(name), F.lit(">"))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(is_response, "response").otherwise("revisit"),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
+        line("WARC-Record-ID", urn("record_id")),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        line("WARC-Payload-Digest", F.lit("sha1:"), base32(F.sha1(F.col("html").cast("binary")))),
+        line("X-Page-ID", text("page_id")),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(is_response, "").otherwise(
             F.concat(
-                line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+                line("WARC-Refers-To", urn("original_id")),
+                line("WARC-Refers-To-Date", F.lit(date)),
+                line("X-Refers-To-Page-ID", text("refers_to")),
                 line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             )
         ),
@@ -101,10 +162,38 @@ def record() -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    rows = resolved(headers(pages), least)
-    archive = rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    archive.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def archived(placed: DataFrame, found: DataFrame, date: str) -> DataFrame:
+    """The records of pages, given the references of a round."""
+    return placed.join(F.broadcast(found), ["file", "row"], "left").select(record(date).alias("value"))
+
+
+def write_archives(
+    pages: DataFrame, path: str, least: int = LEAST_BYTES, in_files: bool = False, limit: int = ROUND
+) -> None:
+    """Write a record per page below ``path``, which must be new.
+
+    ``in_files`` says that ``pages`` is a Parquet table as it was read, whose rows have a place; other
+    relations are written once to get one."""
+    if not in_files:
+        pages = common.stored(pages.select("page_id", "url", "html"), "pages")
+    placed = _placed(pages, uuid.uuid4().hex)
+    date = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    heads = common.stored(headers(placed), "headers")
+    found = common.stored(references(heads, least), "references")
+    bits = min(BLOCK_BITS, limit.bit_length() - 1)
+    largest = heads.agg(F.max("payload_bytes")).first()[0]
+    for first, end in rounds(found, limit, bits):
+        rows, known, over = _within(placed, first, end, bits), _within(found, first, end, bits), None
+        for below, files in FILE_RECORDS:
+            if over is not None and (largest is None or largest < over):
+                break
+            sized = rows if over is None else rows.filter(F.col("payload_bytes") >= over)
+            sized = sized if below is None else sized.filter(F.col("payload_bytes") < below)
+            archive = archived(sized, known, date).write.mode("append").option("lineSep", END)
+            archive.option("compression", "gzip").option("maxRecordsPerFile", files).text(path)
+            over = below
+    common.discard(heads)
+    common.discard(found)
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -124,8 +213,7 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def _page(name: str) -> int | None:
-    text = name.removeprefix("<urn:page:").removesuffix(">")
+def _page(text: str) -> int | None:
     return None if text == "none" else int(text)
 
 
@@ -145,8 +233,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         if digest(payload) != stated or len(payload) != size:
                             raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
                     else:
-                        other = _page(head["WARC-Refers-To"])
-                    rows.append((_page(head["WARC-Record-ID"]), size, stated, kind, other))
+                        other = _page(head["X-Refers-To-Page-ID"])
+                    rows.append((_page(head["X-Page-ID"]), size, stated, kind, other))
                 columns = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES
@@ -161,7 +249,7 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "archives")
-    write_archives(common.table(spark, sf, "pages"), path)
+    write_archives(common.table(spark, sf, "pages"), path, in_files=True)
     return read_archives(spark, path)
 
 
