@@ -27,9 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyline.llm import common
+from tallyline.llm import common, places
 from tallyline.llm.components import components
 
 WIDTH = 3
@@ -62,17 +61,25 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > hashes.size, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed number of the same 64 bits."""
+def fingerprints(docs: DataFrame, file: Column | None = None, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp, file, row) of every row, fp as a signed number of the same 64 bits; the place is null
+    unless it is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found), batch.column(2), batch.column(3)], names=["doc_id", "fp", "file", "row"]
+            )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        docs["text"].cast("string").alias("text"),
+        (F.lit(None).cast("string") if file is None else file).alias("file"),
+        (F.lit(None).cast("long") if row is None else row).alias("row"),
+    )
+    return rows.mapInArrow(run, "doc_id long, fp long, file string, row long")
 
 
 def shard_keys(fp: Column) -> Column:
@@ -214,7 +221,7 @@ def class_links(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    marked = common.stored(fingerprints(docs), "fingerprints")
+    marked = common.stored(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
     grouped = common.stored(fingerprint_groups(marked), "groups")
     smallest = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     placed = grouped.join(smallest, "component").select("fp", "component_id")
@@ -230,35 +237,23 @@ def fingerprint_groups(marked: DataFrame) -> DataFrame:
     return placed.select("fp", "id", F.coalesce("component", "fp").alias("component"))
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """The rows with a column ``__fp``."""
-    place = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, column=place):
-            texts = batch.column(place).cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "__fp"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-
-
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with the columns it came with.
 
     Groups are made of fingerprints, so rows without a doc_id are compared like any other, and rows
     that share a doc_id are in one group only if their texts are.  A row without a doc_id stays if no
-    row of its group has one; of rows with the doc_id and the fingerprint that stay, one stays.
+    row of its group has one; of equal rows the first one in the table stays.
+
+    Texts are read once for their fingerprints and once more for the rows that stay, and never shuffled:
+    what is shuffled are fingerprints and places, and the places of the others are broadcast in rounds.
     """
-    marked = common.stored(fingerprints(docs), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
-    leaders = fingerprint_groups(marked).groupBy("component").agg(first).select(
-        F.coalesce("first.id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.fp").alias("__fp")
-    )
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    rows = with_fingerprints(docs).withColumns({"__id": own, "__none": F.col("doc_id").isNull()})
-    kept = rows.join(leaders, ["__id", "__none", "__fp"], "left_semi").dropDuplicates(["__fp"])
-    return kept.select(*docs.columns)
+    docs = places.placed(docs)
+    marked = common.stored(fingerprints(docs, *places.place_of(docs)), "fingerprints")
+    grouped = marked.join(fingerprint_groups(marked).select("fp", "component"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "file", "row")
+    first = grouped.groupBy("component").agg(F.min(order).alias("first")).select("first.file", "first.row")
+    dropped = marked.select("file", "row").join(first, ["file", "row"], "left_anti")
+    return places.without(docs, common.stored(dropped, "dropped"))
 
 
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ Payloads are never shuffled.  A first pass writes the headers of all pages: dige
 place in the input (file and row).  They alone are shuffled by digest: per (digest, length) met twice or
 more the record with the largest page_id is the original, found by a pre-aggregated maximum, and the
 others revisit it.  A second pass over the unshuffled pages writes one WARC record per page with fresh
-headers; the references of its files are broadcast to it, in rounds of at most ``ROUND`` references.
+headers; the references of its files are broadcast to it, in rounds of bounded size (``places``).
 
 A record is text that ends with an empty line, so archives are written by Spark's text writer with
 that line as separator, to any file system, and every task writes its own gzip files.  Small, medium
@@ -33,13 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import common
+from tallyline.llm import common, places
 from tallyline.session import scratch_path
 
 #: Sizes of payloads below which a file holds so many records: some 64 MB of text at most, or one page.
 FILE_RECORDS = ((32 << 10, 2_000), (1 << 20, 64), (None, 1))
-#: References broadcast at once (about 100 bytes each), and rows of a file taken together in cutting rounds.
-ROUND, BLOCK_BITS = 500_000, 18
 #: Payloads below this size are never revisited.
 LEAST_BYTES = 0
 END = "\r\n\r\n"
@@ -64,13 +62,13 @@ def base32(sha1_hex: Column) -> Column:
 
 def _placed(pages: DataFrame, run: str) -> DataFrame:
     """The pages with their place, record id and payload length."""
-    place = pages.metadataColumn("_metadata")
+    file, row = places.place_of(pages)
     html = F.coalesce(pages["html"], F.lit(""))
-    hex_ = F.md5(F.concat_ws(" ", F.lit(run), place["file_path"], place["row_index"]).cast("binary"))
+    hex_ = F.md5(F.concat_ws(" ", F.lit(run), file, row).cast("binary"))
     groups = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
     return pages.select(
-        place["file_path"].alias("file"),
-        place["row_index"].alias("row"),
+        file.alias("file"),
+        row.alias("row"),
         F.regexp_replace(hex_, groups, "$1-$2-$3-$4-$5").alias("record_id"),
         pages["page_id"].cast("long").alias("page_id"),
         F.coalesce(pages["url"], F.lit("")).alias("url"),
@@ -102,34 +100,6 @@ def references(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def rounds(found: DataFrame, limit: int = ROUND, bits: int = BLOCK_BITS) -> list[tuple]:
-    """Ranges of places, (first, end) with none for an open end, each with at most ``limit`` references.
-
-    The driver sees one number per block of rows of a file that has references; blocks of more than
-    ``limit`` rows would break the bound, so they must be smaller."""
-    if 1 << bits > limit:
-        raise ValueError("blocks must not exceed a round")
-    blocks = found.groupBy("file", F.shiftright("row", bits).alias("block")).count().orderBy("file", "block")
-    cuts, total = [], 0
-    for block in blocks.toLocalIterator():
-        if total + block["count"] > limit:
-            cuts.append((block["file"], block["block"]))
-            total = 0
-        total += block["count"]
-    return list(zip([None, *cuts], [*cuts, None]))
-
-
-def _within(rows: DataFrame, first: tuple | None, end: tuple | None, bits: int) -> DataFrame:
-    """Rows of one range; the plain comparison of the file lets the scan skip files."""
-    place = F.struct(F.col("file"), F.shiftright("row", bits).cast("long"))
-    bound = lambda at: F.struct(F.lit(at[0]), F.lit(at[1]).cast("long"))
-    if first:
-        rows = rows.filter((F.col("file") >= first[0]) & (place >= bound(first)))
-    if end:
-        rows = rows.filter((F.col("file") <= end[0]) & (place < bound(end)))
-    return rows
-
-
 def record(date: str) -> Column:
     """The record of a row as text, without the empty line at its end."""
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
@@ -168,22 +138,19 @@ def archived(placed: DataFrame, found: DataFrame, date: str) -> DataFrame:
 
 
 def write_archives(
-    pages: DataFrame, path: str, least: int = LEAST_BYTES, in_files: bool = False, limit: int = ROUND
+    pages: DataFrame, path: str, least: int = LEAST_BYTES, limit: int = places.ROUND
 ) -> None:
     """Write a record per page below ``path``, which must be new.
 
-    ``in_files`` says that ``pages`` is a Parquet table as it was read, whose rows have a place; other
-    relations are written once to get one."""
-    if not in_files:
-        pages = common.stored(pages.select("page_id", "url", "html"), "pages")
-    placed = _placed(pages, uuid.uuid4().hex)
+    The rows of a Parquet table as it was read have a place; other relations are written once to get one."""
+    placed = _placed(places.placed(pages), uuid.uuid4().hex)
     date = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = common.stored(headers(placed), "headers")
     found = common.stored(references(heads, least), "references")
-    bits = min(BLOCK_BITS, limit.bit_length() - 1)
     largest = heads.agg(F.max("payload_bytes")).first()[0]
-    for first, end in rounds(found, limit, bits):
-        rows, known, over = _within(placed, first, end, bits), _within(found, first, end, bits), None
+    for first, end in places.rounds(found, limit):
+        rows, known = (places.within(x, F.col("file"), F.col("row"), first, end, limit) for x in (placed, found))
+        over = None
         for below, files in FILE_RECORDS:
             if over is not None and (largest is None or largest < over):
                 break
@@ -249,7 +216,7 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "archives")
-    write_archives(common.table(spark, sf, "pages"), path, in_files=True)
+    write_archives(common.table(spark, sf, "pages"), path)
     return read_archives(spark, path)
 
 

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from conftest import SF_TINY
-from tallyline.llm import common, warc
+from tallyline.llm import common, places, warc
 
 SCHEMA = "page_id long, url string, html string, record_type string"
 
@@ -26,7 +26,7 @@ def expected_of(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [8, warc.ROUND])
+@pytest.mark.parametrize("limit", [8, places.ROUND])
 def test_rounds_of_references_give_the_same_records(spark, tmp_path, limit):
     rows = [(i if i % 11 else None, f"text {i % 7}" if i % 5 else None) for i in range(60)] + [(3, "text 3")] * 2
     pages = spark.createDataFrame([(p, "u", h, "x") for p, h in rows], SCHEMA).repartition(5)
