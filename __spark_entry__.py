@@ -131,6 +131,15 @@ def realtime_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_realtime(spark, path)
 
 
+def product_history(spark: SparkSession, sf: str) -> DataFrame:
+    """One product looked up in a table whose closed dates are ordered by product."""
+    path = session.scratch_path(spark, "by-product")
+    _stored_in_loads(_realtime_rows(spark, sf), tables.write_realtime, path)
+    tables.compact_table(spark, path, tables.REALTIME_TABLE, CUTOVER.date(), by_product=True)
+    tables.vacuum_table(spark, path, tables.REALTIME_TABLE)
+    return history.product_history(tables.read_realtime(spark, path), "P07", AS_OF)
+
+
 def lake_compacted(spark: SparkSession, sf: str) -> DataFrame:
     """As above, read before the merged loads are removed, and with a load that came late."""
     path = session.scratch_path(spark, "lake-compacted")
@@ -485,6 +494,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retention_90d": retention_90d,
         "realtime_compacted": realtime_compacted,
         "lake_compacted": lake_compacted,
+        "product_history": product_history,
         "unified_by_completeness": unified_by_completeness,
         # streams
         "stream_lake_sink": stream_lake_sink,

@@ -531,6 +531,12 @@ SELECT *, restock_qty - sales_qty + return_qty AS net_movement,
          AS direction
 FROM (SELECT {units_of('SALE')} AS sales_qty, {units_of('RETURN')} AS return_qty,
              {units_of('RESTOCK')} AS restock_qty FROM ev WHERE {days(30)})"""
+    q["product_history"] = ev + f"""
+SELECT *, units_restocked + units_returned - units_sold AS net_units
+FROM (SELECT CAST(event_time AS DATE) AS date, store_id, CAST(COUNT(*) AS BIGINT) AS events,
+             {units_of('SALE')} AS units_sold, {units_of('RETURN')} AS units_returned,
+             {units_of('RESTOCK')} AS units_restocked, {revenue_of('SALE')} AS revenue
+      FROM ev WHERE product_id = 'P07' AND event_time < {AS_OF} GROUP BY ALL)"""
     q["category_stock_status"] = ev + f"""
 SELECT category, {count_of('SALE')} AS sales_count, {count_of('RETURN')} AS return_count,
        {count_of('RESTOCK')} AS restock_count, {units_of('SALE')} AS total_sold,

@@ -79,12 +79,14 @@ def expire(spark: SparkSession, root: str, as_of: dt.datetime) -> list[str]:
 def compact(spark: SparkSession, root: str, as_of: dt.datetime) -> None:
     """Merge the loads of closed dates and the partials of each rollup; remove what that replaced.
 
+    Closed dates of the lake are ordered by product for lookups, those of the realtime table by time.
+
     What the previous run replaced goes first, so readers have the time between two runs.
     """
     stored = ((f"{root}/lake", tables.LAKE_TABLE), (f"{root}/realtime", tables.REALTIME_TABLE))
     for path, table in stored:
         tables.vacuum_table(spark, path, table)
-        tables.compact_table(spark, path, table, as_of.date())
+        tables.compact_table(spark, path, table, as_of.date(), by_product=table is tables.LAKE_TABLE)
     for rollup in ROLLUPS:
         compact_rollup(spark, f"{root}/rollups", rollup)
         vacuum_rollup(spark, f"{root}/rollups", rollup)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.functions import calendar, money, text
 from tallyline.functions.ratios import growth_percent, is_type, percent
 from tallyline.plans.serving import basket_value, return_counts, revenue, sales, units
-from tallyline.schemas import RETURN, SALE
+from tallyline.schemas import RESTOCK, RETURN, SALE
 
 
 #: Ranges of revenue in which stores are ranked side by side.
@@ -205,3 +205,27 @@ def category_cards(unified: DataFrame, as_of: dt.datetime, days: int = 30) -> Da
         text.number_text(F.col("total_items"), 1).alias("items_text"),
         text.percentage_text(F.col("revenue_share")).alias("share_text"),
     )
+
+
+def product_history(
+    unified: DataFrame, product: str, as_of: dt.datetime, store: int | None = None, days: int | None = None
+) -> DataFrame:
+    """What happened to one product, per date and store: sales, returns, restocks and net movement of stock.
+
+    A lookup: product and store are compared as they are stored, so that a table clustered by product is
+    read at the product's row groups only.
+    """
+    rows = calendar.before(unified, as_of) if days is None else calendar.last_days(unified, as_of, days)
+    rows = rows.where(F.col("product_id") == product)
+    if store is not None:
+        rows = rows.where(F.col("store_id") == store)
+    moved = lambda kind: F.sum(F.when(is_type(kind), F.col("quantity")).otherwise(0))
+    found = rows.groupBy(F.to_date("event_time").alias("date"), "store_id").agg(
+        F.count("*").alias("events"),
+        moved(SALE).alias("units_sold"),
+        moved(RETURN).alias("units_returned"),
+        moved(RESTOCK).alias("units_restocked"),
+        revenue(SALE).alias("revenue"),
+    )
+    net = F.col("units_restocked") + F.col("units_returned") - F.col("units_sold")
+    return found.withColumn("net_units", net).orderBy("date", "store_id")

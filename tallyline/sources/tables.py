@@ -28,6 +28,10 @@ from tallyline.sources.published import (
 )
 
 SORT_KEY = ("event_time", "store_id", "product_id")
+#: Order of merged dates that lookups by product read: its rows are neighbours, so row groups and pages are skipped.
+PRODUCT_KEY = ("product_id", "store_id", "event_time")
+#: Products a file is expected to hold, for the Bloom filters of merged dates.
+FILE_PRODUCTS = 200_000
 RETENTION_DAYS = 90
 #: Hours after which the directory of a change that was never published is taken for abandoned.
 ABANDONED_HOURS = 24
@@ -62,6 +66,21 @@ REALTIME_TABLE = Table(REALTIME, ("event_date",))
 # Writing
 
 
+def _clustered(rows: DataFrame, path: str, table: Table, layout: dict[str, str]) -> tuple[str, list[str]]:
+    """As :func:`_staged`, each date cut into ranges of :data:`PRODUCT_KEY`, which ends in the time, so that a
+    product with a third of all rows is spread over files too."""
+    folder = f"{path}/_staged/{uuid.uuid4().hex}"
+    order = [*table.partitions, *PRODUCT_KEY]
+    bloom = {
+        "parquet.bloom.filter.enabled#product_id": "true",
+        "parquet.bloom.filter.expected.ndv#product_id": str(FILE_PRODUCTS),
+    }
+    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*table.partitions)
+    writer.options(**{**bloom, **layout}).parquet(folder)
+    dates = "/".join("*=*" for _ in table.partitions)
+    return folder, sorted(storage.matching(rows.sparkSession, folder, dates))
+
+
 def _staged(rows: DataFrame, path: str, table: Table) -> tuple[str, list[str]]:
     """The rows written in a folder that readers do not list, and its date directories.
 
@@ -214,14 +233,24 @@ def _read_places(spark: SparkSession, path: str, table: Table, places: Sequence[
 
 
 def compact_table(
-    spark: SparkSession, path: str, table: Table, before: dt.date, loads: int = 2
+    spark: SparkSession,
+    path: str,
+    table: Table,
+    before: dt.date,
+    loads: int = 2,
+    by_product: bool = False,
+    **layout: str,
 ) -> list[str]:
     """Merge the loads of each date before ``before`` that has at least ``loads`` of them.
 
     One job merges all dates; late loads that arrive meanwhile are none of its inputs and stay
     visible beside the merge.  The newest batch of a stream is left out, because a replay must find
     it.  Returns the merged dates; a merge that dies before it publishes has changed nothing.
+
+    ``by_product`` orders the merged dates for lookups by product, and takes dates of one load along
+    unless that is a merge in this order; ``layout`` are further options of the Parquet writer.
     """
+    name = "merged-by-product" if by_product else "merged"
     state = read_state(spark, path)
     dates = _load_places(spark, path, table, state)
     waiting = _last_batches([p for places in dates.values() for p in places])
@@ -229,12 +258,17 @@ def compact_table(
     for date, places in dates.items():
         day = table.date_of(date)
         ready = [p for p in places if p.rsplit("load=", 1)[1] not in waiting]
-        if day is not None and day < before and len(ready) >= loads:
+        if by_product:
+            due = len(ready) > 1 or any(f"load={name}@" not in p for p in ready)
+        else:
+            due = len(ready) >= loads
+        if day is not None and day < before and due:
             inputs += ready
     if not inputs:
         return []
-    folder, merged = _staged(_read_places(spark, path, table, inputs), path, table)
-    placed = _placed(spark, path, folder, merged, f"merged@{uuid.uuid4().hex[:12]}")
+    rows = _read_places(spark, path, table, inputs)
+    folder, merged = _clustered(rows, path, table, layout) if by_product else _staged(rows, path, table)
+    placed = _placed(spark, path, folder, merged, f"{name}@{uuid.uuid4().hex[:12]}")
     _replace(spark, path, state, placed, inputs, held=state.held | _named(inputs))
     return merged
 

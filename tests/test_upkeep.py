@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import ingest
-from tallyline.plans import serving
+from tallyline.plans import history, serving
 from tallyline.schemas import EVENT_COLUMNS, REALTIME
 from tallyline.sources import messages, published, storage, tables
 from tallyline.sources.tables import LAKE_TABLE, REALTIME_TABLE
@@ -265,3 +265,84 @@ def test_streams_and_merges_share_a_lake(spark, tmp_path, events):
         found = tables.read_lake(spark, lake).select(*EVENT_COLUMNS).collect()
         assert sorted(str(r.event_time) for r in found) == sorted(expected)
     assert len(storage.child_directories(spark, f"{lake}/year=2024/month=1/day=30")) == 2
+
+
+# Lookups by product
+
+
+def rows_scanned(frame):
+    """Rows that the scans of an executed plan give out, after skipped row groups and pages."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    waiting, total = [plan.finalPhysicalPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        if "FileSourceScanExec" in node.getClass().getName():
+            total += node.metrics().apply("numOutputRows").value()
+        elif "QueryStage" in node.getClass().getName():
+            waiting.append(node.plan())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.fixture()
+def many_products(spark, tmp_path):
+    """Two dates of 40,000 rows in two loads, a third of them of one product."""
+    path = str(tmp_path / "products")
+    stamped = spark.range(80_000).selectExpr(
+        "timestamp_seconds(1706572800 + id % 2 * 86400 + (id * 7919) % 86400) AS event_time",
+        "CAST(id % 9 AS INT) AS store_id",
+        "if(id % 3 = 0, 'hot', concat('p', lpad((id * 31) % 5000, 5, '0'))) AS product_id",
+        "'c' AS category",
+        "'SALE' AS transaction_type",
+        "CAST(1 AS INT) AS quantity",
+        "CAST(2 AS DOUBLE) AS unit_price",
+        "CAST(NULL AS TIMESTAMP) AS inserted_at",
+        "id",
+    ).withColumn("event_date", F.to_date("event_time"))
+    for i in range(2):
+        tables.write_realtime(stamped.where(f"id div 7 % 2 = {i}").select(*REALTIME.fieldNames()), path, f"part{i}")
+    return path
+
+
+def test_lookups_by_product_skip_row_groups(spark, many_products):
+    def looked_up():
+        return history.product_history(tables.read_realtime(spark, many_products), "p00310", dt.datetime(2024, 2, 2))
+
+    expected, whole = [tuple(r) for r in looked_up().collect()], rows_scanned(looked_up())
+    # The product is sold on one of the dates; of the other one every row group is skipped by its dictionary.
+    assert expected and whole == 40_000
+    small = {"parquet.block.size": "65536", "parquet.page.size": "4096"}
+    after = dt.date(2024, 2, 2)
+    merged = tables.compact_table(spark, many_products, REALTIME_TABLE, after, by_product=True, **small)
+    assert len(merged) == 2
+    assert [tuple(r) for r in looked_up().collect()] == expected
+    assert rows_scanned(looked_up()) < whole / 4
+    # A merge in this order is not done again; one by time is.
+    assert tables.compact_table(spark, many_products, REALTIME_TABLE, after, by_product=True) == []
+
+
+def test_a_date_of_one_load_is_ordered_by_product_once(spark, loaded, events):
+    before = times(spark, loaded)
+    tables.compact_table(spark, loaded, REALTIME_TABLE, DAY)
+    assert tables.compact_table(spark, loaded, REALTIME_TABLE, DAY) == []
+    assert tables.compact_table(spark, loaded, REALTIME_TABLE, DAY, by_product=True) == ["event_date=2024-01-30"]
+    assert tables.compact_table(spark, loaded, REALTIME_TABLE, DAY, by_product=True) == []
+    tables.write_realtime(rows_of(events(("2024-01-30 09:00:00",))), loaded)
+    assert tables.compact_table(spark, loaded, REALTIME_TABLE, DAY, by_product=True) == ["event_date=2024-01-30"]
+    assert times(spark, loaded) == sorted([*before, "2024-01-30 09:00:00"])
+
+
+def test_history_of_a_product_nets_its_movement(events, at):
+    rows = events(
+        ("2024-01-30 01:00:00", 1, "P01", "C0", "SALE", 5, 2.0),
+        ("2024-01-30 02:00:00", 1, "P01", "C0", "RETURN", 1, 2.0),
+        ("2024-01-30 03:00:00", 2, "P01", "C0", "RESTOCK", 9, 2.0),
+        ("2024-01-30 03:00:00", 1, "P02", "C0", "SALE", 7, 2.0),
+        ("2024-02-01 03:00:00", 1, "P01", "C0", "SALE", 7, 2.0),
+    )
+    found = history.product_history(rows, "P01", at("2024-01-31 00:00:00"))
+    assert [tuple(r)[1:] for r in found.collect()] == [(1, 2, 5, 1, 0, 10.0, -4), (2, 1, 0, 0, 9, 0.0, 9)]
+    assert history.product_history(rows, "P01", at("2024-01-31 00:00:00"), store=2).count() == 1
+    assert history.product_history(rows, "none", at("2024-01-31 00:00:00")).count() == 0
