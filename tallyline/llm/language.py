@@ -33,6 +33,8 @@ TRAIN_DOCS = 300
 TRAIN_WORDS = 8_000
 HIDDEN = 8
 STRETCH = 24
+#: Bytes of text read at once: what is made of each word takes many times its bytes for a moment.
+READ = 1 << 20
 BATCH, EPOCHS, RATE = 256, 2, 0.02
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
@@ -206,20 +208,17 @@ class Reader:
     def __init__(self, network: Network | None):
         self.network = network
         self.pool = common.Pool(self.learn, common.CACHE_WORDS // 2)
-        if network is not None:
-            self.known, self.sums = {b"": 0}, np.zeros((1, len(network.languages) + 1))
+        self.forms = common.Pool(self.read, common.CACHE_WORDS // 4)
+
+    def read(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per form the pooled probabilities, and its number of positions in the last column."""
+        sizes = np.array([len(f) for f in forms], float)[:, None]
+        return np.concatenate([self.network.pooled(forms), sizes], axis=1), np.ones(len(forms), np.int64)
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word the pooled probabilities, and its number of positions in the last column."""
-        forms = [read_form(w) for w in words]
-        if len(self.known) > common.CACHE_WORDS:
-            self.known, self.sums = {b"": 0}, np.zeros((1, len(self.network.languages) + 1))
-        new = list(set(forms) - self.known.keys())
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            sizes = np.array([len(w) for w in new], float)[:, None]
-            self.sums = np.concatenate([self.sums, np.concatenate([self.network.pooled(new), sizes], axis=1)])
-        return self.sums[[self.known[f] for f in forms]], np.ones(len(words), np.int64)
+        """What :meth:`read` gives of the words' forms; words in different case share one."""
+        numbers = self.forms.numbers([read_form(w) for w in words])
+        return self.forms.values[numbers], np.ones(len(words), np.int64)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -256,7 +255,7 @@ def predicted(
 
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = reader()
-            for batch in common.slices(batches, column=at):
+            for batch in common.slices(batches, column=at, size=READ):
                 texts = batch.column(at)
                 names, _ = own.predict(texts)
                 if own.network is None:
@@ -269,7 +268,7 @@ def predicted(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = reader()
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, size=READ):
             names, score = own.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"]
