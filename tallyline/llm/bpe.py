@@ -31,6 +31,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Texts in which a space stands beside other white space, or first or last, are split as a whole.
 _LOOSE = r"(^|[\s\x0B\x1C-\x1F\x{85}\p{Z}]) | ([\s\x0B\x1C-\x1F\x{85}\p{Z}]|$)"
 _NONE = np.iinfo(np.int64).max
+#: Pair keys are spread over this many bits of places, by a multiplication.
+_PLACES, _MIX = 18, np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_alphabet() -> list[str]:
@@ -59,12 +61,28 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        # Where a pair key most likely stands; keys that share a place with a smaller one are searched.
+        place = self.place(self.keys)
+        self.first = np.zeros(1 << _PLACES, np.int32)
+        self.first[place[::-1]] = np.arange(self.keys.size, dtype=np.int32)[::-1]
+        self.shared = np.zeros(1 << _PLACES, bool)
+        self.shared[place[self.first[place] != np.arange(self.keys.size)]] = True
+
+    @staticmethod
+    def place(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _MIX >> np.uint64(64 - _PLACES)).view(np.int64)
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of neighbouring symbols, and what they merge to."""
         keys = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
-        return np.where(self.keys[at] == keys, self.ranks[at], _NONE), self.merged[at]
+        place = self.place(keys)
+        at = self.first[place]
+        found = self.keys[at] == keys
+        rest = np.flatnonzero(self.shared[place] & ~found)
+        if rest.size:
+            at[rest] = np.minimum(np.searchsorted(self.keys, keys[rest]), self.keys.size - 1)
+            found[rest] = self.keys[at[rest]] == keys[rest]
+        return np.where(found, self.ranks[at], _NONE), self.merged[at]
 
     def encode(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words given as bytes one after the other, and how many ids each word has."""

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,10 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordCodec:
     """Ids of texts, by encoding each different word once.
 
@@ -91,6 +96,8 @@ class WordCodec:
 
     #: Fixed value: the pre-tokenisation pattern of the vocabulary file.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Words of printable ASCII and Latin letters.
+    SIMPLE = r"^[!-~\x{c0}-\x{24f}]+$"
 
     def __init__(self, vocabulary: bytes, cached: int = common.CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -102,23 +109,32 @@ class WordCodec:
         model = spec["model"]
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.find = regex.compile(self.PIECES + r"|\n").findall
-        self.simple = regex.compile("[!-~\u00c0-\u024f]+").fullmatch
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pool = common.Pool(self.learn, cached)
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode() for w in words]
-        simple = np.array([self.simple(t) is not None and "<|" not in t for t in texts])
+        texts = pa.array(words, pa.binary()).cast(pa.string())
+        simple = pc.match_substring_regex(texts, self.SIMPLE).to_numpy(zero_copy_only=False)
+        simple &= ~pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         here, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
-        found = self.find("\n".join([texts[i] for i in here]).lower()) if here.size else []
-        ids, counts = self.merges.encode_found(found, " ", "\n") if found else _nothing()
-        others = [self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in rest]
+        # A word of letters alone is one piece.
+        lower = "\n".join(_strings(texts.take(here))).lower().split("\n") if here.size else []
+        lower = pa.array(lower, pa.string())
+        letters = pc.match_substring_regex(lower, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        whole, mixed = lower.filter(letters), lower.filter(~letters)
+        some = self.merges.encode(
+            np.frombuffer("".join(_strings(whole)).encode(), np.uint8),
+            pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64),
+        )
+        found = self.find("\n".join(_strings(mixed))) if len(mixed) else []
+        more = self.merges.encode_found(found, " ", "\n") if found else _nothing()
+        others = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in _strings(texts.take(rest))]
         ids, counts = joined(
-            [ids, *[np.array(o, np.int64) for o in others]],
-            [counts, np.array([len(o) for o in others], np.int64)],
-            [here, rest],
+            [some[0], more[0], *[np.array(o, np.int64) for o in others]],
+            [some[1], more[1], np.array([len(o) for o in others], np.int64)],
+            [here[letters], here[~letters], rest],
         )
         return ids.astype(np.uint32), counts
 

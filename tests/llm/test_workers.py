@@ -4,8 +4,20 @@ import gc
 import weakref
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-from tallyline.llm import common, language
+import pytest
+from tokenizers import Tokenizer
+
+from tallyline.llm import bpe, common, language, packing
+
+WORDS = "word_bpe_49k.json"
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return packing.WordCodec(bpe.read_vocabulary(public_tokenizers.path(WORDS)))
+
 
 class Owner:
     """Refers to its cache, which refers back, as codecs do."""
@@ -39,3 +51,50 @@ def test_language_reads_words_of_many_forms_in_bounded_caches(monkeypatch):
     names, score = language.Reader(network).predict(texts)
     assert [n[0] for n, _ in found] == names
     assert np.allclose([s[0] for _, s in found], score)
+
+
+def test_words_of_letters_alone_need_no_pieces(codec, monkeypatch):
+    def refuse(text):
+        raise AssertionError(text)
+
+    text = "Neue Wörter, schöne ÄPFEL"
+    expected = Tokenizer.from_file(public_tokenizers.path(WORDS)).encode(text.replace(",", ""), add_special_tokens=False).ids
+    monkeypatch.setattr(codec, "find", refuse)
+    ids, totals = codec.encode(pa.array([text.replace(",", "")]))
+    assert ids[:-1].tolist() == expected and totals.tolist() == [len(expected) + 1]
+
+
+def test_words_at_the_edge_of_the_simple_ones(codec):
+    texts = [
+        "İstanbul ŒUVRE ß ẞ × a×b ÷ don't we'LL 'S x'", "a1b22 3,4 --- <|x|> <|endoftext|> <| |>", "ǅ ȺȾ ɐ ſ K Å",
+        "", "\x00 a\x00b \x7f \x1c x\x1cy   a b   c d", "áb é é 漢字 δοκιμή ΟΔΟΣ",
+    ]
+    library = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    ids, totals = codec.encode(pa.array(texts))
+    ends = np.cumsum(totals)
+    for text, n, end in zip(texts, totals, ends):
+        assert ids[end - n : end - 1].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pairs_are_found_by_place_and_by_search(codec):
+    merges = codec.merges
+    left, right = merges.keys // merges.base, merges.keys % merges.base
+    assert merges.shared.any()
+    ranks, merged = merges.pairs(left, right)
+    assert (ranks == merges.ranks).all() and (merged == merges.merged).all()
+    made = np.random.default_rng(1).integers(0, merges.base, (2, 200_000))
+    ranks, _ = merges.pairs(*made)
+    assert ((ranks != bpe._NONE) == np.isin(made[0] * merges.base + made[1], merges.keys)).all()
+
+
+def test_a_pool_asked_for_a_word_twice_learns_it_once():
+    asked = []
+
+    def learn(words):
+        asked.extend(words)
+        return np.array([len(w) for w in words]), np.ones(len(words), np.int64)
+
+    pool = common.Pool(learn, 100)
+    for words in ([b"a", b"bb", b"a"], [b"ccc", b"bb", b"ccc"], [b"a", b"dddd", b"eeeee"], [b"bb", b"a", b"a"]):
+        assert pool.gather(pool.numbers(words)).tolist() == [len(w) for w in words]
+    assert len(asked) == 5
