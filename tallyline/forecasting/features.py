@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import calendar
@@ -34,20 +34,13 @@ def _flags(rows: DataFrame) -> DataFrame:
     )
 
 
-def weekday_history(events: DataFrame) -> DataFrame:
-    """Average units and number of sales per product, store and weekday."""
-    return (
-        sales(events)
-        .groupBy(*PAIR, calendar.iso_weekday(F.col("event_time")).alias("day_of_week"))
-        .agg(F.avg("quantity").alias("avg_demand"), F.count("*").alias("transaction_count"))
-    )
-
-
 def training_features(events: DataFrame, history: str = "weekday") -> DataFrame:
     """One row per product, store, weekday, hour and month with its demand.
 
     The average and count are those of the weekday, as in scoring.  With ``history="slot"`` they are
     those of the row itself, so their product is the label.
+
+    Events are read once: a weekday's figures are added up from its slots, 24 per month at most.
     """
     time = F.col("event_time")
     slots = (
@@ -62,12 +55,18 @@ def training_features(events: DataFrame, history: str = "weekday") -> DataFrame:
             units().alias("total_demand"),
             F.avg("quantity").alias("avg_demand"),
             F.count("*").alias("transaction_count"),
+            F.count("quantity").alias("counted"),
         )
-        .where(F.col("total_demand") > 0)
     )
     if history == "weekday":
-        slots = slots.drop(*HISTORY).join(weekday_history(events), [*PAIR, "day_of_week"])
-    return _flags(slots).select(*PAIR, *CALENDAR_KEYS, "total_demand", *HISTORY)
+        day = Window.partitionBy(*PAIR, "day_of_week")
+        slots = slots.dropna(subset=[*PAIR, "day_of_week"]).withColumns(
+            {
+                "avg_demand": F.try_divide(F.sum("total_demand").over(day), F.sum("counted").over(day)),
+                "transaction_count": F.sum("transaction_count").over(day),
+            }
+        )
+    return _flags(slots.where(F.col("total_demand") > 0)).select(*PAIR, *CALENDAR_KEYS, "total_demand", *HISTORY)
 
 
 def _slots(pairs: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
@@ -106,23 +105,37 @@ def _dates_held(events: DataFrame) -> dict[tuple[int, int], int]:
     return Counter((d.isoweekday(), d.month) for d in dates)
 
 
+def _past_weekdays(events: DataFrame) -> DataFrame:
+    """Per product and store an array of the seven weekdays' units per sale and number of sales, null
+    for a weekday without events.
+
+    Events are grouped by weekday first, so an event adds to one weekday's figures only.
+    """
+    sold = F.col("transaction_type") == SALE
+    days = events.groupBy(*PAIR, calendar.iso_weekday(F.col("event_time")).alias("day")).agg(
+        F.avg(F.when(sold, F.col("quantity"))).alias("avg_demand"),
+        F.count_if(sold).alias("transaction_count"),
+    )
+    # One row a weekday, so the largest is the only one.
+    past = F.struct(*HISTORY)
+    history = F.array(*[F.max(F.when(F.col("day") == d, past)) for d in range(1, 8)])
+    return days.groupBy(*PAIR).agg(history.alias("history"))
+
+
 def _weekly_history(events: DataFrame, held: dict[tuple[int, int], int]) -> DataFrame:
     """Per product and store the seven weekdays' units per sale and sales per date; 1 and 0 without any."""
-    sold = F.col("transaction_type") == SALE
-    weekday = calendar.iso_weekday(F.col("event_time"))
     dates = [max(1, sum(n for (d, _), n in held.items() if d == day)) for day in range(1, 8)]
+    past = [F.get("history", F.lit(d)) for d in range(7)]
     history = F.array(
         *[
             F.struct(
-                F.coalesce(F.avg(F.when(sold & (weekday == d), F.col("quantity"))), F.lit(1.0)).alias(
-                    "avg_demand"
-                ),
-                (F.count_if(sold & (weekday == d)) / dates[d - 1]).alias("transaction_count"),
+                F.coalesce(past[d]["avg_demand"], F.lit(1.0)).alias("avg_demand"),
+                (F.coalesce(past[d]["transaction_count"], F.lit(0)) / dates[d]).alias("transaction_count"),
             )
-            for d in range(1, 8)
+            for d in range(7)
         ]
     )
-    return events.groupBy(*PAIR).agg(history.alias("history"))
+    return _past_weekdays(events).withColumn("history", history)
 
 
 def weekly_training_features(events: DataFrame) -> DataFrame:
@@ -174,21 +187,10 @@ def weekly_score_features(events: DataFrame, as_of: dt.datetime, days: int = 7)
 def score_features(events: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """The grid with the sales history of its weekday before ``as_of``; without history both are 1.
 
-    One grouping by pair takes the seven weekdays as conditional aggregates; they travel with the
-    pair and are looked up after the expansion, so the grid, 168 rows per pair, is never joined.
+    The seven weekdays travel with the pair and are looked up after the expansion, so the grid, 168
+    rows per pair, is never joined.
     """
-    sold = F.col("transaction_type") == SALE
-    weekday = calendar.iso_weekday(F.col("event_time"))
-    history = F.array(
-        *[
-            F.struct(
-                F.avg(F.when(sold & (weekday == d), F.col("quantity"))).alias("avg_demand"),
-                F.count_if(sold & (weekday == d)).alias("transaction_count"),
-            )
-            for d in range(1, 8)
-        ]
-    )
-    pairs = calendar.before(events, as_of).groupBy(*PAIR).agg(history.alias("history"))
+    pairs = _past_weekdays(calendar.before(events, as_of))
     past = F.get("history", F.col("day_of_week") - 1)
     return _slots(pairs, as_of, days).select(
         *PAIR,
