@@ -34,7 +34,7 @@ from tallyline.llm.bpe import Merges, _nothing, joined, read_vocabulary
 
 LENGTH = 2048
 #: Bytes of text encoded at once.  An id and what is made of it take some 60 bytes for a moment.
-ENCODED = 1 << 20
+ENCODED = 3 << 19
 END_ID = 1
 #: Hashed vector size, dimensions it is projected to, and bits of a cell number in each.
 HASHED, DIMENSIONS, BITS = 64, 4, 10
